@@ -302,13 +302,12 @@ def realized_ttd(events: DataFrame, samples: DataFrame, p_d: float, horizon: Col
 def drop_k_loss(agent_coverage: DataFrame, k: int) -> DataFrame:
     """Worst-case and average loss of a run's coverage when k agents are lost: input (run_id, agent_id, likelihood).
 
-    The k best agents come from a bounded top-k per run; totals come from a partial aggregate.
+    ``row_number <= k`` keeps at most k rows per run and task before the shuffle (window group limit).
     """
-    top = agent_coverage.groupBy("run_id", F.pmod(F.xxhash64("agent_id"), F.lit(64)).alias("_s")).agg(
-        F.slice(F.sort_array(F.collect_list("likelihood"), asc=False), 1, k).alias("_a"))
-    top = top.groupBy("run_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_a")), asc=False), 1, k).alias("_a"))
+    w = Window.partitionBy("run_id").orderBy(F.desc("likelihood"), "agent_id")
+    top = agent_coverage.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).groupBy("run_id").agg(F.sum("likelihood").alias("_w"))
     tot = agent_coverage.groupBy("run_id").agg(F.sum("likelihood").alias("total"), F.count("*").alias("agents"))
-    j = on_keys(tot, top, ["run_id"]).withColumn("_w", F.aggregate("_a", F.lit(0.0), lambda a, x: a + x)).where((F.col("total") > 0) & (F.col("agents") > k))
+    j = on_keys(tot, top, ["run_id"]).where((F.col("total") > 0) & (F.col("agents") > k))
     avg = F.col("total") / F.col("agents")
     return j.select("run_id", F.lit(k).alias("k"), F.col("total").alias("baseline_likelihood"), (F.col("total") - F.col("_w")).alias("worst_lh"),
                     (100.0 * F.col("_w") / F.col("total")).alias("worst_pct"), (F.col("total") - k * avg).alias("avg_lh"), (100.0 * k * avg / F.col("total")).alias("avg_pct"))

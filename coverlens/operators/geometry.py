@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coverlens.functions.hashing import uniform
 from coverlens.operators.grid import GridSpec, footprint, lognormal_pdf, to_cell
-from coverlens.operators.scan import on_keys, running_sums, sums_below, with_previous, with_totals
+from coverlens.operators.scan import chunk, on_keys, running_sums, sums_below, with_previous, with_totals
 
 PATH = ["run_id", "agent_id"]
 
@@ -45,7 +45,7 @@ def with_steps(pings: DataFrame, keys: list[str] = PATH) -> DataFrame:
 
 def with_distance(pings: DataFrame, keys: list[str] = PATH) -> DataFrame:
     """Step length and cumulative length ``cum`` along each path."""
-    return running_sums(with_steps(pings, keys), keys, "t", {"cum": F.col("step")})
+    return running_sums(with_steps(chunk(pings, "t"), keys), keys, "t", {"cum": F.col("step")}).drop("_chunk")
 
 
 def route_length(pings: DataFrame, keys: list[str] = PATH) -> DataFrame:
@@ -80,12 +80,13 @@ def densify(features: DataFrame, distance: float) -> DataFrame:
 
 def resample_path(pings: DataFrame, resolution: float, keys: list[str] = PATH) -> DataFrame:
     """ceil(len / resolution) + 1 points, evenly spaced by arc length; each segment emits its own samples (no range join)."""
-    d = with_totals(with_distance(pings, keys), keys, {"total": F.max("cum"), "_t0": F.min("t")}).where("total > 0")
+    d = running_sums(with_steps(chunk(pings, "t"), keys), keys, "t", {"cum": F.col("step")})
+    # the start of a segment is the running length of the row before it, read back so that both ends are the same number
+    d = with_previous(d, keys, "t", ["cum"]).drop("_chunk").withColumn("_from", F.coalesce("prev_cum", F.lit(-1.0)))
+    d = with_totals(d, keys, {"total": F.max("cum")}).where("total > 0")
     n = F.ceil(F.col("total") / resolution).cast("int")
     at = lambda i: F.col("total") * i / F.col("n")
-    d = d.withColumns({"n": n, "_from": F.col("cum") - F.col("step")})
-    # the start of a segment is the running length of the row before it, read again to keep both ends identical
-    d = with_previous(d, keys, "t", ["cum"]).withColumn("_from", F.coalesce("prev_cum", F.lit(-1.0)))
+    d = d.withColumn("n", n)
     lo = F.greatest(F.lit(0), F.floor(F.col("_from") / F.col("total") * F.col("n")).cast("int") - 1)
     hi = F.least(F.col("n"), F.ceil(F.col("cum") / F.col("total") * F.col("n")).cast("int") + 1)
     e = d.select("*", F.explode(F.sequence(lo, hi)).alias("i")).withColumn("s", at(F.col("i")))

@@ -6,8 +6,6 @@ chunks, and carry one summary row per chunk across the key, so a key holding a t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +14,8 @@ SPLITS = 64
 
 
 def on_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that treats null keys as equal and keeps the left key columns."""
-    renamed = other.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in other.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return df.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
+    """Equi-join on (non-null) keys; plain equality keeps the partitioning usable by the next step."""
+    return df.join(other, keys, how)
 
 
 def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
@@ -31,17 +27,16 @@ def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> Da
     return on_keys(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
-def _chunked(df: DataFrame, order: str, width: int) -> DataFrame:
+def chunk(df: DataFrame, order: str, width: int = CHUNK) -> DataFrame:
+    """Add the chunk number. Scans keep a ``_chunk`` they are given, so a chain of scans shares one shuffle."""
     return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], width: int = CHUNK) -> DataFrame:
     """Inclusive running sums by an integer order column that is unique within the key."""
-    c = df
-    for i, e in enumerate(sums.values()):
-        c = c.withColumn(f"_v{i}", e)
-    c = _chunked(c, order, width)
     names = list(sums)
+    c = df.select("*", *[e.alias(f"_v{i}") for i, e in enumerate(sums.values())])
+    c = c if "_chunk" in df.columns else chunk(c, order, width)
     parts = c.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in range(len(names))])
     w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_s{i}").over(w), F.lit(0)).alias(f"_c{i}") for i in range(len(names))])
@@ -51,7 +46,8 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
 
 
 def _neighbour(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str, back: bool, width: int) -> DataFrame:
-    c = _chunked(df.withColumn("_st", F.struct(*cols)), order, width)
+    c = df.withColumn("_st", F.struct(*cols))
+    c = c if "_chunk" in df.columns else chunk(c, order, width)
     edge = F.max_by("_st", order) if back else F.min_by("_st", order)
     parts = c.groupBy(*keys, "_chunk").agg(edge.alias("_edge"))
     shift = F.lag if back else F.lead

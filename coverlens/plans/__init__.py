@@ -1,0 +1,4 @@
+"""Named queries: importing the modules fills the registry."""
+
+from coverlens.plans import belief, exposure  # noqa: F401
+from coverlens.plans.registry import ORACLE, QUERIES  # noqa: F401

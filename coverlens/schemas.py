@@ -30,6 +30,7 @@ FEATURE = T.StructType([
 ])
 
 TRACE_ITEM = T.StructType([
+    T.StructField("seq", T.LongType()),
     T.StructField("replan_id", T.IntegerType()),
     T.StructField("drone", T.IntegerType()),
     T.StructField("start_row", T.IntegerType()),

@@ -5,13 +5,11 @@ Every endpoint is a ratio of exact integer sums, so the derived tables do not de
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coverlens.operators.grid import GridSpec
 
-EPOCH_2024 = 1704067200
-STEP_SECONDS = 3600
 GRID_COLS = 64
 SEGMENT_TYPES = {"AUTOMOBILE": "road", "BUILDING": "structure", "FURNITURE": "woodland", "HOUSEHOLD": "field", "MACHINERY": "linear"}
 
@@ -20,11 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hour_index() -> Column:
+    """Whole hours since 2024-01-01 from the wall-clock ``ts`` (independent of the session time zone)."""
+    return (F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("int")
+
+
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> ping(run_id, agent_id, t, x, y): one position per agent and hour, the earliest event wins."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
-    t = F.floor((F.unix_micros("ts") / F.lit(1_000_000) - F.lit(EPOCH_2024)) / F.lit(STEP_SECONDS)).cast("int")
+    t = hour_index()
     return (
         e.select(
             F.col("event_type").alias("run_id"), F.col("user_id").cast("int").alias("agent_id"), t.alias("t"),
@@ -96,7 +99,7 @@ def runs(spark: SparkSession, sf_dir: str, level: bool = False) -> DataFrame:
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One moving target per region: position per hour over the events horizon, derived from the event stream."""
     e = table(spark, sf_dir, "events")
-    t = F.floor((F.unix_micros("ts") / F.lit(1_000_000) - F.lit(EPOCH_2024)) / F.lit(STEP_SECONDS)).cast("int")
+    t = hour_index()
     k = F.get_json_object("props", "$.k").cast("int")
     return (
         e.select((F.col("event_id") % 4).cast("int").alias("target_id"), t.alias("t"), "event_id",
@@ -112,6 +115,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     cents = F.round(F.col("value") * 100).cast("bigint")
     item = F.struct(
+        F.col("event_id").alias("seq"),
         (F.floor(F.col("event_id") / 40)).cast("int").alias("replan_id"),
         (F.col("event_id") % 4).cast("int").alias("drone"),
         (k % 8).alias("start_row"), (k % 5).alias("start_col"),
