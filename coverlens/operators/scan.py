@@ -67,6 +67,10 @@ def with_next(df: DataFrame, keys: list[str], order: str, cols: list[str], width
     return _neighbour(df, keys, order, cols, "next_", False, width)
 
 
+def _adder(name: str):
+    return lambda acc, x: acc + x[name]
+
+
 def sums_below(df: DataFrame, keys: list[str], value: str, sums: list[str], splits: int = SPLITS) -> DataFrame:
     """Exclusive running sums ``<s>_below`` in ``value`` order; (keys, value) must be unique and value numeric.
 
@@ -84,7 +88,7 @@ def sums_below(df: DataFrame, keys: list[str], value: str, sums: list[str], spli
         *keys,
         F.transform("_a", lambda s, i: F.struct(
             s["has"].alias("has"), s["lo"].alias("lo"),
-            *[F.aggregate(F.slice("_a", 1, i), s[n] * F.lit(0), lambda acc, x, n=n: acc + x[n]).alias(n) for n in sums],
+            *[F.aggregate(F.slice("_a", 1, i), s[n] * F.lit(0), _adder(n)).alias(n) for n in sums],
         )).alias("_a"),
     )
     hit = on_keys(df, plan, keys).withColumn(
