@@ -6,10 +6,16 @@ They run on one row per group, after the data has been reduced by native aggrega
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -151,37 +157,37 @@ def _nullable(fn):
     return call
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_ppf_udf(p: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_ppf)(p, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_sf_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(t_sf)(t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf_udf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(chi2_sf)(x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _nullable(f_sf)(f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_two_sided_udf(z: pd.Series) -> pd.Series:
     return _nullable(lambda v: np.minimum(1.0, 2.0 * norm_sf(np.abs(v))))(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def power_udf(d: pd.Series, n1: pd.Series, n2: pd.Series, alpha: pd.Series) -> pd.Series:
     return _nullable(power_t)(d, n1, n2, alpha)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def min_detectable_udf(n1: pd.Series, n2: pd.Series, alpha: pd.Series, target: pd.Series) -> pd.Series:
     def solve(a, b, al, tg):
         lo, hi = np.zeros(len(a)), np.full(len(a), 10.0)
@@ -194,6 +200,6 @@ def min_detectable_udf(n1: pd.Series, n2: pd.Series, alpha: pd.Series, target: p
     return _nullable(solve)(n1, n2, alpha, target)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wilcoxon_exact_udf(w: pd.Series, n: pd.Series) -> pd.Series:
     return _nullable(lambda a, b: np.array([wilcoxon_exact_p(int(x), int(k)) for x, k in zip(a, b)]))(w, n)
