@@ -78,23 +78,23 @@ def sums_below(df: DataFrame, keys: list[str], value: str, sums: list[str], spli
     exact whatever points were chosen.
     """
     probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(1000)).alias("_b"))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(1000)).alias("__b"))
     v = F.col(value)
-    placed = on_keys(df, cuts, keys).withColumn("_i", F.size(F.filter("_b", lambda b: b <= v)))
-    low = F.when(F.col("_i") > 0, F.get("_b", F.col("_i") - 1))
-    segs = placed.groupBy(*keys, low.alias("_lo")).agg(*[F.sum(s).alias(s) for s in sums])
-    arr = F.array_sort(F.collect_list(F.struct(F.col("_lo").isNotNull().alias("has"), F.col("_lo").alias("lo"), *sums)))
-    plan = segs.groupBy(*keys).agg(arr.alias("_a")).select(
+    placed = on_keys(df, cuts, keys).withColumn("__i", F.size(F.filter("__b", lambda b: b <= v)))
+    low = F.when(F.col("__i") > 0, F.get("__b", F.col("__i") - 1))
+    segs = placed.groupBy(*keys, low.alias("__lo")).agg(*[F.sum(s).alias(s) for s in sums])
+    arr = F.array_sort(F.collect_list(F.struct(F.col("__lo").isNotNull().alias("has"), F.col("__lo").alias("lo"), *sums)))
+    plan = segs.groupBy(*keys).agg(arr.alias("__a")).select(
         *keys,
-        F.transform("_a", lambda s, i: F.struct(
+        F.transform("__a", lambda s, i: F.struct(
             s["has"].alias("has"), s["lo"].alias("lo"),
-            *[F.aggregate(F.slice("_a", 1, i), s[n] * F.lit(0), _adder(n)).alias(n) for n in sums],
-        )).alias("_a"),
+            *[F.aggregate(F.slice("__a", 1, i), s[n] * F.lit(0), _adder(n)).alias(n) for n in sums],
+        )).alias("__a"),
     )
     hit = on_keys(df, plan, keys).withColumn(
-        "_seg", F.element_at(F.filter("_a", lambda s: ~s["has"] | (s["lo"] <= v)), -1)
-    ).drop("_a")
-    w = Window.partitionBy(*keys, "_seg.lo").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        "__seg", F.element_at(F.filter("__a", lambda s: ~s["has"] | (s["lo"] <= v)), -1)
+    ).drop("__a")
+    w = Window.partitionBy(*keys, "__seg.lo").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return hit.select(
-        *df.columns, *[(F.col(f"_seg.{s}") + F.coalesce(F.sum(s).over(w), F.lit(0))).alias(f"{s}_below") for s in sums]
+        *df.columns, *[(F.col(f"__seg.{s}") + F.coalesce(F.sum(s).over(w), F.lit(0))).alias(f"{s}_below") for s in sums]
     )

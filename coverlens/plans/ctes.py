@@ -48,3 +48,61 @@ runs AS (SELECT dataset, planning_seed, {k}planning_mode, sum(d) / (count(*) * 1
     count(*) FILTER (l_linestatus = 'O') / count(*) AS revisit_fraction, count(*) / count(DISTINCT l_linenumber) AS exposure_multiplicity,
     sum(q) / 1000.0 AS planner_wall_time, md5(CAST(planning_seed AS VARCHAR)) AS initial_positions_hash
     FROM b0 GROUP BY dataset, planning_seed, {k}planning_mode)"""
+
+
+# ---- Student t in SQL: closed finite sums for whole degrees of freedom, independent of the engine's own routine -------------
+
+
+def t_sf(t: str, nu: str) -> str:
+    c = f"({nu} / ({nu} + ({t}) * ({t})))"
+    sin = f"(({t}) / sqrt({nu} + ({t}) * ({t})))"
+    even = f"{sin} * coalesce(list_sum(list_transform(range(0, CAST({nu} // 2 AS BIGINT)), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow({c}, j))), 0)"
+    odd = (f"2 / pi() * (atan(({t}) / sqrt({nu})) + {sin} * sqrt({c}) * coalesce(list_sum(list_transform(range(0, CAST(({nu} - 1) // 2 AS BIGINT)), "
+           f"lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow({c}, j))), 0))")
+    return f"((1 - (CASE WHEN {nu} % 2 = 0 THEN {even} ELSE {odd} END)) / 2)"
+
+
+def t_quantile(name: str, degrees: str, p: float) -> str:
+    """CTE name(nu, q): quantile by bisection for every degree of freedom in ``degrees``."""
+    mid = "((a.lo + a.hi) / 2)"
+    return f"""
+{name} AS (SELECT nu, list_reduce(list_transform(range(0, 100), lambda i: {{'lo': 0.0::DOUBLE, 'hi': 1000.0::DOUBLE}}),
+    lambda a, b: CASE WHEN {t_sf(mid, 'nu')} > {1 - p!r} THEN {{'lo': {mid}, 'hi': a.hi}} ELSE {{'lo': a.lo, 'hi': {mid}}} END).lo AS q
+    FROM (SELECT DISTINCT CAST(n - 1 AS BIGINT) AS nu FROM {degrees} WHERE n >= 2))"""
+
+
+def endpoint_state(x: str, margin: float) -> str:
+    return (f"CASE WHEN {x}_mean >= {margin} AND {x}_ci_lo > 0 THEN 'IMPROVED' WHEN {x}_mean <= -{margin} AND {x}_ci_hi < 0 THEN 'WORSENED' "
+            f"WHEN {x}_equivalent THEN 'EQUIVALENT' ELSE 'INCONCLUSIVE' END")
+
+
+JOINT = """CASE WHEN "dPdet_state" = 'WORSENED' OR "dRMST_rel_state" = 'WORSENED' THEN 'WORSENING' WHEN "dPdet_state" = 'IMPROVED' OR "dRMST_rel_state" = 'IMPROVED' THEN 'IMPROVEMENT'
+    WHEN "dPdet_state" = 'EQUIVALENT' AND "dRMST_rel_state" = 'EQUIVALENT' THEN 'EQUIVALENT' ELSE 'INCONCLUSIVE' END"""
+
+
+def summary(src: str, by: str, name: str = "sm", m1: float = 0.01, m2: float = 0.02) -> str:
+    """CTEs ending in ``name``: the summary table of a contrast CTE."""
+    def cols(x):
+        return (f'avg("{x}") AS "{x}_mean", stddev_samp("{x}") AS "{x}_sd", count(*) FILTER ("{x}" > 0) AS "{x}_favorable_count", '
+                f'count(*) FILTER ("{x}" >= 0) AS "{x}_non_adverse_count"')
+
+    def ci(x, m):
+        se = f'"{x}_sd" / sqrt(n)'
+        lo = t_sf(f'(("{x}_mean" + {m}) / ({se}))', "nu")
+        hi = t_sf(f'(-("{x}_mean" - {m}) / ({se}))', "nu")
+        return (f'{se} AS "{x}_se", "{x}_mean" - q * {se} AS "{x}_ci_lo", "{x}_mean" + q * {se} AS "{x}_ci_hi", {lo} AS "{x}_tost_p_lower", {hi} AS "{x}_tost_p_upper"')
+
+    eq = lambda x: f'coalesce("{x}_tost_p_lower" < 0.05 AND "{x}_tost_p_upper" < 0.05, false) AS "{x}_equivalent", greatest("{x}_tost_p_lower", "{x}_tost_p_upper") AS "{x}_tost_p_max"'
+    a, b = "dPdet", "dRMST_rel"
+    return f"""
+{name}_m AS (SELECT {by}, count(*) AS n, {cols(a)}, {cols(b)} FROM {src} GROUP BY {by}),{t_quantile(name + '_tq', name + '_m', 0.975)},
+{name}_c AS (SELECT m.*, nu, {ci(a, m1)}, {ci(b, m2)} FROM {name}_m m LEFT JOIN {name}_tq ON nu = n - 1),
+{name}_e AS (SELECT *, {eq(a)}, {eq(b)} FROM {name}_c),
+{name}_s AS (SELECT *, {endpoint_state('"dPdet"', m1).replace('"dPdet"_', 'dPdet_')} AS "dPdet_state", {endpoint_state('"dRMST_rel"', m2).replace('"dRMST_rel"_', 'dRMST_rel_')} AS "dRMST_rel_state" FROM {name}_e),
+{name} AS (SELECT *, {JOINT} AS state FROM {name}_s)"""
+
+
+def contrasts(name: str = "con", src: str = "runs", keys: str = "dataset, planning_seed", control: str = "A", method: str = "R") -> str:
+    return f"""
+{name} AS (SELECT {keys}, r."P_detect" - a."P_detect" AS "dPdet", (a."RMST" - r."RMST") / 51.0 AS "dRMST_rel", r."L" - a."L" AS "dL"
+    FROM (SELECT * FROM {src} WHERE planning_mode = '{control}') a JOIN (SELECT * FROM {src} WHERE planning_mode = '{method}') r USING ({keys}))"""
