@@ -128,10 +128,13 @@ def power_t(d, n1, n2, alpha):
     ok = (d > 0) & (n1 >= 2) & (n2 >= 2)
     df = np.where(ok, n1 + n2 - 2, 2.0)
     ncp = np.where(ok, d * np.sqrt(n1 * n2 / np.maximum(n1 + n2, 1.0)), 0.0)
-    crit = t_ppf(1 - alpha / 2, df)
+    return np.where(ok, _power_at(ncp, df, t_ppf(1 - alpha / 2, df)), 0.0)
+
+
+def _power_at(ncp, df, crit):
+    """Power at a given shift; beyond a shift of 37 it is 1."""
     small = np.minimum(ncp, 37.0)
-    power = 1.0 - nct_cdf(crit, df, small) + nct_cdf(-crit, df, small)
-    return np.where(ok, np.where(ncp > 37, 1.0, power), 0.0)
+    return np.where(ncp > 37, 1.0, 1.0 - nct_cdf(crit, df, small) + nct_cdf(-crit, df, small))
 
 
 def wilcoxon_exact_p(w: int, n: int) -> float:
@@ -191,9 +194,10 @@ def power_udf(d: pd.Series, n1: pd.Series, n2: pd.Series, alpha: pd.Series) -> p
 def min_detectable_udf(n1: pd.Series, n2: pd.Series, alpha: pd.Series, target: pd.Series) -> pd.Series:
     def solve(a, b, al, tg):
         lo, hi = np.zeros(len(a)), np.full(len(a), 10.0)
+        crit = t_ppf(1 - al / 2, a + b - 2)
         for _ in range(60):
             mid = (lo + hi) / 2
-            weak = power_t(mid, a, b, al) < tg
+            weak = _power_at(mid * np.sqrt(a * b / (a + b)), a + b - 2, crit) < tg
             lo, hi = np.where(weak, mid, lo), np.where(weak, hi, mid)
         return (lo + hi) / 2
 

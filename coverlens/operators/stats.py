@@ -143,10 +143,10 @@ def friedman(df: DataFrame, by: list[str], block: list[str], arm: str, value: st
 def _two_sample(df: DataFrame, keys: list[str], arm: str, a: str, b: str, value: str, weight: Column | None = None) -> DataFrame:
     w = F.lit(1) if weight is None else weight
     x = df.where(F.col(arm).isin(a, b) & F.col(value).isNotNull())
-    v = x.groupBy(*keys, value).agg(F.sum(F.when(F.col(arm) == a, w).otherwise(0)).alias("_a"), F.sum(F.when(F.col(arm) == b, w).otherwise(0)).alias("_b"))
-    r = sums_below(v, keys, value, ["_b"])
-    n = F.col("_a") + F.col("_b")
-    return r.groupBy(*keys).agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.sum(F.col("_a") * (F.col("_b_below") + F.col("_b") / 2)).alias("U"),
+    v = x.groupBy(*keys, value).agg(F.sum(F.when(F.col(arm) == a, w).otherwise(0)).alias("_wa"), F.sum(F.when(F.col(arm) == b, w).otherwise(0)).alias("_wb"))
+    r = sums_below(v, keys, value, ["_wb"])
+    n = F.col("_wa") + F.col("_wb")
+    return r.groupBy(*keys).agg(F.sum("_wa").alias("n_a"), F.sum("_wb").alias("n_b"), F.sum(F.col("_wa") * (F.col("_wb_below") + F.col("_wb") / 2)).alias("U"),
                                 F.sum(n.cast("double") * n * n - n).alias("tie_term"))
 
 

@@ -279,8 +279,8 @@ sat AS (SELECT p_size, o_orderstatus, l_extendedprice AS v FROM lineitem JOIN pa
 
 @query("saturation_curve", with_(SAT, mwu_sql("p_size", "sat", "o_orderstatus", "F", "O", "v"), """
 sc AS (SELECT p_size, avg(v) FILTER (o_orderstatus = 'F') AS a, avg(v) FILTER (o_orderstatus = 'O') AS b, var_samp(v) FILTER (o_orderstatus = 'F') AS va, var_samp(v) FILTER (o_orderstatus = 'O') AS vb FROM sat GROUP BY 1),
-sd AS (SELECT *, (a - b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS cd FROM sc JOIN mw USING (p_size))""", select="""SELECT p_size, n_a, n_b, round(a, 4) AS mean_a, round(b, 4) AS mean_b, round(cd, 8) AS cohens_d,
-    CASE WHEN abs(cd) < 0.2 THEN 'negligible' WHEN abs(cd) < 0.5 THEN 'small' WHEN abs(cd) < 0.8 THEN 'medium' ELSE 'large' END AS d_magnitude, round(u, 2) AS "U", round(p, 8) AS p, round(a - b, 4) AS delta_mean, CASE WHEN p < 0.05 THEN (CASE WHEN a > b THEN 'F' ELSE 'O' END) ELSE 'tie' END AS winner FROM sd"""))
+sd AS (SELECT *, (a - b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) AS cdx FROM sc JOIN mw USING (p_size))""", select="""SELECT p_size, n_a, n_b, round(a, 4) AS mean_a, round(b, 4) AS mean_b, round(cdx, 8) AS cohens_d,
+    CASE WHEN abs(cdx) < 0.2 THEN 'negligible' WHEN abs(cdx) < 0.5 THEN 'small' WHEN abs(cdx) < 0.8 THEN 'medium' ELSE 'large' END AS d_magnitude, round(u, 2) AS "U", round(p, 8) AS p, round(a - b, 4) AS delta_mean, CASE WHEN p < 0.05 THEN (CASE WHEN a > b THEN 'F' ELSE 'O' END) ELSE 'tie' END AS winner FROM sd"""))
 def _(spark, d):
     li, pa, o = (A.table(spark, d, t) for t in ("lineitem", "part", "orders"))
     s = li.join(pa, li.l_partkey == pa.p_partkey).join(o, li.l_orderkey == o.o_orderkey).select("p_size", "o_orderstatus", F.col("l_extendedprice").alias("v"))
