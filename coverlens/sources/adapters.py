@@ -152,3 +152,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 3 == 0, "LineString").otherwise("Polygon").alias("geom_type"),
         F.when(F.col("c_custkey") % 3 == 0, line).otherwise(poly).alias("pts"),
     )
+
+
+def ping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a file stream of pings with their wall-clock ``ts``."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.col("event_type").alias("run_id"), F.col("user_id").cast("int").alias("agent_id"), hour_index().alias("t"), (k % GRID_COLS).cast("double").alias("x"),
+                    F.col("value").alias("y"), F.col("ts").cast("timestamp").alias("ts"))
