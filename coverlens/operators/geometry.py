@@ -318,30 +318,43 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return dist(px, py, ax + u * dx, ay + u * dy)
 
 
+def _box_gap(p: str, lo: str, hi: str) -> Column:
+    return F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
+
+
+def _box_reach(p: str, lo: str, hi: str) -> Column:
+    return F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(hi) - F.col(p)))
+
+
 def nearest_feature(points: DataFrame, features: DataFrame, keys: list[str], bucket: float, extent: float) -> DataFrame:
     """Nearest feature (by its outline) per point, exact at any distance.
 
-    Bucketed equi-join over a ladder of bucket sizes: a hit no farther than the bucket size is final, the rest move to a four
-    times coarser ladder step, the last of which spans the extent.
+    Outline segments live in the bucket of their midpoint; buckets merge four to one into a pyramid of bounding boxes. Distinct points
+    walk down it: at each level a box survives only if its nearest point is no farther than the best guaranteed distance, so a point meets
+    few boxes and only the segments of its last ones. ``extent`` (the width of the feature area) sets the number of levels.
     """
-    segs = features.select("feature_id", F.explode(edges(F.col("pts"))).alias("e")).select(
+    e = features.select("feature_id", F.explode(edges(F.col("pts"))).alias("e")).select(
         "feature_id", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"), F.col("e.b.y").alias("by"))
-    todo = points.select("x", "y").distinct()
-    done = None
-    size = bucket
-    while True:
-        last = size >= extent
-        cell = lambda c: F.floor(c / size)
-        s = segs.withColumn("bx_", F.explode(F.sequence(cell(F.least("ax", "bx")) - 1, cell(F.greatest("ax", "bx")) + 1)))
-        s = s.withColumn("by_", F.explode(F.sequence(cell(F.least("ay", "by")) - 1, cell(F.greatest("ay", "by")) + 1)))
-        j = todo.withColumns({"bx_": cell(F.col("x")), "by_": cell(F.col("y"))}).join(s, ["bx_", "by_"])
-        d = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        best = j.withColumn("_d", d).groupBy("x", "y").agg(F.min(F.struct("_d", "feature_id")).alias("_m"))
-        best = best.select("x", "y", F.col("_m.feature_id").alias("feature_id"), F.col("_m._d").alias("distance"))
-        best = best if last else best.where(F.col("distance") <= size)
-        done = best if done is None else done.unionByName(best)
-        if last:
-            break
-        todo = todo.join(best, ["x", "y"], "left_anti")
-        size *= 4
-    return points.select(*keys, "x", "y").join(done, ["x", "y"]).select(*keys, "feature_id", "distance")
+    segs = e.groupBy("ax", "ay", "bx", "by").agg(F.min("feature_id").alias("feature_id")).withColumns({
+        "cx": F.floor((F.col("ax") + F.col("bx")) / (2 * bucket)), "cy": F.floor((F.col("ay") + F.col("by")) / (2 * bucket))})
+    box = [F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")]
+    merge = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    up = lambda c: F.floor(F.col(c) / 2)
+    levels = [segs.groupBy("cx", "cy").agg(*box)]
+    for _ in range(max(1, math.ceil(math.log2(extent / bucket)))):
+        levels.append(levels[-1].groupBy(up("cx").alias("cx"), up("cy").alias("cy")).agg(*merge))
+    top = levels[-1].agg(F.collect_list(F.struct("cx", "cy"))).scalar()  # a handful of boxes around the extent
+    cand = points.select("x", "y").distinct().withColumn("_n", F.explode(top)).select("x", "y", F.col("_n.cx").alias("px"), F.col("_n.cy").alias("py"))
+    for level in reversed(levels[:-1]):
+        kids = level.withColumns({"px": up("cx"), "py": up("cy")})
+        j = cand.join(kids, ["px", "py"])
+        near = F.sqrt(_box_gap("x", "x0", "x1") * _box_gap("x", "x0", "x1") + _box_gap("y", "y0", "y1") * _box_gap("y", "y0", "y1"))
+        far = F.sqrt(_box_reach("x", "x0", "x1") * _box_reach("x", "x0", "x1") + _box_reach("y", "y0", "y1") * _box_reach("y", "y0", "y1"))
+        j = j.select("x", "y", "cx", "cy", near.alias("_near"), far.alias("_far"))
+        j = j.withColumn("_best", F.min("_far").over(Window.partitionBy("x", "y")))  # few boxes per distinct point
+        cand = j.where(F.col("_near") <= F.col("_best")).select("x", "y", F.col("cx").alias("px"), F.col("cy").alias("py"))
+    j = cand.join(segs.withColumnsRenamed({"cx": "px", "cy": "py"}), ["px", "py"])
+    d = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    best = j.withColumn("_d", d).groupBy("x", "y").agg(F.min(F.struct("_d", "feature_id")).alias("_m"))
+    best = best.select("x", "y", F.col("_m.feature_id").alias("feature_id"), F.col("_m._d").alias("distance"))
+    return points.select(*keys, "x", "y").join(best, ["x", "y"]).select(*keys, "feature_id", "distance")

@@ -71,30 +71,37 @@ def _adder(name: str):
     return lambda acc, x: acc + x[name]
 
 
-def sums_below(df: DataFrame, keys: list[str], value: str, sums: list[str], splits: int = SPLITS) -> DataFrame:
+def _place(df: DataFrame, bounds: str, value: str, out: str) -> DataFrame:
+    """Number of entries of a sorted array (at most SPLITS - 1 long) that are <= value, by unrolled binary search."""
+    keep = df.columns
+    df = df.withColumn(out, F.lit(0))
+    step = SPLITS // 2
+    while step:
+        up = F.coalesce(F.get(bounds, F.col(out) + (step - 1)) <= F.col(value), F.lit(False))
+        df = df.select(*keep, (F.col(out) + F.when(up, step).otherwise(0)).alias(out))
+        step //= 2
+    return df
+
+
+def sums_below(df: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
     """Exclusive running sums ``<s>_below`` in ``value`` order; (keys, value) must be unique and value numeric.
 
     Approximate quantiles only choose where to cut. The cut points travel with their exact sums in one table, so the result is
     exact whatever points were chosen.
     """
-    probs = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    probs = F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)])
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, probs, F.lit(1000)).alias("__b"))
-    v = F.col(value)
-    placed = on_keys(df, cuts, keys).withColumn("__i", F.size(F.filter("__b", lambda b: b <= v)))
+    placed = _place(on_keys(df, cuts, keys), "__b", value, "__i")
     low = F.when(F.col("__i") > 0, F.get("__b", F.col("__i") - 1))
-    segs = placed.groupBy(*keys, low.alias("__lo")).agg(*[F.sum(s).alias(s) for s in sums])
-    arr = F.array_sort(F.collect_list(F.struct(F.col("__lo").isNotNull().alias("has"), F.col("__lo").alias("lo"), *sums)))
-    plan = segs.groupBy(*keys).agg(arr.alias("__a")).select(
-        *keys,
-        F.transform("__a", lambda s, i: F.struct(
-            s["has"].alias("has"), s["lo"].alias("lo"),
-            *[F.aggregate(F.slice("__a", 1, i), s[n] * F.lit(0), _adder(n)).alias(n) for n in sums],
-        )).alias("__a"),
-    )
-    hit = on_keys(df, plan, keys).withColumn(
-        "__seg", F.element_at(F.filter("__a", lambda s: ~s["has"] | (s["lo"] <= v)), -1)
-    ).drop("__a")
-    w = Window.partitionBy(*keys, "__seg.lo").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return hit.select(
-        *df.columns, *[(F.col(f"__seg.{s}") + F.coalesce(F.sum(s).over(w), F.lit(0))).alias(f"{s}_below") for s in sums]
-    )
+    segs = placed.groupBy(*keys, "__i").agg(F.max(low).alias("__lo"), *[F.sum(s).alias(s) for s in sums])
+    seq = segs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__lo", *sums))).alias("__a"))
+    # los[j] opens part j + 1; every value lies at or above the first part
+    plan = seq.select(*keys, F.transform(F.slice("__a", 2, F.greatest(F.size("__a") - 1, F.lit(0))), lambda s: s["__lo"]).alias("__los"), *[_starts(n).alias(f"__c_{n}") for n in sums])
+    hit = _place(on_keys(df, plan, keys), "__los", value, "__p")
+    w = Window.partitionBy(*keys, "__p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return hit.select(*df.columns, *[(F.get(f"__c_{s}", F.col("__p")) + F.coalesce(F.sum(s).over(w), F.lit(0))).alias(f"{s}_below") for s in sums])
+
+
+def _starts(name: str) -> Column:
+    """Sum of the parts before each part."""
+    return F.transform("__a", lambda s, i: F.aggregate(F.slice("__a", 1, i), s[name] * F.lit(0), _adder(name)))

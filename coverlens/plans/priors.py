@@ -360,7 +360,7 @@ pq AS (SELECT DISTINCT x, y FROM ping),
 dd AS (SELECT x, y, feature_id, sqrt(pow(x - (ax + u * (bx - ax)), 2) + pow(y - (ay + u * (by_ - ay)), 2)) AS dist FROM (SELECT x, y, feature_id, ax, ay, bx, by_, greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / l2)) AS u FROM pq, sgm)),
 nn AS (SELECT x, y, min(dist) AS dist FROM dd GROUP BY ALL)""", select="SELECT run_id, agent_id, t, round(dist, 6) AS distance FROM ping JOIN nn USING (x, y)"))
 def _(spark, d):
-    n = G.nearest_feature(A.pings(spark, d), A.features(spark, d), ["run_id", "agent_id", "t"], 8.0, 1024.0)
+    n = G.nearest_feature(A.pings(spark, d), A.features(spark, d), ["run_id", "agent_id", "t"], 1.0, 128.0)
     return rounded(n.select("run_id", "agent_id", "t", "distance"), 6)
 
 
