@@ -116,8 +116,8 @@ def cumulative_coverage(pings: DataFrame, cells: DataFrame, grid: GridSpec, radi
     """Per path and step: running mass (each cell once per path) and its running value discounted by path distance."""
     d = with_distance(pings).select(*PATH, "t", "x", "y", "cum")
     f = footprint(d, grid, radius)
-    first = f.groupBy(*PATH, "row", "col").agg(F.min(F.struct("t", "cum")).alias("_m"))
-    mass = first.join(cells.select("row", "col", "p"), ["row", "col"]).groupBy(*PATH, F.col("_m.t").alias("t")).agg(F.sum("p").alias("_p"))
+    first = f.groupBy(*PATH, "row", "col").agg(F.min("t").alias("t"))
+    mass = first.join(cells.select("row", "col", "p"), ["row", "col"]).groupBy(*PATH, "t").agg(F.sum("p").alias("_p"))
     j = on_keys(d.select(*PATH, "t", "cum"), mass, PATH + ["t"], "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
     return running_sums(j, PATH, "t", {"likelihood": F.col("_p"), "discounted": F.col("_p") * F.pow(F.lit(gamma), F.col("cum"))}).drop("_p")
 
@@ -266,12 +266,15 @@ def pre_post_endpoints(pings: DataFrame, cells: DataFrame, grid: GridSpec, radiu
 def moving_target_detection(pings: DataFrame, tracks: DataFrame, radius: float, p_d: float, horizon: Column, seed: int = 0) -> DataFrame:
     """Hazard integration along a target track: P, RMST and the realised first hit per (run, target).
 
-    Agents and tracks meet on the time step only, so a step fans out by the number of tracked targets.
+    Agents and tracks meet in the same step and bucket of the plane (a target is sent to its bucket and the eight around it), so only
+    close pairs are formed.
     """
     q = F.lit(1.0 - p_d)
     near = dist(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")) <= radius
+    cell = lambda c: F.floor(F.col(c) / radius)
     tr = tracks.select("target_id", "t", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    hit = pings.join(tr, "t").where(near)
+    tr = tr.withColumn("gx", F.explode(F.sequence(cell("tx") - 1, cell("tx") + 1))).withColumn("gy", F.explode(F.sequence(cell("ty") - 1, cell("ty") + 1)))
+    hit = pings.withColumns({"gx": cell("x"), "gy": cell("y")}).join(tr, ["t", "gx", "gy"]).where(near)
     lucky = uniform(seed, F.col("run_id"), F.col("target_id"), F.col("agent_id"), F.col("t")) < p_d
     k = hit.groupBy("run_id", "target_id", "t").agg(F.count("*").alias("k"), F.bool_or(lucky).alias("lucky"))
     k = k.withColumn("_T", horizon).where("t <= _T")

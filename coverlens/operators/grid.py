@@ -180,13 +180,24 @@ def lognormal_pdf(km: Column, mu: Column, sigma: Column) -> Column:
     return (1 / (d * sigma * math.sqrt(2 * math.pi))) * F.exp(-(z * z) / (2 * sigma * sigma))
 
 
-def distance_prior(cells: DataFrame, grid: GridSpec, x: float, y: float, mu: Column, sigma: Column, at: str = "edge") -> DataFrame:
+def distance_prior(cells: DataFrame, grid: GridSpec, x: float | Column, y: float | Column, mu: Column, sigma: Column, at: str = "edge") -> DataFrame:
     """Log-normal density of the distance (km) to an origin per cell, normalised per grid."""
     wx, wy = cell_corner(F.col("row"), F.col("col"), grid) if at == "edge" else cell_center(F.col("row"), F.col("col"), grid)
     km = F.sqrt((wx - x) * (wx - x) + (wy - y) * (wy - y)) / 1000.0
     return normalize_grid(cells.withColumn("p", lognormal_pdf(km, mu, sigma)))
 
 
+def polygon_prior(cells: DataFrame, feature_layer: DataFrame, grid: GridSpec, polygon: DataFrame, mu: Column, sigma: Column, at: str = "edge") -> DataFrame:
+    """Prior around a polygon: distance density from its centroid times the feature layer. ``polygon`` is one row with ``pts``."""
+    from coverlens.operators.geometry import polygon_centroid
+
+    cx, cy = polygon_centroid(F.col("pts"))
+    o = polygon.select(F.struct(cx.alias("x"), cy.alias("y"))).scalar()
+    c = cells.withColumn("_o", o)
+    d = distance_prior(c, grid, F.col("_o.x"), F.col("_o.y"), mu, sigma, at)
+    return combine_prior(d.drop("_o"), feature_layer)
+
+
 def combine_prior(distance: DataFrame, feature: DataFrame) -> DataFrame:
     """Normalised product of two layers; an all-zero feature layer counts as uniform."""
     f = with_totals(feature.select("grid_id", "row", "col", F.col("p").alias("_f")), ["grid_id"], {"_fs": F.sum("_f")})

@@ -46,15 +46,15 @@ def running_sums(df: DataFrame, keys: list[str], order: str, sums: dict[str, Col
 
 
 def _neighbour(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str, back: bool, width: int) -> DataFrame:
-    c = df.withColumn("_st", F.struct(*cols))
-    c = c if "_chunk" in df.columns else chunk(c, order, width)
-    edge = F.max_by("_st", order) if back else F.min_by("_st", order)
-    parts = c.groupBy(*keys, "_chunk").agg(edge.alias("_edge"))
-    shift = F.lag if back else F.lead
-    carry = parts.select(*keys, "_chunk", shift("_edge").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
-    local = shift("_st").over(Window.partitionBy(*keys, "_chunk").orderBy(order))
-    out = on_keys(c, carry, keys + ["_chunk"]).withColumn("_nb", F.coalesce(local, F.col("_carry")))
-    return out.select(*df.columns, *[F.col(f"_nb.{n}").alias(f"{prefix}{n}") for n in cols])
+    c = df if "_chunk" in df.columns else chunk(df, order, width)
+    edge, shift = (F.max_by, F.lag) if back else (F.min_by, F.lead)
+    parts = c.groupBy(*keys, "_chunk").agg(*[edge(n, order).alias(n) for n in cols])
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    carry = parts.select(*keys, "_chunk", *[shift(n).over(w).alias(f"_carry_{n}") for n in cols])
+    lw = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    inside = shift(F.lit(True)).over(lw)  # null on the edge row of a chunk, whose neighbour comes from the carry
+    joined = on_keys(c, carry, keys + ["_chunk"])
+    return joined.select(*df.columns, *[F.when(inside, shift(n).over(lw)).otherwise(F.col(f"_carry_{n}")).alias(f"{prefix}{n}") for n in cols])
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, cols: list[str], width: int = CHUNK) -> DataFrame:

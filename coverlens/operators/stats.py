@@ -31,11 +31,19 @@ def fmt_p(p: Column) -> Column:
 
 def moments(df: DataFrame, keys: list[str], value: str, prefix: str = "") -> DataFrame:
     """n, mean, sd, se over the finite values, the row count and a flag that all were finite."""
-    v = F.when(_finite(F.col(value)), F.col(value))
-    g = df.groupBy(*keys).agg(
-        F.count(v).alias(f"{prefix}n"), F.avg(v).alias(f"{prefix}mean"), F.stddev_samp(v).alias(f"{prefix}sd"), F.count("*").alias(f"{prefix}n_total"),
-        F.count_if(v > 0).alias(f"{prefix}favorable_count"), F.count_if(v >= 0).alias(f"{prefix}non_adverse_count"))
-    return g.withColumns({f"{prefix}se": F.col(f"{prefix}sd") / F.sqrt(f"{prefix}n"), f"{prefix}finite": F.col(f"{prefix}n") == F.col(f"{prefix}n_total")})
+    return moments_of(df, keys, {prefix: value})
+
+
+def moments_of(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
+    """The same for several prefixed values in one aggregate."""
+    aggs = []
+    for prefix, value in values.items():
+        v = F.when(_finite(F.col(value)), F.col(value))
+        aggs += [F.count(v).alias(f"{prefix}n"), F.avg(v).alias(f"{prefix}mean"), F.stddev_samp(v).alias(f"{prefix}sd"), F.count("*").alias(f"{prefix}n_total"),
+                 F.count_if(v > 0).alias(f"{prefix}favorable_count"), F.count_if(v >= 0).alias(f"{prefix}non_adverse_count")]
+    g = df.groupBy(*keys).agg(*aggs)
+    return g.withColumns({c: e for p in values for c, e in (
+        (f"{p}se", F.col(f"{p}sd") / F.sqrt(f"{p}n")), (f"{p}finite", F.col(f"{p}n") == F.col(f"{p}n_total")))})
 
 
 def add_ci(m: DataFrame, confidence: float = 0.95, prefix: str = "", lo: str = "ci_lo", hi: str = "ci_hi") -> DataFrame:

@@ -34,12 +34,11 @@ def summary_ci(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
 
 def summary_table(contrasts: DataFrame, by: list[str], pdet_margin: float = MARGIN_PDET, rmst_margin: float = MARGIN_RMST_REL) -> DataFrame:
     """Per group and endpoint: n, mean, sd, se, t interval, sign counts, TOST; joint state. Both endpoints share one aggregate pass."""
-    parts = []
+    m = S.moments_of(contrasts, by, {"dPdet_": "dPdet", "dRMST_rel_": "dRMST_rel"})
     for name, margin in (("dPdet", pdet_margin), ("dRMST_rel", rmst_margin)):
-        m = S.add_tost(S.add_ci(S.moments(contrasts, by, name, f"{name}_"), 0.95, f"{name}_"), margin, 0.05, f"{name}_")
-        state = classify_endpoint(F.col(f"{name}_mean"), F.col(f"{name}_ci_lo"), F.col(f"{name}_ci_hi"), F.col(f"{name}_equivalent"), margin)
-        parts.append(m.withColumn(f"{name}_state", state))
-    return on_keys(parts[0], parts[1], by).withColumn("state", classify_joint(F.col("dPdet_state"), F.col("dRMST_rel_state")))
+        m = S.add_tost(S.add_ci(m, 0.95, f"{name}_"), margin, 0.05, f"{name}_")
+        m = m.withColumn(f"{name}_state", classify_endpoint(F.col(f"{name}_mean"), F.col(f"{name}_ci_lo"), F.col(f"{name}_ci_hi"), F.col(f"{name}_equivalent"), margin))
+    return m.withColumn("state", classify_joint(F.col("dPdet_state"), F.col("dRMST_rel_state")))
 
 
 def global_summary(means: DataFrame, endpoint: str, cluster: str, value: str, margin: float, iterations: int, seed: int) -> DataFrame:
@@ -53,16 +52,14 @@ def global_summary(means: DataFrame, endpoint: str, cluster: str, value: str, ma
 
 def operational_summary(contrasts: DataFrame, by: list[str], pdet_margin: float = 0.01, rmst_margin: float = 0.02, l_min: float = 0.01) -> DataFrame:
     """Means, sds, 95 and 90 % intervals and the six-state verdict per group."""
-    out, ends = None, {}
+    m = S.moments_of(contrasts, by, {"dPdet_": "dPdet", "dRMST_rel_": "dRMST_rel", "_l_": "dL"})
+    keep, ends = [], {}
     for name in ("dPdet", "dRMST_rel"):
-        m = S.moments(contrasts, by, name, f"{name}_")
         m = S.add_ci(S.add_ci(m, 0.95, f"{name}_", "ci95_lo", "ci95_hi"), 0.90, f"{name}_", "ci90_lo", "ci90_hi")
         ends[name] = {"mean": F.col(f"{name}_mean"), "lo95": F.col(f"{name}_ci95_lo"), "hi95": F.col(f"{name}_ci95_hi"), "lo90": F.col(f"{name}_ci90_lo"), "hi90": F.col(f"{name}_ci90_hi")}
-        keep = ["n", "mean", "sd", "ci95_lo", "ci95_hi", "ci90_lo", "ci90_hi", "favorable_count"]
-        m = m.select(*by, *[f"{name}_{c}" for c in keep])
-        out = m if out is None else on_keys(out, m, by)
-    l = contrasts.groupBy(*by).agg(F.avg("dL").alias("mean_dL"))
-    return on_keys(out, l, by).withColumn("verdict", verdict(ends["dPdet"], ends["dRMST_rel"], F.col("mean_dL"), pdet_margin, rmst_margin, l_min))
+        keep += [f"{name}_{c}" for c in ("n", "mean", "sd", "ci95_lo", "ci95_hi", "ci90_lo", "ci90_hi", "favorable_count")]
+    m = m.withColumn("mean_dL", F.col("_l_mean"))
+    return m.withColumn("verdict", verdict(ends["dPdet"], ends["dRMST_rel"], F.col("mean_dL"), pdet_margin, rmst_margin, l_min)).select(*by, *keep, "mean_dL", "verdict")
 
 
 def response_surface(contrasts: DataFrame, by: list[str]) -> DataFrame:

@@ -341,6 +341,17 @@ def _(spark, d):
 U = lambda tag: f"('0x' || substr(md5('13|' || draw || '|{tag}'), 1, 8))::BIGINT / 4294967296.0"
 
 
+@query("polygon_prior", with_(FT, CELL, f"""
+big AS (SELECT sum((a.x + b.x) * (a.x * b.y - b.x * a.y)) / (3 * sum(a.x * b.y - b.x * a.y)) AS cx, sum((a.y + b.y) * (a.x * b.y - b.x * a.y)) / (3 * sum(a.x * b.y - b.x * a.y)) AS cy FROM ed WHERE no = (SELECT max(no) FROM ft WHERE NOT line)),
+dp0 AS (SELECT "row", col, sqrt((col - cx) * (col - cx) + ("row" - cy) * ("row" - cy)) / 1000.0 AS km, p AS f FROM cell, big),
+dp1 AS (SELECT *, {PDF} AS g FROM dp0), dp AS (SELECT *, g / sum(g) OVER () AS d FROM dp1)""", select='SELECT "row", col, round(d * f / sum(d * f) OVER (), 10) AS p FROM dp'))
+def _(spark, d):
+    f = A.features(spark, d).where("geom_type = 'Polygon'")
+    last = f.agg(F.max_by("pts", "feature_no").alias("pts"))
+    c = A.cells(spark, d)
+    return rounded(R.polygon_prior(c, c, A.grid_spec(spark, d), last, F.lit(MU), F.lit(SIG)).select("row", "col", "p"), 10)
+
+
 @query("weighted_sample", with_(FT, WT, FW, f"""
 tw AS (SELECT feature_type, sum(area_probability) AS w FROM fw GROUP BY 1),
 tc AS (SELECT feature_type, (sum(w) OVER (ORDER BY feature_type) - w) / sum(w) OVER () AS lo, sum(w) OVER (ORDER BY feature_type) / sum(w) OVER () AS hi FROM tw),

@@ -34,8 +34,7 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_id", (k % GRID_COLS).cast("double").alias("x"), F.col("value").alias("y"),
         )
         .groupBy("run_id", "agent_id", "t")
-        .agg(F.min_by(F.struct("x", "y"), "event_id").alias("xy"))
-        .select("run_id", "agent_id", "t", "xy.x", "xy.y")
+        .agg(F.min_by("x", "event_id").alias("x"), F.min_by("y", "event_id").alias("y"))
     )
 
 
@@ -104,8 +103,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         e.select((F.col("event_id") % 4).cast("int").alias("target_id"), t.alias("t"), "event_id",
                  (k % GRID_COLS).cast("double").alias("x"), F.col("value").alias("y"))
-        .groupBy("target_id", "t").agg(F.max_by(F.struct("x", "y"), "event_id").alias("xy"))
-        .select("target_id", "t", "xy.x", "xy.y")
+        .groupBy("target_id", "t").agg(F.max_by("x", "event_id").alias("x"), F.max_by("y", "event_id").alias("y"))
     )
 
 
