@@ -14,16 +14,19 @@ SPLITS = 64
 
 
 def on_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on (non-null) keys; plain equality keeps the partitioning usable by the next step."""
-    return df.join(other, keys, how)
+    """Equi-join on (non-null) keys; plain equality keeps the partitioning usable by the next step.
+
+    Without keys ``other`` is the single row of a global aggregate and comes in as a scalar subquery, not as a cross join.
+    """
+    if keys:
+        return df.join(other, keys, how)
+    one = other.select(F.struct("*")).scalar()
+    return df.withColumn("__one", one).select(*df.columns, *[F.col("__one")[c].alias(c) for c in other.columns])
 
 
 def with_totals(df: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
     """Attach per-key aggregates by aggregate-and-join (partial aggregation first, no whole-key window)."""
     aggs = [c.alias(n) for n, c in totals.items()]
-    if not keys:
-        one = df.agg(F.struct(*aggs)).scalar()
-        return df.withColumn("_t", one).select(*df.columns, *[F.col("_t")[n].alias(n) for n in totals])
     return on_keys(df, df.groupBy(*keys).agg(*aggs), keys)
 
 

@@ -241,10 +241,10 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: str, it
 
 def hierarchical_bootstrap(df: DataFrame, cluster: str, unit: str, value: str, iterations: int, seed: int) -> DataFrame:
     """Clusters resampled, then units within each drawn cluster; interval of the mean of cluster means."""
-    e = df.where(F.col(value).isNotNull()).select(F.lit("all").alias("_g"), cluster, unit, value)
-    cl = e.groupBy("_g", cluster).agg(F.count("*").alias("_nu"))
-    cl = with_totals(_dense_index(cl, ["_g"], cluster, "_ci"), [], {"_nc": F.count("*")})
-    un = _dense_index(e.drop("_g"), [cluster], unit, "_ui")
+    e = df.where(F.col(value).isNotNull()).select(cluster, unit, value)
+    cl = e.groupBy(cluster).agg(F.count("*").alias("_nu"))
+    cl = with_totals(_dense_index(cl, [], cluster, "_ci"), [], {"_nc": F.count("*")})
+    un = _dense_index(e, [cluster], unit, "_ui")
     un = un.join(cl.select(cluster, "_ci"), cluster).select("_ci", "_ui", value)
     slots = cl.select(F.col("_ci").alias("_slot"), "_nc", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("_b"))
     drawn = slots.select("_b", "_slot", F.floor(uniform(seed, F.col("_b"), F.col("_slot")) * F.col("_nc")).alias("_ci")).join(cl.select("_ci", "_nu"), "_ci")

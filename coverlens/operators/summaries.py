@@ -43,11 +43,10 @@ def summary_table(contrasts: DataFrame, by: list[str], pdet_margin: float = MARG
 
 def global_summary(means: DataFrame, endpoint: str, cluster: str, value: str, margin: float, iterations: int, seed: int) -> DataFrame:
     """Cluster-level endpoint row: mean, bootstrap interval, TOST over cluster means and the resulting class."""
-    g = means.withColumn("endpoint", F.lit(endpoint))
-    b = S.cluster_bootstrap(g, ["endpoint"], cluster, value, iterations, seed)
-    t = S.add_tost(S.moments(g.groupBy("endpoint", cluster).agg(F.avg(value).alias("_m")), ["endpoint"], "_m"), margin)
-    j = on_keys(b, t.select("endpoint", "sd", "equivalent"), ["endpoint"])
-    return j.withColumns({"margin": F.lit(margin), "classification": classify_endpoint(F.col("mean"), F.col("ci_lo"), F.col("ci_hi"), F.col("equivalent"), margin)})
+    b = S.cluster_bootstrap(means, [], cluster, value, iterations, seed)
+    t = S.add_tost(S.moments(means.groupBy(cluster).agg(F.avg(value).alias("_m")), [], "_m"), margin)
+    j = on_keys(b, t.select("sd", "equivalent"), [])
+    return j.withColumns({"endpoint": F.lit(endpoint), "margin": F.lit(margin), "classification": classify_endpoint(F.col("mean"), F.col("ci_lo"), F.col("ci_hi"), F.col("equivalent"), margin)})
 
 
 def operational_summary(contrasts: DataFrame, by: list[str], pdet_margin: float = 0.01, rmst_margin: float = 0.02, l_min: float = 0.01) -> DataFrame:
@@ -174,7 +173,7 @@ def pairwise_table(df: DataFrame, by: list[str], unit: list[str], arm: str, arms
     w = S.wilcoxon_paired(p, k, "_d").select(*k, "n", "statistic", "rank_biserial", "magnitude", "p")
     j = on_keys(m, w, k).withColumns({"delta_mean": F.col("mean_a") - F.col("mean_b")})
     j = j.withColumn("pct_rel", F.when(F.col("mean_b") != 0, 100 * F.col("delta_mean") / F.col("mean_b")))
-    return S.holm(j, by, "p") if by else S.holm(j.withColumn("_all", F.lit(1)), ["_all"], "p").drop("_all")
+    return S.holm(j, by, "p")
 
 
 def study_report(df: DataFrame, unit: list[str], arm: str, arms: list[str], baseline: str, value: str, paired: bool = True) -> DataFrame:
@@ -184,18 +183,17 @@ def study_report(df: DataFrame, unit: list[str], arm: str, arms: list[str], base
     """
     d = df.where(F.col(arm).isin(arms))
     base = descriptives(d, [arm], value)
-    one = d.withColumn("_g", F.lit(1))
     others = [a for a in arms if a != baseline]
     if paired:
         p = arm_pairs(d, unit, arm, [(a, baseline) for a in others], [value]).withColumn("_d", F.col(f"a_{value}") - F.col(f"b_{value}")).where("_d IS NOT NULL")
         t = S.wilcoxon_paired(p, ["first"], "_d").select(F.col("first").alias(arm), "statistic", F.col("rank_biserial").alias("effect"), "p")
-        om = S.friedman(one, ["_g"], unit, arm, value, arms).select(F.col("chi2").alias("omnibus"), F.col("p").alias("omnibus_p"))
+        om = S.friedman(d, [], unit, arm, value, arms).select(F.col("chi2").alias("omnibus"), F.col("p").alias("omnibus_p"))
     else:
         t = None
         for a in others:
-            u = S.mann_whitney(one, ["_g"], arm, a, baseline, value).select(F.lit(a).alias(arm), F.col("U").alias("statistic"), F.col("cliffs_delta").alias("effect"), "p")
+            u = S.mann_whitney(d, [], arm, a, baseline, value).select(F.lit(a).alias(arm), F.col("U").alias("statistic"), F.col("cliffs_delta").alias("effect"), "p")
             t = u if t is None else t.unionByName(u)
-        om = S.kruskal(one, ["_g"], arm, value).select(F.col("H").alias("omnibus"), F.col("p").alias("omnibus_p"))
-    t = S.holm(t.withColumn("_f", F.lit(1)), ["_f"], "p").drop("_f")
+        om = S.kruskal(d, [], arm, value).select(F.col("H").alias("omnibus"), F.col("p").alias("omnibus_p"))
+    t = S.holm(t, [], "p")
     o = om.select(F.struct("*")).scalar()
     return on_keys(base, t, [arm], "left").withColumn("_o", o).select("*", F.col("_o.omnibus"), F.col("_o.omnibus_p")).drop("_o")

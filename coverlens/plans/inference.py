@@ -219,19 +219,19 @@ cx AS (SELECT planning_mode, "P_detect" AS v, b, """ + u32("'4'", "b", "dataset"
 cy AS (SELECT 1 AS g, planning_mode, b, v, """ + poisson("u") + """ AS w FROM cx),
 cz AS (SELECT x.b, sum(x.w * y.w * sign(x.v - y.v)) / (sum(x.w * y.w) * 1.0) AS d FROM cy x JOIN cy y ON x.b = y.b AND x.planning_mode = 'A' AND y.planning_mode = 'R' WHERE x.w > 0 AND y.w > 0 GROUP BY x.b),
 c0 AS (SELECT sum(sign(x."P_detect" - y."P_detect")) / count(*) AS cd, CAST(sqrt(count(*)) AS BIGINT) AS n FROM runs x, runs y WHERE x.planning_mode = 'A' AND y.planning_mode = 'R')"""
-CBS = f"""SELECT 50 AS "T_common", n AS n_a, n AS n_b, round(cd, 8) AS cliffs_delta, {LABEL.format('cd')} AS magnitude, round(se, 8) AS se, round(lo, 8) AS ci_lo, round(hi, 8) AS ci_hi{{0}}
+CBS = f"""SELECT n AS n_a, n AS n_b, round(cd, 8) AS cliffs_delta, {LABEL.format('cd')} AS magnitude, round(se, 8) AS se, round(lo, 8) AS ci_lo, round(hi, 8) AS ci_hi{{0}}
     FROM c0, (SELECT stddev_samp(d) AS se, quantile_cont(d, {{1}}) AS lo, quantile_cont(d, {{2}}) AS hi FROM cz)"""
 
 
 @query("cliffs_delta_ci", with_(RUNS, CB, select=CBS.format("", 0.025, 0.975)))
 def _(spark, d):
     r = _runs(spark, d)
-    return rounded(S.cliffs_delta_ci(r, ["T_common"], "planning_mode", "A", "R", "P_detect", ["dataset", "planning_seed"], 40, 4), 8)
+    return rounded(S.cliffs_delta_ci(r, [], "planning_mode", "A", "R", "P_detect", ["dataset", "planning_seed"], 40, 4), 8)
 
 
 @query("cliff_equivalence", with_(RUNS, CB, select=CBS.format(", lo > -0.147 AND hi < 0.147 AS equivalent", 0.05, 0.95)))
 def _(spark, d):
-    ci = S.cliffs_delta_ci(_runs(spark, d), ["T_common"], "planning_mode", "A", "R", "P_detect", ["dataset", "planning_seed"], 40, 4, confidence=0.9)
+    ci = S.cliffs_delta_ci(_runs(spark, d), [], "planning_mode", "A", "R", "P_detect", ["dataset", "planning_seed"], 40, 4, confidence=0.9)
     return rounded(S.cliff_equivalence(ci), 8)
 
 

@@ -42,7 +42,7 @@ def cell_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings -> cell weights(grid_id, row, col, w BIGINT, valid)."""
     v = table(spark, sf_dir, "embeddings")
     return v.select(
-        F.lit("g0").alias("grid_id"), F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "e"),
+        F.concat(F.lit("g"), F.size("embedding") - GRID_COLS).alias("grid_id"), F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "e"),
     ).select(
         "grid_id", "row", "col", F.floor(F.abs(F.col("e").cast("double")) * 1e6).cast("bigint").alias("w"),
         (F.col("e") > -0.2).alias("valid"),
