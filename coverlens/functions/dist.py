@@ -17,8 +17,13 @@ from pyspark.sql.types import DoubleType
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
+
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
 
 
 def norm_sf(z):

@@ -307,20 +307,20 @@ def min_detectable(effects: DataFrame, alpha: float = 0.05, target: float = 0.8)
 def mixed_model(df: DataFrame, cluster: str, y: str, x: dict[str, Column], reml: bool = True, rounds: int = 5, points: int = 33) -> DataFrame:
     """Random-intercept model by profile likelihood over the variance ratio, from one row of sums per cluster.
 
-    Rows are read once into per-cluster cross products. Each round evaluates a fixed grid of ratios (a constant number of sums per
-    ratio) and the next one zooms in. Output: one row with the coefficients, variances, ICC, log-likelihood and the ratio test against
+    Rows are read once into per-cluster cross products, kept in the checkpoint folder. Each round evaluates a fixed grid of ratios (a
+    constant number of sums per ratio) and hands the next one its best ratio, a single number. Output: one row with the coefficients, variances, ICC, log-likelihood and the ratio test against
     no cluster effect. Slopes that vary by cluster are not fitted.
     """
+    from coverlens.session import cut_lineage
+
     s, names = _cluster_sums(df, cluster, y, x)
-    k = len(names)
-    spec = F.struct(F.lit(math.log(1e-6)).alias("lo"), F.lit(math.log(1e4)).alias("hi"))
-    best = None
+    s, k = cut_lineage(s), len(names)
+    lo, hi = math.log(1e-6), math.log(1e4)
     for _ in range(rounds):
-        fits = _evaluate(s, spec, points, k, reml)
+        fits = _evaluate(s, F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")), points, k, reml)
         best = fits.agg(F.max_by(F.struct("*"), "llf").alias("_b")).select("_b.*")
-        step = (F.col("hi") - F.col("lo")) / (points - 1)
-        # outside the optimum by one grid step on both sides
-        spec = best.select(F.struct((F.log("ratio") - step).alias("lo"), (F.log("ratio") + step).alias("hi"))).scalar()
+        centre, step = math.log(best.select("ratio").first()[0]), (hi - lo) / (points - 1)
+        lo, hi = centre - step, centre + step  # one grid step on both sides
     null = _evaluate(s, None, 1, k, reml).select("llf").scalar()
     ratio = F.col("ratio")
     out = best.select(*[F.get("beta", i).alias(n) for i, n in enumerate(names)], "sigma2", (ratio * F.col("sigma2")).alias("tau2"),

@@ -1,6 +1,9 @@
+import os
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # dense checks on the driver share the cores with Spark
+
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
