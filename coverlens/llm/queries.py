@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from coverlens.llm import quality_rules, token_counts, url_filter
+from coverlens.llm import byte_bpe, packing, quality_rules, token_counts, url_filter
 from coverlens.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -16,6 +16,18 @@ def query(fn):
     return fn
 
 
+@query
+def op1_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op4_byte_bpe(spark, sf_dir):
+    docs, path = table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
