@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from coverlens.llm import byte_bpe, packing, quality_rules, token_counts, url_filter
+from coverlens.llm import byte_bpe, html_extract, language_id, packing, quality_rules, token_counts, url_filter
 from coverlens.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -28,6 +28,13 @@ def op4_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
 
 
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
