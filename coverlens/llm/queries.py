@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from coverlens.llm import byte_bpe, html_extract, language_id, packing, quality_rules, token_counts, url_filter
+from coverlens.llm import byte_bpe, html_extract, jaccard_join, language_id, packing, quality_rules, token_counts, url_filter
 from coverlens.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -35,6 +35,12 @@ def op5_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_jaccard_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard_join.jaccard_join(docs).select("doc_id", "class_id", "n_links", "kept")
+
+
 @query
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
