@@ -63,3 +63,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if names is None:
         return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return names
+
+
+def linked_rows(rows: DataFrame, classes: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """(id, set_key, class_id, n_links, kept) of rows (id, set_key), whose equal keys form classes (set_key, rep, size).
+
+    `found` has (set_key, links, root) rows of linked classes: link counts to add up, and another class that links connect them with.
+    class_id is the smallest rep that links reach; a null key links with nothing and is its own class. Equal keys may hold a third of
+    all rows, so class facts are computed per key and joined to the rows last."""
+    roots = components(found, "set_key", "root").select(F.col("node").alias("set_key"), "root")
+    counts = found.groupBy("set_key").agg(F.sum("links").alias("links"))
+    known = classes.select("set_key", "rep", "size").join(roots, "set_key", "left").join(counts, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    ids = known.groupBy("root").agg(F.min("rep").alias("class_id"))
+    known = known.join(ids, "root").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    own = F.when(F.col("set_key").isNull(), F.col(id_col)).otherwise(F.col("class_id"))
+    out = rows.select(id_col, "set_key").join(known, "set_key", "left").select(id_col, "set_key", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col).eqNullSafe(F.col("class_id")), F.lit(False)))

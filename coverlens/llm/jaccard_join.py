@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import byte_slices, checkpointed, components, texts_of
+from coverlens.llm.common import byte_slices, checkpointed, linked_rows, texts_of
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, RECALL = 20, 8, 0.9999
@@ -167,15 +167,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     pairs = pairs.select("tree", "prefix", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "block", "set_key", "size")
     tasks = pairs.join(sets, "set_key").groupBy("tree", "prefix", "i", "j")
     out = checkpointed(tasks.applyInArrow(verify(threshold), "set_key binary, links long, root binary"))
-    roots = components(out, "set_key", "root").select(F.col("node").alias("set_key"), "root")
-    counts = out.groupBy("set_key").agg(F.sum("links").alias("links"))
-    known = classes.select("set_key", "rep", "size").join(roots, "set_key", "left").join(counts, "set_key", "left")
-    known = known.withColumn("root", F.coalesce("root", "set_key"))
-    ids = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(ids, "root").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    own = F.col("set_key").isNull()
-    out = rows.select(id_col, "set_key").join(known, "set_key", "left").select(id_col, "set_key", F.when(own, F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col).eqNullSafe(F.col("class_id")), F.lit(False)))
+    return linked_rows(rows, classes, out, id_col)
 
 
 def with_set_key(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from coverlens.llm import byte_bpe, html_extract, jaccard_join, language_id, packing, quality_rules, token_counts, url_filter
+from coverlens.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, packing, quality_rules, token_counts, url_filter
 from coverlens.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -22,6 +22,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@query
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 @query
 def op4_byte_bpe(spark, sf_dir):
     docs, path = table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken")
