@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -21,20 +20,21 @@ from pyspark.sql import DataFrame
 
 from coverlens.llm.common import byte_slices, texts_of
 
-CACHE_WORDS = 400_000
-BLOCK_BYTES = 1 << 25
+CACHE_WORDS = 700_000
+BLOCK_BYTES = 1 << 24
 SLICE_BYTES = 1 << 21
 NONE = np.int32(2**31 - 1)
 SHIFT = 17
 
-#: A blank before another character ends a chunk unless another blank or an empty or blank-edged line is near it.
-ODD = re.compile(r"[ \n](?=[\s])|^\s|\s$|[^\S \n]")
-
-
 def chunks(text: str) -> list[list[str]] | None:
-    """Lines of blank-separated chunks, or None where white space is not single. Each chunk but a line's first stands for a blank and
-    itself; a single line end between other characters is a piece of its own."""
-    return None if ODD.search(text) else [line.split(" ") for line in text.split("\n")] if text else []
+    """Lines of blank-separated chunks, or None where blanks and line ends stand next to white space in a way that joins them in a match.
+    Each chunk but a line's first stands for a blank and itself; a line end is a piece of its own."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return None
+    lines = text.split("\n")
+    if any(line[:1].isspace() for line in lines[1:]):
+        return None
+    return [line.split(" ") for line in lines]
 
 
 def letters(chunk: str) -> bool:
@@ -50,11 +50,26 @@ class ChunkCache:
         self.pieces: dict[str, bytes] = {}  # by piece or first chunk of a line
         self.after: dict[str, bytes] = {}  # by chunk that follows a blank
 
+    def split(self, lead: str, chunk: str) -> list[str]:
+        """The pattern's matches in lead + chunk."""
+        if letters(chunk):
+            return [lead + chunk]
+        if chunk[-1:] in (".", ",") and letters(chunk[:-1]):
+            return [lead + chunk[:-1], chunk[-1]]
+        return self.find(lead + chunk)
+
+    def trim(self) -> None:
+        """Over the limit, keeps the shorter half of the chunks, which return more often than long ones."""
+        for d in (self.pieces, self.after):
+            if len(d) > self.limit:
+                longest = sorted(map(len, d))[len(d) // 2]
+                kept = {c: v for c, v in d.items() if len(c) < longest}
+                d.clear()
+                d.update(kept)
+
     def learn(self, texts: Iterator[str]) -> None:
         """Encodes what the texts hold and the cache lacks."""
-        if len(self.pieces) + len(self.after) > self.limit:
-            self.pieces.clear()
-            self.after.clear()
+        self.trim()
         first, after = {"\n"}, set()
         for text in texts:
             lines = chunks(text)
@@ -66,16 +81,21 @@ class ChunkCache:
                     after.update(line[1:])
         first -= self.pieces.keys()
         after -= self.after.keys()
-        first_parts = {c: [c] if letters(c) else self.find(c) for c in first}
-        after_parts = {c: [" " + c] if letters(c) else self.find(" " + c) for c in after}
-        parts = {p for ps in first_parts.values() for p in ps}
-        for ps in after_parts.values():
-            parts.update(ps)
-        known = {p: self.pieces[p] for p in parts if p in self.pieces}
-        new = [p for p in parts if p not in known]
+        matches = [(self.pieces, c, self.split("", c)) for c in first]
+        matches += [(self.after, c, self.split(" ", c)) for c in after]
+        known: dict[str, bytes] = {}
+        new = set()
+        for _, _, parts in matches:
+            for p in parts:
+                ids = self.after.get(p[1:]) if p[0] == " " else self.pieces.get(p)
+                if ids is None:
+                    new.add(p)
+                else:
+                    known[p] = ids
+        new = list(new)
         known.update(zip(new, self.encode(new)))
-        self.pieces.update((c, b"".join(map(known.__getitem__, ps))) for c, ps in first_parts.items())
-        self.after.update((c, b"".join(map(known.__getitem__, ps))) for c, ps in after_parts.items())
+        for d, chunk, parts in matches:
+            d[chunk] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
         """Ids of a text whose pieces were learnt."""
