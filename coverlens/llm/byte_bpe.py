@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from coverlens.llm.common import byte_slices, texts_of
 
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 BLOCK_BYTES = 1 << 24
 SLICE_BYTES = 1 << 21
 NONE = np.int32(2**31 - 1)
@@ -252,6 +252,17 @@ def worker_cache(path: str, pattern: str) -> ChunkCache:
     return ChunkCache(pattern, merge_table(path).encode)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """The first column and the ids of the texts of the second, slice by slice."""
+    words = worker_cache(path, pattern)
+    for whole in batches:
+        for block in byte_slices(whole, whole.schema.names[1], BLOCK_BYTES):
+            parts = list(byte_slices(block, block.schema.names[1], SLICE_BYTES))
+            words.learn(t for part in parts for t in texts_of(part.column(1)))
+            for part in parts:
+                yield part.column(0), [words.ids(t) for t in texts_of(part.column(1))]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary): every document's token ids as little-endian 32-bit words, as the library of such rank files gives them.
 
@@ -260,13 +271,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_cache(path, pattern)
-        for whole in batches:
-            for block in byte_slices(whole, text_col, BLOCK_BYTES):
-                parts = list(byte_slices(block, text_col, SLICE_BYTES))
-                words.learn(t for part in parts for t in texts_of(part.column(1)))
-                for part in parts:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([words.ids(t) for t in texts_of(part.column(1))], pa.binary())], [id_col, "ids"])
+        for key, ids in encoded(batches, path, pattern):
+            yield pa.RecordBatch.from_arrays([key, pa.array(ids, pa.binary())], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -284,19 +290,19 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of `encode`'s rows: digests of the decimal ids and of the decoded bytes."""
-    schema = f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): digests of what `encode` and `decode` give, taken in one pass without storing the ids."""
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merge_table(path)
         token, decimal = table.tokens.__getitem__, [str(i) for i in range(len(table.tokens))].__getitem__
-        for batch in batches:
+        for key, texts in encoded(batches, path, pattern):
             rows = []
-            for x in batch.column(1):
-                ids = np.frombuffer(x.as_buffer(), "<u4").tolist()
+            for x in texts:
+                ids = np.frombuffer(x, "<u4").tolist()
                 rows.append((len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(map(token, ids))).hexdigest()))
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            n, a, b = zip(*rows)
+            yield pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from coverlens.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, packing, quality_rules, token_counts, url_filter
+from coverlens.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, token_counts, url_filter
 from coverlens.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -22,6 +22,15 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@query
+def op2_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    return license_scan.license_scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))))
+
+
+ORACLE["op2_license_scan"] = license_scan.twin_sql("concat_ws('/', source, lang, doc_id)")
+
+
 @query
 def op3_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
@@ -29,8 +38,7 @@ def op3_embedding_dedup(spark, sf_dir):
 
 @query
 def op4_byte_bpe(spark, sf_dir):
-    docs, path = table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.digests(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return byte_bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query
