@@ -87,3 +87,36 @@ def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     number = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)(\\\\.html)?/?$', 1), '') AS bigint)")
     rows = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("host", number.alias("doc_id"))
     return rows.join(known, "doc_id").select("host", "bad")
+
+
+def shrink_sql(name: str, source: str, k: str, n: str, prior: str) -> str:
+    """CTE of `shrink` over a relation with counts k and n and a prior mean."""
+    return f"""{name}_m AS (SELECT least({STRENGTH[1]}, greatest({STRENGTH[0]}, CASE WHEN rho > 0 THEN 1 / rho - 1 ELSE {STRENGTH[1]} END)) m FROM (
+  SELECT CASE WHEN sum({prior} * (1 - {prior}) * ({n} - 1)) > 0
+    THEN (sum({n} * pow({k} / {n} - {prior}, 2)) - sum({prior} * (1 - {prior}))) / sum({prior} * (1 - {prior}) * ({n} - 1)) ELSE 0 END rho FROM {source})),
+{name} AS (SELECT *, {n} + m {name}_size, ({k} + m * {prior}) / ({n} + m) {name}_mean FROM {source}, {name}_m)"""
+
+
+def twin_sql(rules=RULES) -> str:
+    """DuckDB statement with the rows of url_filter over pages and labels."""
+    fits = []
+    for text, what in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
+        where, slash, start = text.partition("/")
+        fits.append((text, what, f"(host = '{where}' OR ends_with(host, '.{where}')) AND starts_with(path, '{slash + start}')"))
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for t, _, c in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {c} THEN '{w}'" for _, w, c in fits) + f" WHEN bound > {MAX_BAD} THEN 'block' ELSE 'allow' END"
+    return f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+outcomes AS (SELECT host, bad FROM (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]+)(\\.html)?/?$', 1), '') AS BIGINT) doc_id FROM p) JOIN known USING (doc_id) WHERE host <> ''),
+hosts AS (SELECT host, count(*)::DOUBLE n, sum(bad)::DOUBLE k, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix FROM outcomes GROUP BY host),
+domains AS (SELECT domain, suffix, sum(n) dn, sum(k) dk FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(dn) sn, sum(dk) sk FROM domains GROUP BY ALL),
+s0 AS (SELECT *, (sum(sk) OVER () + 1) / (sum(sn) OVER () + 2) m0 FROM suffixes),
+{shrink_sql("s", "s0", "sk", "sn", "m0")},
+d0 AS (SELECT domains.*, s_mean FROM domains JOIN s USING (suffix)),
+{shrink_sql("d", "d0", "dk", "dn", "s_mean")},
+h0 AS (SELECT hosts.*, d_mean FROM hosts JOIN d USING (domain)),
+{shrink_sql("h", "h0", "k", "n", "d_mean")},
+known_hosts AS (SELECT host, h_mean - {Z} * sqrt(h_mean * (1 - h_mean) / (h_size + 1)) bound FROM h)
+SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, round(bound, 6) AS bound FROM p LEFT JOIN known_hosts USING (host)"""
