@@ -65,6 +65,11 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.url_filter(pages, url_filter.labelled_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
+@query
+def op9_html_extraction(spark, sf_dir):
+    return html_extract.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
