@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def uniform(*parts) -> Column:
-    """Uniform in [0, 1) from the first 32 bits of an md5 over the given parts."""
+    """Uniform in [0, 1) from the first 52 bits of an md5 over the given parts; a double holds every such value exactly."""
     key = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
 
 
 def stable_hash(*cols: str) -> Column:
@@ -27,7 +27,10 @@ def trajectory_hash(pings: DataFrame, keys: list[str], t_max: int | None = None,
     agent = chunk.groupBy(*keys, "agent_id").agg(
         F.md5(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("_c", "_h"))), lambda s: s["_h"]))).alias("_h")
     )
-    word = lambda i: F.conv(F.substring("_h", i, 8), 16, 10).cast("bigint")
-    return agent.groupBy(*keys).agg(
-        F.sha2(F.concat_ws(";", F.count("*"), F.sum(word(1)), F.sum(word(9)), F.sum(word(17)), F.sum(word(25))), 256).alias("trajectory_hash")
+    # agents are hashed in ranges of their ids, so that no list holds all agents of a key
+    part = agent.groupBy(*keys, F.floor(F.col("agent_id") / width).alias("_c")).agg(
+        F.md5(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("agent_id", "_h"))), lambda s: s["_h"]))).alias("_h")
+    )
+    return part.groupBy(*keys).agg(
+        F.sha2(F.concat_ws(";", F.transform(F.array_sort(F.collect_list(F.struct("_c", "_h"))), lambda s: s["_h"])), 256).alias("trajectory_hash")
     )

@@ -22,8 +22,14 @@ def detect_keys(df: DataFrame, arm: str = "planning_mode") -> list[str]:
     return [c for c in ID_CANDIDATES if c in df.columns and c != arm]
 
 
-def _of(arm: str, name: str, c: str) -> Column:
-    return F.max(F.when(F.col(arm) == name, F.col(c)))
+def _of(arm: str, name: str, c: str, required: bool = False) -> Column:
+    """The value of ``c`` in the row of one arm; raises where a key repeats the arm, or lacks it if ``required``.
+
+    The guard is part of every value, so selecting fewer columns cannot drop it."""
+    n = F.count_if(F.col(arm) == name)
+    value = F.max(F.when(F.col(arm) == name, F.col(c)))
+    guard = F.raise_error(F.lit("pairing key is not unique per arm or lacks one" if required else "pairing key is not unique per arm"))
+    return F.when(n != 1 if required else n > 1, guard).otherwise(value)
 
 
 def paired_matrix(df: DataFrame, keys: list[str], arm: str, arms: list[str], metric: str, agg: str = "first") -> DataFrame:
@@ -46,12 +52,10 @@ def paired_contrasts(df: DataFrame, keys: list[str], control: str, method: str,
     """
     two = df.where(F.col(arm).isin(control, method))
     cols = ["P_detect", "RMST", "L", "H_common", *carry]
-    g = two.groupBy(*keys).agg(*[_of(arm, control, c).alias(f"_c_{c}") for c in cols], *[_of(arm, method, c).alias(f"_m_{c}") for c in cols],
-                               F.count_if(F.col(arm) == control).alias("_nc"), F.count_if(F.col(arm) == method).alias("_nm"),
+    g = two.groupBy(*keys).agg(*[_of(arm, control, c, True).alias(f"_c_{c}") for c in cols], *[_of(arm, method, c, True).alias(f"_m_{c}") for c in cols],
                                *[F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in metadata])
-    ok = (F.col("_nc") == 1) & (F.col("_nm") == 1)
     h = F.greatest("_c_H_common", "_m_H_common")
-    d_p = F.when(ok, F.col("_m_P_detect") - F.col("_c_P_detect")).otherwise(F.raise_error(F.lit("invalid paired frame")).cast("double"))
+    d_p = F.col("_m_P_detect") - F.col("_c_P_detect")
     return g.select(*keys, d_p.alias("dPdet"), ((F.col("_c_RMST") - F.col("_m_RMST")) / h).alias("dRMST_rel"), (F.col("_m_L") - F.col("_c_L")).alias("dL"), h.alias("H_common"),
                     *[F.col(f"_c_{c}").alias(f"{c}_control") for c in carry], *[F.col(f"_m_{c}").alias(f"{c}_method") for c in carry], *metadata)
 
@@ -96,7 +100,7 @@ def arm_pairs(df: DataFrame, keys: list[str], arm: str, pairs: list[tuple[str, s
                       ((F.col(f"_{at[a]}_n") > 0) & (F.col(f"_{at[b]}_n") > 0)).alias("ok")) for a, b in pairs]
     out = g.select(*keys, F.explode(F.array(*items)).alias("_p")).select(*keys, "_p.*")
     if require:
-        return out.withColumn("first", F.when(F.col("ok"), F.col("first")).otherwise(F.raise_error(F.lit("missing arm in pair")).cast("string"))).drop("ok")
+        return out.where(F.when(F.col("ok"), True).otherwise(F.raise_error(F.lit("missing arm in pair")).cast("boolean"))).drop("ok")
     return out.where("ok").drop("ok")
 
 
@@ -161,7 +165,7 @@ def code_factors(df: DataFrame, mapping: dict[str, tuple[int, int]], arm: str =
     m = F.create_map(*[v for k, (d, h) in mapping.items() for v in (F.lit(k), F.struct(F.lit(d).alias("d"), F.lit(h).alias("h")))])
     hit = F.try_element_at(m, F.col(arm))
     bad = F.raise_error(F.concat(F.lit("unknown arm: "), F.col(arm))).cast("int")
-    return df.withColumns({"dynamism": F.when(hit.isNull(), bad).otherwise(hit["d"]), "horizon": hit["h"]})
+    return df.withColumns({c: F.when(hit.isNull(), bad).otherwise(hit[c[0]]) for c in ("dynamism", "horizon")})
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

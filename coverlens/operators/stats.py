@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -101,45 +102,62 @@ def d_label(d: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d), "n/a").when(a < 0.2, "negligible").when(a < 0.5, "small").when(a < 0.8, "medium").otherwise("large")
 
 
+def _signed_ranks(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
+    """Distinct non-zero |d| of each key with counts, positive counts and mid-ranks."""
+    v = df.where(F.col(diff).isNotNull() & ~F.isnan(diff) & (F.col(diff) != 0)).groupBy(*keys, F.abs(F.col(diff)).alias("_v")).agg(
+        F.count("*").alias("_n"), F.count_if(F.col(diff) > 0).alias("_p"))
+    return sums_below(v, keys, "_v", ["_n"]).withColumn("_rank", F.col("_n_below") + (F.col("_n") + 1) / 2)
+
+
 def rank_biserial(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
     """Signed-rank sums of the non-zero differences, tie term and matched-pairs rank-biserial correlation.
 
     Ranks come from counts of distinct |d| with a chunked scan, never from sorting a group in one task.
     """
-    x = df.where(F.col(diff).isNotNull() & ~F.isnan(diff))
-    n = x.groupBy(*keys).agg(F.count("*").alias("n"))
-    v = x.where(F.col(diff) != 0).groupBy(*keys, F.abs(F.col(diff)).alias("_v")).agg(
-        F.count("*").alias("_n"), F.count_if(F.col(diff) > 0).alias("_p"))
-    r = sums_below(v, keys, "_v", ["_n"])
-    rank = F.col("_n_below") + (F.col("_n") + 1) / 2
-    g = r.groupBy(*keys).agg(F.sum("_n").alias("n_nonzero"), F.sum(F.col("_p") * rank).alias("w_plus"), F.sum((F.col("_n") - F.col("_p")) * rank).alias("w_minus"),
+    n = df.where(F.col(diff).isNotNull() & ~F.isnan(diff)).groupBy(*keys).agg(F.count("*").alias("n"))
+    rank = F.col("_rank")
+    g = _signed_ranks(df, keys, diff).groupBy(*keys).agg(F.sum("_n").alias("n_nonzero"), F.sum(F.col("_p") * rank).alias("w_plus"), F.sum((F.col("_n") - F.col("_p")) * rank).alias("w_minus"),
                              F.sum(F.col("_n").cast("double") * F.col("_n") * F.col("_n") - F.col("_n")).alias("tie_term"))
     j = on_keys(n, g, keys, "left").fillna(0, ["n_nonzero"])
     rb = F.coalesce((F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus")), F.lit(0.0))
     return j.withColumns({"statistic": F.least("w_plus", "w_minus"), "rank_biserial": rb, "magnitude": rank_label(rb)})
 
 
-def wilcoxon_paired(df: DataFrame, keys: list[str], diff: str, method: str = "auto") -> DataFrame:
-    """Two-sided signed-rank test. ``auto``: exact up to 50 untied non-zero differences without zeros, else the normal approximation."""
+def wilcoxon_paired(df: DataFrame, keys: list[str], diff: str, method: str = "normal") -> DataFrame:
+    """Two-sided signed-rank test of the non-zero differences by the method that the caller names, the same for every group.
+
+    ``normal``: tie-corrected normal approximation. ``exact``: the distribution over all signs of the mid-ranks, ties included; its cost
+    grows with the cube of a group, whose distinct ranks meet in one row, so it is for groups the caller knows to be small.
+    """
     r = rank_biserial(df, keys, diff)
     n = F.col("n_nonzero").cast("double")
-    var = (n * (n + 1) * (2 * n + 1) - F.col("tie_term") / 2) / 24
-    z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(var)
-    can = (F.col("n_nonzero") <= 50) & (F.col("tie_term") == 0) & (F.col("n_nonzero") == F.col("n")) & (F.col("n_nonzero") > 0)
-    exact = {"auto": can, "exact": F.col("n_nonzero") > 0, "normal": F.lit(False)}[method]
-    r = r.withColumns({"_e": D.wilcoxon_exact_udf(F.when(exact, F.col("statistic")), F.when(exact, n)), "_z": D.norm_two_sided_udf(F.when(F.col("n_nonzero") > 0, z))})
-    p = F.when(F.col("n_nonzero") == 0, 1.0).otherwise(cap_p(F.when(exact, F.col("_e")).otherwise(F.col("_z"))))
-    return r.withColumn("p", p).drop("_e", "_z")
+    if method == "exact":
+        ranks = _signed_ranks(df, keys, diff).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((2 * F.col("_rank")).cast("long").alias("r"), "_n"))).alias("_r"))
+        r = on_keys(r, ranks, keys, "left")
+        r = r.withColumn("_p", D.wilcoxon_exact_udf((2 * F.col("statistic")).cast("long"), F.transform("_r", lambda x: x["r"]), F.transform("_r", lambda x: x["_n"]))).drop("_r")
+    elif method == "normal":
+        var = (n * (n + 1) * (2 * n + 1) - F.col("tie_term") / 2) / 24
+        z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(var)
+        r = r.withColumn("_p", D.norm_two_sided_udf(F.when(F.col("n_nonzero") > 0, z)))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return r.withColumn("p", F.when(F.col("n_nonzero") == 0, 1.0).otherwise(cap_p(F.col("_p")))).withColumn("method", F.lit(method)).drop("_p")
 
 
 def friedman(df: DataFrame, by: list[str], block: list[str], arm: str, value: str, arms: list[str]) -> DataFrame:
-    """Omnibus over complete blocks; needs three or more arms and two or more blocks. A block holds one value per arm."""
+    """Omnibus over complete blocks; needs three or more arms and two or more blocks. A block that repeats an arm raises."""
     k = len(arms)
-    cell = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col(arm).alias("a"))))
-    b = df.where(F.col(arm).isin(arms) & F.col(value).isNotNull()).groupBy(*by, *block).agg(cell.alias("_c")).where(F.size("_c") == k)
-    below = lambda s: F.size(F.filter("_c", lambda o: o["v"] < s["v"]))
-    same = lambda s: F.size(F.filter("_c", lambda o: o["v"] == s["v"]))
-    b = b.select(*by, F.explode(F.transform("_c", lambda s: F.struct(s["a"].alias("a"), (below(s) + (same(s) + 1) / 2).alias("r"), (same(s) * same(s) - 1).alias("t")))).alias("_r"))
+    hold = lambda a: (F.col(arm) == a) & F.col(value).isNotNull()
+    b = df.where(F.col(arm).isin(arms)).groupBy(*by, *block).agg(*[F.max(F.when(hold(a), F.col(value))).alias(f"_v{i}") for i, a in enumerate(arms)], *[F.count_if(hold(a)).alias(f"_n{i}") for i, a in enumerate(arms)])
+    repeated = F.greatest(*[F.col(f"_n{i}") for i in range(k)], F.lit(0)) > 1
+    complete = F.least(*[F.col(f"_n{i}") for i in range(k)], F.lit(1)) == 1
+    b = b.where(F.when(repeated, F.raise_error(F.lit("block repeats an arm")).cast("boolean")).otherwise(complete))
+    count = lambda i, test: sum((F.when(test(F.col(f"_v{j}"), F.col(f"_v{i}")), 1).otherwise(0) for j in range(k)), F.lit(0))
+    cells = []
+    for i, a in enumerate(arms):
+        below, same = count(i, lambda x, y: x < y), count(i, lambda x, y: x == y)
+        cells.append(F.struct(F.lit(a).alias("a"), (below + (same + 1) / 2).alias("r"), (same * same - 1).alias("t")))
+    b = b.select(*by, F.explode(F.array(*cells)).alias("_r"))
     per = b.groupBy(*by, "_r.a").agg(F.sum("_r.r").alias("_R"), F.sum("_r.t").alias("_t"), F.count("*").alias("_n"))
     g = per.groupBy(*by).agg(F.sum(F.col("_R") * F.col("_R")).alias("_ss"), F.sum("_t").alias("_ties"), F.max("_n").alias("n_complete"))
     n = F.col("n_complete").cast("double")
@@ -199,8 +217,8 @@ def cohens_d(df: DataFrame, keys: list[str], arm: str, a: str, b: str, value: st
     return g.withColumn("cohens_d", dd).withColumn("d_magnitude", d_label(F.col("cohens_d"))).drop("_va", "_vb")
 
 
-# Cumulative Poisson(1) probabilities used to turn a uniform into a resampling weight.
-POISSON_CUM = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+#: Cumulative Poisson(1) probabilities that turn a uniform into a resampling weight; what lies above the last is less than 2 ** -52, the step of `uniform`.
+POISSON_CUM = list(accumulate(1 / math.factorial(i) / math.e for i in range(19)))
 
 
 def poisson_weight(u: Column) -> Column:

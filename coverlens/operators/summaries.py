@@ -101,11 +101,11 @@ def saturation_curve(df: DataFrame, param: str, arm: str, a: str, b: str, value:
     return j.withColumn("winner", F.when(F.col("p") < 0.05, F.when(F.col("delta_mean") > 0, a).otherwise(b)).otherwise("tie"))
 
 
-def wins_by_cluster(df: DataFrame, cluster: list[str], unit: list[str], arm: str, a: str, b: str, value: str) -> DataFrame:
+def wins_by_cluster(df: DataFrame, cluster: list[str], unit: list[str], arm: str, a: str, b: str, value: str, method: str = "normal") -> DataFrame:
     """Paired comparison of two arms inside each cluster with its winner (starred when p < .05)."""
     p = arm_pairs(df, cluster + unit, arm, [(a, b)], [value]).withColumn("_d", F.col(f"a_{value}") - F.col(f"b_{value}")).where("_d IS NOT NULL")
     m = p.groupBy(*cluster).agg(F.avg(f"a_{value}").alias("mean_a"), F.avg(f"b_{value}").alias("mean_b"))
-    w = S.wilcoxon_paired(p, cluster, "_d").select(*cluster, F.col("n").alias("n_pairs"), "rank_biserial", "magnitude", "statistic", "p")
+    w = S.wilcoxon_paired(p, cluster, "_d", method).select(*cluster, F.col("n").alias("n_pairs"), "rank_biserial", "magnitude", "statistic", "p")
     j = on_keys(m, w, cluster).withColumn("delta_mean", F.col("mean_a") - F.col("mean_b"))
     j = j.withColumn("pct_rel", F.when(F.col("mean_b") != 0, 100 * F.col("delta_mean") / F.col("mean_b")))
     star = F.when(F.col("p") < 0.05, "*").otherwise("")

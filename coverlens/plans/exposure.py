@@ -329,7 +329,7 @@ def _(spark, d):
 
 MOVING = """
 tk AS (SELECT CAST(event_id % 4 AS INT) AS target_id, t, arg_max(x, event_id) AS tx, arg_max(y, event_id) AS ty FROM e0 GROUP BY ALL),
-h AS (SELECT run_id, target_id, p.t, count(*) AS k, bool_or(('0x' || substr(md5('7|' || run_id || '|' || target_id || '|' || agent_id || '|' || p.t), 1, 8))::BIGINT / 4294967296.0 < 0.8) AS lucky
+h AS (SELECT run_id, target_id, p.t, count(*) AS k, bool_or(('0x' || substr(md5('7|' || run_id || '|' || target_id || '|' || agent_id || '|' || p.t), 1, 13))::BIGINT / 4503599627370496.0 < 0.8) AS lucky
     FROM ping p JOIN tk ON tk.t = p.t WHERE sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) <= 20 GROUP BY ALL),
 pairs AS (SELECT DISTINCT run_id, target_id FROM h),
 sv AS (SELECT q.run_id, q.target_id, s, pow(0.2, coalesce(sum(k), 0)) AS sv FROM pairs q CROSS JOIN (SELECT unnest(range(0, (SELECT max(t) FROM ping) + 1)) AS s) LEFT JOIN h ON h.run_id = q.run_id AND h.target_id = q.target_id AND h.t <= s GROUP BY ALL),
@@ -347,7 +347,7 @@ TTD = """
 smp AS (SELECT CAST(c_custkey AS INT) AS sample_id, CAST(c_custkey % (SELECT n_rows FROM spec) AS INT) AS "row", CAST(c_custkey % 64 AS INT) AS col FROM customer),
 grp AS (SELECT run_id, "row", col, t, count(*) AS k FROM foot GROUP BY ALL),
 hit AS (SELECT run_id, sample_id, min(t) AS ttd FROM grp JOIN smp USING ("row", col)
-    WHERE ('0x' || substr(md5('11|' || run_id || '|' || sample_id || '|' || t), 1, 8))::BIGINT / 4294967296.0 < 1 - pow(0.2, k) GROUP BY ALL),
+    WHERE ('0x' || substr(md5('11|' || run_id || '|' || sample_id || '|' || t), 1, 13))::BIGINT / 4503599627370496.0 < 1 - pow(0.2, k) GROUP BY ALL),
 g AS (SELECT run_id, count(*) AS hits, sum(ttd) AS tt FROM hit GROUP BY run_id)"""
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import functions as F
 
 from coverlens.operators import pairing as P
@@ -76,7 +79,14 @@ def _(spark, d):
     return rounded(w.select("k", "n", "n_nonzero", "w_plus", "w_minus", "statistic", "p"), 4, p=8)
 
 
-@query("wilcoxon_exact")
+# every assignment of signs of a dataset's few differences
+@query("wilcoxon_exact", with_(RUNS, contrasts(), """
+rk AS (SELECT dataset, d, rank() OVER (PARTITION BY dataset ORDER BY abs(d)) + (count(*) OVER (PARTITION BY dataset, abs(d)) - 1) / 2.0::DOUBLE AS r,
+    row_number() OVER (PARTITION BY dataset ORDER BY abs(d)) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS m FROM (SELECT dataset, "dPdet" AS d FROM con WHERE "dPdet" <> 0)),
+st AS (SELECT dataset, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM rk GROUP BY dataset),
+sg AS (SELECT dataset, s, any_value(m) AS m, coalesce(sum(r) FILTER ((s >> i) & 1 = 1), 0) AS v FROM rk, range(0, (SELECT 1 << max(m) FROM rk)) q(s) WHERE s < 1 << m GROUP BY dataset, s),
+pp AS (SELECT dataset, any_value(w) AS w, 2.0::DOUBLE * count(*) FILTER (v <= w) / pow(2, any_value(m)) AS p FROM sg JOIN st USING (dataset) GROUP BY dataset),
+nn AS (SELECT dataset, count(*) AS n FROM con GROUP BY dataset)""", select="""SELECT dataset, n, round(w, 8) AS statistic, round(coalesce(least(1.0, greatest(1e-16, p)), 1.0), 8) AS p FROM nn LEFT JOIN pp USING (dataset)"""))
 def _(spark, d):
     return rounded(S.wilcoxon_paired(_con(spark, d), ["dataset"], "dPdet", "exact").select("dataset", "n", "statistic", "p"), 8)
 
@@ -165,16 +175,16 @@ def _(spark, d):
     return rounded(S.normality_jb(A.table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice"), 7, jb=4, p=9)
 
 
-def u32(*parts: str) -> str:
-    return f"('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 8))::BIGINT / 4294967296.0"
+def u52(*parts: str) -> str:
+    return f"('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 13))::BIGINT / 4503599627370496.0"
 
 
 def poisson(u: str) -> str:
-    return "(" + " + ".join(f"({u} >= {c!r})::INT" for c in S.POISSON_CUM) + ")"
+    return "(" + " + ".join(f"({u} >= {c!r})::INT" for c in accumulate(1 / math.factorial(i) / math.e for i in range(19))) + ")"
 
 
 @query("bootstrap_mean_ci", with_(RUNS, f"""
-x AS (SELECT planning_mode, "P_detect" AS v, b, {u32("'5'", 'b', 'dataset', 'planning_seed', 'planning_mode')} AS u FROM runs, range(0, 200) r(b)),
+x AS (SELECT planning_mode, "P_detect" AS v, b, {u52("'5'", 'b', 'dataset', 'planning_seed', 'planning_mode')} AS u FROM runs, range(0, 200) r(b)),
 y AS (SELECT planning_mode, b, v, {poisson('u')} AS w FROM x),
 rep AS (SELECT planning_mode, b, sum(w * v) / sum(w) AS m FROM y GROUP BY ALL)""", select="""SELECT planning_mode, round(avg("P_detect"), 9) AS mean, count(*) AS n, round(any_value(lo), 9) AS ci_lo, round(any_value(hi), 9) AS ci_hi
     FROM runs JOIN (SELECT planning_mode, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM rep GROUP BY 1) USING (planning_mode) GROUP BY 1"""))
@@ -184,7 +194,7 @@ def _(spark, d):
 
 @query("cluster_bootstrap", with_(RUNS_K, CON_K, """
 c AS (SELECT k, dataset, avg("dPdet") AS m, row_number() OVER (PARTITION BY k ORDER BY dataset) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM con GROUP BY k, dataset),
-s AS (SELECT k, b, CAST(floor((""" + u32("'9'", "b", "i") + """) * n) AS BIGINT) AS i FROM c, range(0, 500) r(b)),
+s AS (SELECT k, b, CAST(floor((""" + u52("'9'", "b", "i") + """) * n) AS BIGINT) AS i FROM c, range(0, 500) r(b)),
 rep AS (SELECT k, b, avg(m) AS r FROM s JOIN c USING (k, i) GROUP BY ALL)""", select="""SELECT k, any_value(nc) AS n_clusters, round(any_value(mean), 9) AS mean, round(quantile_cont(r, 0.025), 9) AS ci_lo, round(quantile_cont(r, 0.975), 9) AS ci_hi
     FROM rep JOIN (SELECT k, count(*) AS nc, avg(m) AS mean FROM c GROUP BY k) USING (k) GROUP BY k"""))
 def _(spark, d):
@@ -202,9 +212,9 @@ b0 AS (SELECT CAST(s_nationkey AS INT) AS dataset, CAST(l_suppkey AS INT) AS pla
 e AS (SELECT * FROM (SELECT dataset, planning_seed, (max(v) FILTER (f1 = 1 AND f2 = 1) - max(v) FILTER (f1 = 0 AND f2 = 1)) - (max(v) FILTER (f1 = 1 AND f2 = 0) - max(v) FILTER (f1 = 0 AND f2 = 0)) AS x FROM b0 GROUP BY ALL) WHERE x IS NOT NULL),
 cl AS (SELECT dataset, count(*) AS nu, row_number() OVER (ORDER BY dataset) - 1 AS ci, count(*) OVER () AS nc FROM e GROUP BY dataset),
 un AS (SELECT ci, row_number() OVER (PARTITION BY dataset ORDER BY planning_seed) - 1 AS ui, x FROM e JOIN cl USING (dataset)),
-dr AS (SELECT b, ci AS slot, CAST(floor((""" + u32("'3'", "b", "ci") + """) * nc) AS BIGINT) AS pick FROM cl, range(0, 100) r(b)),
+dr AS (SELECT b, ci AS slot, CAST(floor((""" + u52("'3'", "b", "ci") + """) * nc) AS BIGINT) AS pick FROM cl, range(0, 100) r(b)),
 sd AS (SELECT b, slot, pick, nu, unnest(range(0, nu)) AS j FROM dr JOIN cl ON cl.ci = pick),
-pk AS (SELECT b, slot, pick AS ci, CAST(floor((""" + u32("'3'", "b", "slot", "j") + """) * nu) AS BIGINT) AS ui FROM sd),
+pk AS (SELECT b, slot, pick AS ci, CAST(floor((""" + u52("'3'", "b", "slot", "j") + """) * nu) AS BIGINT) AS ui FROM sd),
 rep AS (SELECT b, avg(m) AS r FROM (SELECT b, slot, avg(x) AS m FROM pk JOIN un USING (ci, ui) GROUP BY ALL) GROUP BY b)"""
 
 
@@ -215,7 +225,7 @@ def _(spark, d):
 
 
 CB = """
-cx AS (SELECT planning_mode, "P_detect" AS v, b, """ + u32("'4'", "b", "dataset", "planning_seed", "planning_mode") + """ AS u FROM runs, range(0, 40) r(b) WHERE planning_mode IN ('A', 'R')),
+cx AS (SELECT planning_mode, "P_detect" AS v, b, """ + u52("'4'", "b", "dataset", "planning_seed", "planning_mode") + """ AS u FROM runs, range(0, 40) r(b) WHERE planning_mode IN ('A', 'R')),
 cy AS (SELECT 1 AS g, planning_mode, b, v, """ + poisson("u") + """ AS w FROM cx),
 cz AS (SELECT x.b, sum(x.w * y.w * sign(x.v - y.v)) / (sum(x.w * y.w) * 1.0) AS d FROM cy x JOIN cy y ON x.b = y.b AND x.planning_mode = 'A' AND y.planning_mode = 'R' WHERE x.w > 0 AND y.w > 0 GROUP BY x.b),
 c0 AS (SELECT sum(sign(x."P_detect" - y."P_detect")) / count(*) AS cd, CAST(sqrt(count(*)) AS BIGINT) AS n FROM runs x, runs y WHERE x.planning_mode = 'A' AND y.planning_mode = 'R')"""
@@ -263,11 +273,8 @@ def _(spark, d):
     return rounded(M.study_report(A.table(spark, d, "orders"), ["o_orderkey"], "o_orderstatus", ["F", "O", "P"], "F", "o_totalprice", paired=False), 6)
 
 
-EXACT = """CASE WHEN n_nonzero = 0 THEN 1.0 WHEN n_nonzero = n AND tt = 0 THEN least(1.0, 2.0 * len(list_filter(range(0, CAST(pow(2, n) AS BIGINT)), lambda m: list_sum(list_transform(range(0, n), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) <= w)) / pow(2, n)) ELSE pz END"""
-
-
-@query("wins_by_cluster", with_(RUNS, PW.replace("a.planning_mode < b.planning_mode", "a.planning_mode = 'R' AND b.planning_mode = 'A'"), signed_ranks("pr", "dataset", "d"), f"""
-wc AS (SELECT dataset, avg(va) AS ma, avg(vb) AS mb FROM pr GROUP BY 1), we AS (SELECT *, {EXACT} AS pe FROM wz)""", select=f"""SELECT dataset, round(ma, 9) AS mean_a, round(mb, 9) AS mean_b, n AS n_pairs, round(rb, 8) AS rank_biserial, {LABEL.format('rb')} AS magnitude, round(w, 4) AS statistic, round(pe, 8) AS p,
+@query("wins_by_cluster", with_(RUNS, PW.replace("a.planning_mode < b.planning_mode", "a.planning_mode = 'R' AND b.planning_mode = 'A'"), signed_ranks("pr", "dataset", "d"), """
+wc AS (SELECT dataset, avg(va) AS ma, avg(vb) AS mb FROM pr GROUP BY 1), we AS (SELECT *, CASE WHEN n_nonzero = 0 THEN 1.0 ELSE greatest(1e-16, pz) END AS pe FROM wz)""", select=f"""SELECT dataset, round(ma, 9) AS mean_a, round(mb, 9) AS mean_b, n AS n_pairs, round(rb, 8) AS rank_biserial, {LABEL.format('rb')} AS magnitude, round(w, 4) AS statistic, round(pe, 8) AS p,
     round(ma - mb, 9) AS delta_mean, round(100 * (ma - mb) / mb, 7) AS pct_rel, (CASE WHEN ma - mb > 0 THEN 'R' ELSE 'A' END) || (CASE WHEN pe < 0.05 THEN '*' ELSE '' END) AS winner FROM wc JOIN we USING (dataset)"""))
 def _(spark, d):
     return rounded(M.wins_by_cluster(_runs(spark, d), ["dataset"], ["planning_seed"], "planning_mode", "R", "A", "P_detect"), 9, rank_biserial=8, statistic=4, p=8, pct_rel=7)

@@ -103,8 +103,8 @@ def _(spark, d):
 
 @query("trajectory_hash", with_(PING, """
 tc AS (SELECT run_id, agent_id, t // 4096 AS c, md5(string_agg(agent_id || ',' || t || ',' || CAST(round(x * 100) AS BIGINT) || ',' || CAST(round(y * 100) AS BIGINT), ';' ORDER BY t)) AS h FROM ping GROUP BY ALL),
-ta AS (SELECT run_id, agent_id, md5(string_agg(h, ';' ORDER BY c)) AS h FROM tc GROUP BY ALL)""", select="""SELECT run_id, sha256(count(*) || ';' || CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS BIGINT) || ';' || CAST(sum(('0x' || substr(h, 9, 8))::BIGINT) AS BIGINT) || ';' ||
-    CAST(sum(('0x' || substr(h, 17, 8))::BIGINT) AS BIGINT) || ';' || CAST(sum(('0x' || substr(h, 25, 8))::BIGINT) AS BIGINT)) AS trajectory_hash FROM ta GROUP BY run_id"""))
+ta AS (SELECT run_id, agent_id, md5(string_agg(h, ';' ORDER BY c)) AS h FROM tc GROUP BY ALL),
+tp AS (SELECT run_id, agent_id // 4096 AS c, md5(string_agg(h, ';' ORDER BY agent_id)) AS h FROM ta GROUP BY ALL)""", select="SELECT run_id, sha256(string_agg(h, ';' ORDER BY c)) AS trajectory_hash FROM tp GROUP BY run_id"))
 def _(spark, d):
     return trajectory_hash(A.pings(spark, d), ["run_id"])
 
@@ -338,7 +338,7 @@ def _(spark, d):
     return rounded(_weights(spark, d).select("feature_no", "cx", "cy"), 8)
 
 
-U = lambda tag: f"('0x' || substr(md5('13|' || draw || '|{tag}'), 1, 8))::BIGINT / 4294967296.0"
+U = lambda tag: f"('0x' || substr(md5('13|' || draw || '|{tag}'), 1, 13))::BIGINT / 4503599627370496.0"
 
 
 @query("polygon_prior", with_(FT, CELL, f"""

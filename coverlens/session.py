@@ -24,9 +24,11 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch folder only where none is set."""
+    """The shared checkpoint folder the cluster names; a scratch folder only on a local master, elsewhere it must be set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
