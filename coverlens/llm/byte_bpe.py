@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from coverlens.llm.common import byte_slices, texts_of
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 BLOCK_BYTES = 1 << 24
 SLICE_BYTES = 1 << 21
 NONE = np.int32(2**31 - 1)
