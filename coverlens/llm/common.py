@@ -45,14 +45,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that the undirected edges connect each node with.
 
-    Every round renames each node to its smallest neighbour or itself and rewrites the edges, which shrink at least to half of their
-    nodes; a hub sends one row per neighbour and the minimum is aggregated before the shuffle. Both tables stay distributed."""
+    Every round points each node to its smallest neighbour or itself, follows the pointers to their ends by doubling, and rewrites the
+    edges between the ends, of which at most half as many are left. A chain costs the logarithm of its length. A hub sends one row per
+    neighbour and its minimum is aggregated before the shuffle. All tables stay distributed."""
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     pairs = checkpointed(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     names = None
     while not pairs.isEmpty():
         both = pairs.union(pairs.select("v", "u"))
         step = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("to")))
+        moving = True
+        while moving:
+            onward = step.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("next"))
+            step = checkpointed(step.join(onward, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            moving = not step.where("moved").isEmpty()
         if names is None:
             names = step.select("node", F.col("to").alias("root"))
         else:
