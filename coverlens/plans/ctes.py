@@ -1,9 +1,16 @@
 """SQL text shared by the DuckDB twins: the driver tables as pings, cells and runs."""
 
-PING = """
+E0 = """
 e0 AS (SELECT event_type AS run_id, CAST(user_id AS INT) AS agent_id,
     CAST(floor((epoch_us(ts) / 1000000.0 - 1704067200) / 3600) AS INT) AS t, event_id,
-    CAST(CAST(json_extract_string(props, '$.k') AS INT) % 64 AS DOUBLE) AS x, value AS y, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+    CAST(CAST(json_extract_string(props, '$.k') AS INT) % 64 AS DOUBLE) AS x, value AS y, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
+
+# every event is a ping: the n-th event of a user within a step belongs to the user's n-th agent
+PING = E0 + """,
+ping AS (SELECT run_id, (row_number() OVER (PARTITION BY run_id, agent_id, t ORDER BY event_id) - 1) * 4294967296 + agent_id AS agent_id, t, x, y FROM e0)"""
+
+# streams: the first position of an agent and step
+FIRST_PING = E0 + """,
 ping AS (SELECT run_id, agent_id, t, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y FROM e0 GROUP BY ALL)"""
 
 CELL = """

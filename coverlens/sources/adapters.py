@@ -5,7 +5,7 @@ Every endpoint is a ratio of exact integer sums, so the derived tables do not de
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coverlens.operators.grid import GridSpec
@@ -24,18 +24,14 @@ def hour_index() -> Column:
 
 
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> ping(run_id, agent_id, t, x, y): one position per agent and hour, the earliest event wins."""
-    e = table(spark, sf_dir, "events")
+    """events -> ping(run_id, agent_id, t, x, y), one for every event: a user's n-th event within an hour belongs to its n-th agent.
+
+    The window orders one user's events of one hour."""
     k = F.get_json_object("props", "$.k").cast("int")
-    t = hour_index()
-    return (
-        e.select(
-            F.col("event_type").alias("run_id"), F.col("user_id").cast("int").alias("agent_id"), t.alias("t"),
-            "event_id", (k % GRID_COLS).cast("double").alias("x"), F.col("value").alias("y"),
-        )
-        .groupBy("run_id", "agent_id", "t")
-        .agg(F.min_by("x", "event_id").alias("x"), F.min_by("y", "event_id").alias("y"))
-    )
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("run_id"), F.col("user_id").cast("int").alias("user"), hour_index().alias("t"), "event_id", (k % GRID_COLS).cast("double").alias("x"), F.col("value").alias("y"))
+    nth = F.row_number().over(Window.partitionBy("run_id", "user", "t").orderBy("event_id")) - 1
+    return e.select("run_id", (nth * F.lit(1 << 32) + F.col("user")).alias("agent_id"), "t", "x", "y")
 
 
 def cell_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
