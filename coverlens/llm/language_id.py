@@ -7,6 +7,7 @@ switches occur; prediction reads whole texts in Arrow batches and shuffles nothi
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ SEQUENCE, EPOCHS, RATE, DECAY = 24, 40, 0.15, 1e-5
 MIN_COUNT = 2
 UNKNOWN = "und"
 MIN_SCORE = 0.4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 SLICE_BYTES = 1 << 21
 LANE = 256
 MAX_ORDER = 3
@@ -180,8 +181,20 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.nda
     return p.reshape(-1, K)[:n]
 
 
+_predictors: dict[bytes, Predictor] = {}
+
+
+def predictor_of(model: Model) -> Predictor:
+    """The worker's predictor for a model, kept over its tasks until another model comes."""
+    key = hashlib.sha256(model.weights.tobytes() + model.trans.tobytes() + repr(model.langs).encode()).digest()
+    if key not in _predictors:
+        _predictors.clear()
+        _predictors[key] = Predictor(model)
+    return _predictors[key]
+
+
 class Predictor:
-    """A model with a bounded cache of word scores."""
+    """A model with a bounded cache of word scores; over the limit the shorter half of the words stays, which return more often."""
 
     def __init__(self, model: Model):
         self.model, self.ids, self.scores = model, {}, np.zeros((0, len(model.langs)))
@@ -190,7 +203,10 @@ class Predictor:
         """(marginals of all words, words of each text)."""
         lists = [words_of(x) for x in texts]
         if len(self.ids) > CACHE_WORDS:
-            self.ids, self.scores = {}, self.scores[:0]
+            longest = sorted(map(len, self.ids))[len(self.ids) // 2]
+            kept = [w for w in self.ids if len(w) < longest]
+            self.scores = self.scores[[self.ids[w] for w in kept]]
+            self.ids = dict(zip(kept, range(len(kept))))
         new = list({w for ws in lists for w in ws}.difference(self.ids))
         self.scores = np.concatenate([self.scores, self.model.emissions(new)])
         self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
@@ -241,7 +257,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model)
+        predictor = predictor_of(model)
         for whole in batches:
             for batch in byte_slices(whole, text_col, SLICE_BYTES):
                 lang, score = predictor.predict(texts_of(batch.column(1)))
@@ -255,7 +271,7 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, words array<string>, langs array<string>, probs array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model)
+        predictor = predictor_of(model)
         for whole in batches:
             for batch in byte_slices(whole, text_col, SLICE_BYTES):
                 texts = texts_of(batch.column(1))
@@ -276,7 +292,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text", min_score:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model)
+        predictor = predictor_of(model)
         for whole in batches:
             for batch in byte_slices(whole, text_col, SLICE_BYTES):
                 lang, score = predictor.predict(texts_of(batch.column(at)))
