@@ -11,17 +11,16 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from coverlens.llm.common import byte_slices, texts_of
+from coverlens.llm.common import byte_slices, texts_of, worker_state
 
-CACHE_WORDS = 900_000
-BLOCK_BYTES = 1 << 24
+CACHE_WORDS = 600_000
+BLOCK_BYTES = 1 << 23
 SLICE_BYTES = 1 << 21
 NONE = np.int32(2**31 - 1)
 SHIFT = 17
@@ -240,21 +239,19 @@ class MergeTable:
         return [data[i:j] for i, j in zip([0, *stops], stops)]
 
 
-@cache
 def merge_table(path: str) -> MergeTable:
     with open(path, "rb") as f:
         return MergeTable({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-@cache
-def worker_cache(path: str, pattern: str) -> ChunkCache:
-    """One cache per Python worker, kept over its tasks."""
-    return ChunkCache(pattern, merge_table(path).encode)
+def replayer(path: str, pattern: str) -> tuple[MergeTable, ChunkCache]:
+    table = merge_table(path)
+    return table, ChunkCache(pattern, table.encode)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """The first column and the ids of the texts of the second, slice by slice."""
-    words = worker_cache(path, pattern)
+    _, words = worker_state(("replay", path, pattern), lambda: replayer(path, pattern))
     for whole in batches:
         for block in byte_slices(whole, whole.schema.names[1], BLOCK_BYTES):
             parts = list(byte_slices(block, block.schema.names[1], SLICE_BYTES))
@@ -282,7 +279,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     schema = f"{id_col} {encoded.schema[id_col].dataType.simpleString()}, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = merge_table(path).tokens.__getitem__
+        token = worker_state(("table", path), lambda: merge_table(path)).tokens.__getitem__
         for batch in batches:
             data = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], [id_col, "data"])
@@ -295,7 +292,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merge_table(path)
+        table, _ = worker_state(("replay", path, pattern), lambda: replayer(path, pattern))
         token, decimal = table.tokens.__getitem__, [str(i) for i in range(len(table.tokens))].__getitem__
         for key, texts in encoded(batches, path, pattern):
             rows = []

@@ -37,6 +37,18 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
+_state: dict = {}
+
+
+def worker_state(key=None, build=None):
+    """The one heavy object that a Python worker keeps over its tasks; asking for another key, or for none, frees it."""
+    if key not in _state:
+        _state.clear()
+        if build is not None:
+            _state[key] = build()
+    return _state.get(key)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows read back from the shared checkpoint folder: computed once, safe against lost executors."""
     return cut_lineage(df)

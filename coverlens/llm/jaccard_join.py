@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import byte_slices, checkpointed, linked_rows, texts_of
+from coverlens.llm.common import byte_slices, checkpointed, linked_rows, texts_of, worker_state
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, RECALL = 20, 8, 0.9999
@@ -80,6 +80,7 @@ def signatures(docs: DataFrame, depth: int, id_col: str, text_col: str, with_set
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, set_key binary, n int, prefixes array<long>" + ", shingles binary" * with_sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         for whole in batches:
             for batch in byte_slices(whole, text_col, SLICE_BYTES):
                 sets = shingle_sets(texts_of(batch.column(1)))
@@ -175,6 +176,7 @@ def with_set_key(docs: DataFrame, name: str, text_col: str = "text") -> DataFram
     at, schema = docs.columns.index(text_col), docs.select("*", F.lit(None).cast("binary").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         for whole in batches:
             for batch in byte_slices(whole, text_col, SLICE_BYTES):
                 keys = pa.array(set_keys(shingle_sets(texts_of(batch.column(at)))), pa.binary())

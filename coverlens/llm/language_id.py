@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import byte_slices, texts_of
+from coverlens.llm.common import byte_slices, texts_of, worker_state
 
 #: Expected labelled documents for each language, and the characters of the window taken from each at a place given by a hash.
 SAMPLE_DOCS, WINDOW_CHARS = 300, 400
@@ -25,7 +25,7 @@ SEQUENCE, EPOCHS, RATE, DECAY = 24, 40, 0.15, 1e-5
 MIN_COUNT = 2
 UNKNOWN = "und"
 MIN_SCORE = 0.4
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 SLICE_BYTES = 1 << 21
 LANE = 256
 MAX_ORDER = 3
@@ -181,16 +181,10 @@ def marginals(e: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.nda
     return p.reshape(-1, K)[:n]
 
 
-_predictors: dict[bytes, Predictor] = {}
-
-
 def predictor_of(model: Model) -> Predictor:
-    """The worker's predictor for a model, kept over its tasks until another model comes."""
+    """The worker's predictor for a model, kept over its tasks."""
     key = hashlib.sha256(model.weights.tobytes() + model.trans.tobytes() + repr(model.langs).encode()).digest()
-    if key not in _predictors:
-        _predictors.clear()
-        _predictors[key] = Predictor(model)
-    return _predictors[key]
+    return worker_state(key, lambda: Predictor(model))
 
 
 class Predictor:

@@ -10,7 +10,6 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlens.llm.byte_bpe import BLOCK_BYTES, SLICE_BYTES, ChunkCache
-from coverlens.llm.common import byte_slices, checkpointed, texts_of
+from coverlens.llm.common import byte_slices, checkpointed, texts_of, worker_state
 
 MAX_LEN = 2048
 END_ID = 0
@@ -66,8 +65,7 @@ class LibraryEncoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@cache
-def worker_cache(path: str, pattern: str) -> tuple[LibraryEncoder, ChunkCache]:
+def library(path: str, pattern: str) -> tuple[LibraryEncoder, ChunkCache]:
     encoder = LibraryEncoder(path)
     return encoder, ChunkCache(pattern, encoder)
 
@@ -79,7 +77,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, max_len: int = MAX_LEN, wit
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, words = worker_cache(path, pattern)
+        encoder, words = worker_state(("library", path, pattern), lambda: library(path, pattern))
         for whole in batches:
             for block in byte_slices(whole, text_col, BLOCK_BYTES):
                 slices = list(byte_slices(block, text_col, SLICE_BYTES))

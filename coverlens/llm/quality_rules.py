@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from coverlens.llm.common import texts_of
+from coverlens.llm.common import texts_of, worker_state
 
 #: (least bytes, lowest ratio, highest ratio), chosen so that prose of any language lies well inside; a short text carries the frame's fixed bytes.
 BANDS = ((0, 0.0, 1e9), (64, 0.6, 2.6), (300, 1.1, 3.0), (1000, 1.25, 3.6), (3000, 1.36, 4.2), (10_000, 1.4, 4.8), (30_000, 1.4, 5.5))
@@ -76,6 +76,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {FIELDS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             rows = list(zip(*(judge(x, compress) for x in texts_of(batch.column(1))))) or [()] * len(NAMES)
@@ -90,6 +91,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         compress = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
             yield batch.filter(pa.array([judge(x, compress)[-1] for x in texts_of(batch.column(at))], pa.bool_()))
