@@ -285,10 +285,11 @@ def fit_lognormal(quantiles: DataFrame, keys: list[str]) -> DataFrame:
                                 F.sqrt((F.regr_syy("_y", "_z") - F.pow(F.regr_sxy("_y", "_z"), 2) / F.regr_sxx("_y", "_z")) / F.count("*")).alias("rmse"))
 
 
-def weighted_sample(features: DataFrame, n: int, seed: int, order: str = "feature_no", buckets: int = 256) -> DataFrame:
+def weighted_sample(features: DataFrame, n: int, seed: int, order: str = "feature_no") -> DataFrame:
     """``n`` draws: feature type by total weight, then feature by weight, then a point at a random place on its outline.
 
-    Draws meet the cumulative-weight intervals through equal-width buckets of [0, 1), an equi-join instead of a range join.
+    Draws meet the cumulative-weight intervals through equal-width buckets of [0, 1), an equi-join instead of a range join. There are as
+    many buckets as features, and the last interval of a type ends at 1 whatever its sum rounds to, so every draw finds its feature.
     """
     spark = features.sparkSession
     types = features.groupBy("feature_type").agg(F.sum("area_probability").alias("tw"))
@@ -301,8 +302,11 @@ def weighted_sample(features: DataFrame, n: int, seed: int, order: str = "featur
     draws = draws.select("draw", "u2", "u3", F.coalesce(F.get(F.filter("_t", lambda s: F.col("u1") < s["hi"]), 0)["feature_type"], last).alias("feature_type"))
     f = sums_below(features.where("area_probability > 0").withColumn("_w", F.col("area_probability")), ["feature_type"], order, ["_w"])
     f = with_totals(f, ["feature_type"], {"_all": F.sum("_w")})
-    f = f.withColumns({"lo": F.col("_w_below") / F.col("_all"), "hi": (F.col("_w_below") + F.col("_w")) / F.col("_all")})
-    f = f.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1)))))
+    buckets = features.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    f = with_totals(f, ["feature_type"], {"_end": F.max("_w_below")})
+    hi = F.when(F.col("_w_below") == F.col("_end"), 1.0).otherwise((F.col("_w_below") + F.col("_w")) / F.col("_all"))
+    f = f.withColumns({"lo": F.col("_w_below") / F.col("_all"), "hi": hi})
+    f = f.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), buckets - 1))))
     j = draws.withColumn("bucket", F.floor(F.col("u2") * buckets)).join(f, ["feature_type", "bucket"]).where("u2 >= lo AND u2 < hi")
     seg = F.floor(F.col("u3") * (F.size("pts") - 1)).cast("int")
     frac = F.col("u3") * (F.size("pts") - 1) - seg

@@ -29,7 +29,7 @@ ew AS (SELECT * EXCLUDE (s), {ell_at} AS ell, CAST(s.t AS INT) AS last_t FROM fo
 
 
 PLAIN = fold("s.l")
-END = fold("1 - (1 - s.l) * exp(-(720 - s.t) / 100.0)")
+END = fold("1 - (1 - s.l) * exp(-((SELECT max(t) + 1 FROM ping) - s.t) / 100.0)")
 
 
 @query("evidence_weights", with_(PING, FOOT, PLAIN, select='SELECT run_id, "row", col, round(ell, 9) AS ell, last_t FROM ew'))
@@ -50,7 +50,7 @@ post AS (SELECT {k}, "row", col, u / z AS posterior FROM jj JOIN zz USING ({k})
 
 @query("posterior", with_(PING, FOOT, END, CELL, POST.format(k="run_id"), select='SELECT run_id, "row", col, round(posterior, 9) AS posterior FROM post'))
 def _(spark, d):
-    w = B.evidence_weights(_obs(spark, d), PD, TAU, F.lit(720))
+    w = B.evidence_weights(_obs(spark, d), PD, TAU, A.pings(spark, d).agg(F.max("t") + 1).scalar())
     return rounded(B.posterior(w, A.cells(spark, d)))
 
 

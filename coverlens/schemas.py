@@ -4,14 +4,6 @@ from pyspark.sql import types as T
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
-CELL = T.StructType([
-    T.StructField("grid_id", T.StringType()),
-    T.StructField("row", T.IntegerType()),
-    T.StructField("col", T.IntegerType()),
-    T.StructField("p", T.DoubleType()),
-    T.StructField("valid", T.BooleanType()),
-])
-
 PING = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("agent_id", T.IntegerType()),
@@ -22,13 +14,6 @@ PING = T.StructType([
 
 STREAM_PING = T.StructType(PING.fields + [T.StructField("ts", T.TimestampType())])
 
-FEATURE = T.StructType([
-    T.StructField("feature_id", T.StringType()),
-    T.StructField("feature_type", T.StringType()),
-    T.StructField("geom_type", T.StringType()),
-    T.StructField("pts", T.ArrayType(POINT)),
-])
-
 TRACE_ITEM = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("replan_id", T.IntegerType()),
@@ -44,17 +29,3 @@ TRACE_ITEM = T.StructType([
     T.StructField("exact_optimal_reward", T.DoubleType()),
     T.StructField("exact_bellman_action_reward", T.DoubleType()),
 ])
-
-RUNS = T.StructType([
-    T.StructField("dataset", T.IntegerType()),
-    T.StructField("planning_seed", T.IntegerType()),
-    T.StructField("condition", T.StringType()),
-    T.StructField("k", T.IntegerType()),
-    T.StructField("planning_mode", T.StringType()),
-    T.StructField("P_detect", T.DoubleType()),
-    T.StructField("RMST", T.DoubleType()),
-    T.StructField("L", T.DoubleType()),
-    T.StructField("T", T.IntegerType()),
-    T.StructField("T_common", T.IntegerType()),
-    T.StructField("H_common", T.IntegerType()),
-])
