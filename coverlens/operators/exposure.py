@@ -26,22 +26,30 @@ def _detected(p_d: float, n: Column) -> Column:
     return 1.0 - F.pow(F.lit(1.0 - p_d), n)
 
 
-def expected_detection(counts: DataFrame, cells: DataFrame, p_d: float) -> DataFrame:
+def every_run(found: DataFrame, runs: DataFrame | None, *zero: str) -> DataFrame:
+    """Also the runs that saw nothing: one row per run of ``runs``, the named columns 0 and the others null. Unchanged without ``runs``."""
+    if runs is None:
+        return found
+    out = runs.select("run_id").distinct().join(found, "run_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast(found.schema[c].dataType)) for c in zero})
+
+
+def expected_detection(counts: DataFrame, cells: DataFrame, p_d: float, runs: DataFrame | None = None) -> DataFrame:
     j = counts.join(cells.select("row", "col", "p"), ["row", "col"])
-    return j.groupBy("run_id").agg(F.sum(F.col("p") * _detected(p_d, F.col("n"))).alias("P_detect"))
+    return every_run(j.groupBy("run_id").agg(F.sum(F.col("p") * _detected(p_d, F.col("n"))).alias("P_detect")), runs, "P_detect")
 
 
-def coverage(events: DataFrame, cells: DataFrame) -> DataFrame:
+def coverage(events: DataFrame, cells: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     seen = events.select(*CELL).distinct().join(cells.select("row", "col", "p"), ["row", "col"])
-    return seen.groupBy("run_id").agg(F.sum("p").alias("L"), F.count("*").alias("observed_cells"))
+    return every_run(seen.groupBy("run_id").agg(F.sum("p").alias("L"), F.count("*").alias("observed_cells")), runs, "L", "observed_cells")
 
 
-def exposure_stats(counts: DataFrame, n_valid: Column | None = None) -> DataFrame:
-    """Totals, revisit share, multiplicity, maximum and (given the domain size) the new-coverage share."""
+def exposure_stats(counts: DataFrame, n_valid: Column | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Totals, revisit share, multiplicity, maximum and (given the domain size) the new-coverage share; shares of nothing are null."""
     total, unique = F.sum("n"), F.count("*")
     out = [total.alias("total"), unique.alias("observed_cells"), F.max("n").alias("max_n"),
            ((total - unique) / total).alias("revisit_fraction"), (total / unique).alias("exposure_multiplicity")]
-    g = counts.groupBy("run_id").agg(*out)
+    g = every_run(counts.groupBy("run_id").agg(*out), runs, "total", "observed_cells", "max_n")
     return g if n_valid is None else g.withColumn("new_coverage_fraction", F.col("observed_cells") / n_valid)
 
 
@@ -69,8 +77,9 @@ def mission_endpoints(pings: DataFrame, cells: DataFrame, grid: GridSpec, radius
     """All stationary endpoints per run from one footprint: P_detect, RMST, L, exposure totals.
 
     ``horizon`` is the last step of the common horizon; by default the last step over all runs. ``t_max`` truncates the paths and fixes
-    the horizon there. Untouched mass survives the whole horizon.
+    the horizon there. Untouched mass survives the whole horizon: a run that sees nothing detects nothing and survives it all.
     """
+    runs = pings
     if t_max is not None:
         pings, horizon = pings.where(F.col("t") <= t_max), F.lit(t_max)
     elif horizon is None:
@@ -80,17 +89,18 @@ def mission_endpoints(pings: DataFrame, cells: DataFrame, grid: GridSpec, radius
     g = j.groupBy("run_id").agg(
         F.sum(F.col("p") * _detected(p_d, F.col("n"))).alias("P_detect"), F.sum(F.col("p") * F.col("rmst")).alias("_r"), F.sum("p").alias("L"),
         F.sum("n").alias("exposures"), F.count("*").alias("observed_cells"), F.max("n").alias("max_n"))
+    g = every_run(g, runs, "P_detect", "_r", "L", "exposures", "observed_cells", "max_n")
     mass = cells.agg(F.sum("p")).scalar()
     return g.select(
         "run_id", "P_detect", (F.col("_r") + (mass - F.col("L")) * (horizon + 1)).alias("RMST"), "L", "exposures", "observed_cells", "max_n",
-        (F.col("exposures") / F.col("observed_cells")).alias("exposure_multiplicity"),
-        ((F.col("exposures") - F.col("observed_cells")) / F.col("exposures")).alias("revisit_fraction"))
+        F.try_divide("exposures", "observed_cells").alias("exposure_multiplicity"),
+        F.try_divide(F.col("exposures") - F.col("observed_cells"), "exposures").alias("revisit_fraction"))
 
 
-def expected_rmst(events: DataFrame, cells: DataFrame, p_d: float, horizon: Column) -> DataFrame:
+def expected_rmst(events: DataFrame, cells: DataFrame, p_d: float, horizon: Column, runs: DataFrame | None = None) -> DataFrame:
     per_cell = cell_survival(step_counts(events), p_d, horizon).join(cells.select("row", "col", "p"), ["row", "col"])
     mass = cells.agg(F.sum("p")).scalar()
-    g = per_cell.groupBy("run_id").agg(F.sum(F.col("p") * F.col("rmst")).alias("_r"), F.sum("p").alias("_l"))
+    g = every_run(per_cell.groupBy("run_id").agg(F.sum(F.col("p") * F.col("rmst")).alias("_r"), F.sum("p").alias("_l")), runs, "_r", "_l")
     return g.select("run_id", (F.col("_r") + (mass - F.col("_l")) * (horizon + 1)).alias("RMST"))
 
 

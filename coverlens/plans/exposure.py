@@ -58,19 +58,19 @@ def _(spark, d):
 @query("expected_detection", with_(PING, FOOT, CNT, CELL, ENDPOINTS, select='SELECT run_id, round("P_detect", 9) AS "P_detect" FROM ep'))
 def _(spark, d):
     p, c, g = _in(spark, d)
-    return rounded(X.expected_detection(X.exposure_counts(X.exposure_events(p, g, R)), c, PD))
+    return rounded(X.expected_detection(X.exposure_counts(X.exposure_events(p, g, R)), c, PD, p))
 
 
 @query("expected_rmst", with_(PING, FOOT, CELL, RMST, select='SELECT run_id, round("RMST", 6) AS "RMST" FROM rm'))
 def _(spark, d):
     p, c, g = _in(spark, d)
-    return rounded(X.expected_rmst(X.exposure_events(p, g, R), c, PD, p.agg(F.max("t")).scalar()), 6)
+    return rounded(X.expected_rmst(X.exposure_events(p, g, R), c, PD, p.agg(F.max("t")).scalar(), p), 6)
 
 
 @query("coverage", with_(PING, FOOT, CNT, CELL, ENDPOINTS, select='SELECT run_id, round("L", 9) AS "L", observed_cells FROM ep'))
 def _(spark, d):
     p, c, g = _in(spark, d)
-    return rounded(X.coverage(X.exposure_events(p, g, R), c))
+    return rounded(X.coverage(X.exposure_events(p, g, R), c, p))
 
 
 @query("exposure_stats", with_(PING, FOOT, CNT, CELL, select="""SELECT run_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS observed_cells, max(n) AS max_n,
@@ -79,7 +79,7 @@ def _(spark, d):
 def _(spark, d):
     p, c, g = _in(spark, d)
     n_valid = c.agg(F.count_if("valid")).scalar()
-    return rounded(X.exposure_stats(X.exposure_counts(X.exposure_events(p, g, R)), n_valid))
+    return rounded(X.exposure_stats(X.exposure_counts(X.exposure_events(p, g, R)), n_valid, p))
 
 
 EP_SELECT = """SELECT run_id, round("P_detect", 9) AS "P_detect", round("RMST", 6) AS "RMST", round("L", 9) AS "L", exposures, observed_cells, max_n,

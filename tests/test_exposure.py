@@ -24,6 +24,17 @@ def test_two_cells(spark):
     assert (r.exposures, r.observed_cells, r.max_n) == (2, 2, 1)
 
 
+def test_runs_that_see_nothing_have_rows(spark):
+    p = pings(spark, [("r", 0, 0, 0.5, 0.5), ("r", 0, 3, 1.5, 0.5), ("far", 0, 1, 90.0, 90.0)])
+    c, g = cells(spark, [[0.5, 0.5]]), GridSpec(1, 2)
+    far = X.mission_endpoints(p, c, g, 0.4, 0.8).where("run_id = 'far'").first()
+    assert (far.P_detect, far.RMST, far.L, far.exposures, far.observed_cells, far.revisit_fraction) == (0.0, 4.0, 0.0, 0, 0, None)
+    e = X.exposure_events(p, g, 0.4)
+    n = X.exposure_counts(e)
+    for df, want in ((X.expected_detection(n, c, 0.8, p), ("far", 0.0)), (X.coverage(e, c, p), ("far", 0.0, 0)), (X.expected_rmst(e, c, 0.8, F.lit(3), p), ("far", 4.0)), (X.exposure_stats(n, None, p), ("far", 0, 0, 0, None, None))):
+        assert df.count() == 2 and tuple(df.where("run_id = 'far'").first()) == want
+
+
 def test_multiplicity(spark):
     p = pings(spark, [("r", a, t, 0.5, 0.5) for a in range(2) for t in range(2)])
     c = X.exposure_counts(X.exposure_events(p, GridSpec(1, 1), 0.4))
