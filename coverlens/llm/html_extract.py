@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from coverlens.llm.common import byte_slices, texts_of
 
-#: Labelled pages that the weights are learned from: those with the smallest hashes of their ids that mark their main text.
+#: Expected number of pages, drawn by a hash of their ids, of which those that mark their main text are the labelled ones.
 SAMPLE_PAGES = 1000
 SLICE_BYTES = 1 << 22
 #: Pseudo-counts (inside, outside) of a word by the kind of its context and of a tag, before any page is seen.
@@ -107,7 +107,7 @@ def label_counts(html: str) -> Counter:
 
 def learn(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
     """Weight of every token kind seen in the sample: log odds of inside against outside, priors added. The rows that reach the driver are
-    as many as there are kinds of tags and contexts."""
+    as many as there are kinds of tags and contexts; the sampled pages are counted where they lie."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,8 +117,9 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id",
             rows = [(k, n if i else 0, 0 if i else n) for (k, i), n in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())], ["kind", "inside", "outside"])
 
-    marks = F.col(html_col).rlike("(?i)<(article|main)[ >]")
-    few = pages.where(marks).select(html_col, F.xxhash64(id_col).alias("h"), id_col).orderBy("h", id_col).limit(sample).select(html_col)
+    rate = min(1.0, sample / max(1, pages.count()))
+    draw = F.pmod(F.xxhash64(F.lit("label"), id_col), F.lit(1 << 30)) / float(1 << 30)
+    few = pages.where((draw < rate) & F.col(html_col).rlike("(?i)<(article|main)[ >]")).select(html_col)
     rows = few.mapInArrow(count, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     return {r["kind"]: weight(r["kind"], r["inside"], r["outside"]) for r in rows}
 
