@@ -1,16 +1,19 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Texts are cut into sentences; those with a licence word are compared, once for each distinct sentence, with template sentences by the
-cosine of their TF-IDF vectors, joined on terms. Document frequencies of the templates' terms are counted over all documents. A file
-whose matched sentences hold most of its words is a licence file and speaks for its directory; a file without a licence of its own takes
-that of the nearest directory above it, found by joining each directory's ancestors. Built-in functions only; the broadcast tables hold
-the templates' terms, whose number the code fixes."""
+Three things are compared with templates by the cosine of their TF-IDF vectors, joined on terms: sentences with a licence word with
+licence sentences, windows of words around a licence word with whole headers, and whole texts with whole licence texts. Windows and whole
+texts are runs of words, so comment marks and line ends do not matter. Document frequencies of the templates' terms are counted over all
+documents. A file that is a whole licence text, or whose matched sentences hold most of its words, is a licence file and speaks for its
+directory; a file without a licence of its own takes that of the nearest directory above it, found by joining each directory's ancestors.
+Built-in functions only; the broadcast tables hold the templates' terms, whose number the code fixes."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +43,41 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Public-Domain", "This work is dedicated to the public domain."),
 )
+# Headers of source files, as their licences give them. Short licence texts are headers too.
+GNU = "either version {} of the License, or (at your option) any later version."
+LOSS = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details."
+FREE, GPL = "free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation", "General Public License"
+ONLY = "free software; you can redistribute it and/or modify it under the terms of the GNU {} version {} as published by the Free Software Foundation."
+NOTICES = tuple(
+    notice
+    for name, title, version in (
+        ("GPL-2.0", GPL, "2"), ("GPL-3.0", GPL, "3"), ("LGPL-2.0", "Library " + GPL, "2"), ("LGPL-2.1", "Lesser " + GPL, "2.1"), ("LGPL-3.0", "Lesser " + GPL, "3"), ("AGPL-3.0", "Affero " + GPL, "3"),
+    )
+    for notice in (
+        (name, f"{FREE.format(':', title)}, {GNU.format(version)}"),
+        (name, f"{FREE.format(':', title)}, {GNU.format(version)} This program {LOSS.format(title)}"),
+        (name, ONLY.format(title, version)),
+    )
+) + (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software."),
+    ("GFDL-1.2", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."),
+    ("GFDL-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
+#: Whole licence texts. AGPL-3.0 is put together from GPL-3.0 and the parts in which it differs.
+WHOLE = tuple((p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "licences").glob("*.txt")))
+#: A licence text of at most so many words also stands at the head of source files.
+HEADER_WORDS = 300
+#: Lengths of the windows in words, each moved by an eighth of itself. Further ones start with a notice's first words and have its length, so that
+#: texts that differ in the version alone are told apart.
+WINDOWS = (32, 45, 64, 90, 128, 180, 256)
+#: A sentence that many licence headers begin with; a header goes before it.
+WEAK = "Proprietary"
 THRESHOLD = 0.6
+#: Least cosine of a whole text with a whole licence text. English prose shares only frequent words with one.
+WHOLE_THRESHOLD = 0.8
 FILE_SHARE = 0.5
 TOKEN = r"[a-z0-9]+(\.[0-9]+)*"
 TRIGGER = r"licen[cs]e|rights reserved|spdx|public domain|creative commons|permission|redistribut|copyright"
@@ -51,7 +88,10 @@ def terms_of(text: str) -> list[str]:
     return [m[0] for m in re.finditer(TOKEN, text.lower())]
 
 
+HEADERS = NOTICES + tuple(t for t in WHOLE if len(terms_of(t[1])) <= HEADER_WORDS)
 VOCABULARY = tuple(sorted({t for _, text in TEMPLATES for t in terms_of(text)}))
+ANCHORS = tuple(sorted({(*t[:3], len(t)) for _, text in NOTICES for t in [terms_of(text)]}))
+ALL_TERMS = tuple(sorted({t for _, text in TEMPLATES + HEADERS + WHOLE for t in terms_of(text)}))
 
 
 def tokens(text: Column) -> Column:
@@ -60,7 +100,7 @@ def tokens(text: Column) -> Column:
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int]]:
     """Number of documents, and for each term of the templates how many hold it. Null texts count as empty documents."""
-    vocabulary = F.array(*map(F.lit, VOCABULARY))
+    vocabulary = F.lit(list(ALL_TERMS))
     seen = docs.select(F.explode(F.array_union(F.array_intersect(tokens(F.coalesce(text_col, F.lit(""))), vocabulary), F.array(F.lit("")))).alias("term"))
     counts = {r["term"]: r["n"] for r in seen.groupBy("term").agg(F.count("*").alias("n")).collect()}
     return counts.pop("", 0), counts
@@ -70,30 +110,63 @@ def idf(n: int, df: int) -> float:
     return math.log((n + 1) / (df + 1)) + 1
 
 
-def own_licences(texts: DataFrame, n: int, counts: dict[str, int]) -> DataFrame:
-    """(text_key, own_license, score, is_license_file) of the distinct texts (text_key, text) that hold a matching sentence."""
-    spark = texts.sparkSession
-    weights = {t: idf(n, counts.get(t, 0)) for t in VOCABULARY}
+def matches(units: DataFrame, templates: Sequence[tuple[str, str]], vocabulary: Sequence[str], n: int, counts: dict[str, int], threshold: float) -> DataFrame:
+    """(key, words, b): the number of words and the best (-score, license) of the units (key, tokens) that some template matches."""
+    spark = units.sparkSession
+    weights = {t: idf(n, counts.get(t, 0)) for t in vocabulary}
     rows = []
-    for k, (name, text) in enumerate(TEMPLATES):
+    for k, (name, text) in enumerate(templates):
         tf = Counter(terms_of(text))
         norm = math.sqrt(sum((c * weights[t]) ** 2 for t, c in tf.items()))
         rows += [(k, name, t, c * weights[t] / norm) for t, c in tf.items()]
-    templates = spark.createDataFrame(rows, "template int, license string, term string, tw double")
+    known_templates = spark.createDataFrame(rows, "template int, license string, term string, tw double")
     known = spark.createDataFrame([(t, w) for t, w in weights.items()], "term string, idf double")
-
-    sentences = texts.where(F.lower("text").rlike(TRIGGER)).select("text_key", F.explode(F.split(F.regexp_replace("text", ENDS, "$1\n"), "\n")).alias("s"))
-    sentences = sentences.where(F.lower("s").rlike(TRIGGER)).select("text_key", "s", F.md5("s").alias("key"))
-    distinct = sentences.groupBy("key").agg(F.min("s").alias("s"))
-    words = distinct.select("key", F.explode(tokens(F.col("s"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    words = units.select("key", F.explode("tokens").alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     words = words.join(F.broadcast(known), "term", "left").select("key", "term", "tf", (F.col("tf") * F.coalesce("idf", F.lit(idf(n, 0)))).alias("w"))
     norms = words.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
-    dots = words.join(F.broadcast(templates), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= THRESHOLD)
-    best = scored.groupBy("key", "words").agg(F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("b"))
+    dots = words.join(F.broadcast(known_templates), "term").groupBy("key", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    return scored.groupBy("key", "words").agg(F.min(F.struct((-F.col("score")).alias("m"), "license")).alias("b"))
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(text_key, key, tokens): the windows of every length that hold a licence word. Words that start a comment line are taken out."""
+    bare = F.regexp_replace("text", r"(?im)^[ \t]*(dnl|rem)\b", " ")
+    words = texts.select("text_key", tokens(bare).alias("all"))
+    n = F.size("all")
+    starts = lambda size: F.sequence(F.lit(0), F.greatest(n - size + size // 8 - 1, F.lit(0)), F.lit(size // 8))
+    cut = lambda size: F.transform(starts(size), lambda at: F.slice("all", at + 1, F.lit(size)))
+    word = lambda at: F.get("all", at)
+    places = lambda a, b, c: F.filter(F.sequence(F.lit(0), n), lambda at: (word(at) == a) & (word(at + 1) == b) & (word(at + 2) == c))
+    phrases = sorted({x[:3] for x in ANCHORS})
+    words = words.select("*", *(places(*x).alias(f"at{k}") for k, x in enumerate(phrases)))
+    notice = lambda a, b, c, size: F.transform(f"at{phrases.index((a, b, c))}", lambda at: F.slice("all", at + 1, F.lit(size)))
+    found = words.select("text_key", F.explode(F.concat(*map(cut, WINDOWS), *(notice(*x) for x in ANCHORS))).alias("tokens"))
+    found = found.withColumn("s", F.array_join("tokens", " ")).where(F.col("s").rlike(TRIGGER))
+    return found.select("text_key", "tokens", F.md5("s").alias("key"))
+
+
+def own_licences(texts: DataFrame, n: int, counts: dict[str, int]) -> DataFrame:
+    """(text_key, own_license, score, is_license_file) of the distinct texts (text_key, text) that match a licence. A whole licence text
+    goes before the sentences and headers inside it."""
+    texts = texts.where(F.lower("text").rlike(TRIGGER))
+    sentences = texts.select("text_key", F.explode(F.split(F.regexp_replace("text", ENDS, "$1\n"), "\n")).alias("s"))
+    sentences = sentences.where(F.lower("s").rlike(TRIGGER)).select("text_key", "s", F.md5("s").alias("key"))
+    distinct = sentences.groupBy("key").agg(F.min("s").alias("s")).select("key", tokens(F.col("s")).alias("tokens"))
+    best = matches(distinct, TEMPLATES, VOCABULARY, n, counts, THRESHOLD)
     hits = sentences.select("text_key", "key").join(best, "key").groupBy("text_key").agg(F.min("b").alias("b"), F.sum("words").alias("matched"))
-    total = texts.where(F.lower("text").rlike(TRIGGER)).select("text_key", F.size(tokens(F.col("text"))).alias("total"))
-    return hits.join(total, "text_key").select("text_key", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("score"), (F.col("matched") >= FILE_SHARE * F.col("total")).alias("is_license_file"))
+    total = texts.select("text_key", F.size(tokens(F.col("text"))).alias("total"))
+    told = hits.join(total, "text_key").select("text_key", F.when(F.col("b.license") == WEAK, 2).otherwise(1).alias("rank"), "b", (F.col("matched") >= FILE_SHARE * F.col("total")).alias("file"))
+
+    cuts = windows(texts)
+    best = matches(cuts.groupBy("key").agg(F.min("tokens").alias("tokens")), HEADERS, ALL_TERMS, n, counts, THRESHOLD)
+    headed = cuts.select("text_key", "key").join(best, "key").groupBy("text_key").agg(F.min("b").alias("b")).select("text_key", F.lit(1).alias("rank"), "b", F.lit(False).alias("file"))
+
+    best = matches(texts.select(F.col("text_key").alias("key"), tokens(F.col("text")).alias("tokens")), WHOLE, ALL_TERMS, n, counts, WHOLE_THRESHOLD)
+    whole = best.select(F.col("key").alias("text_key"), F.lit(0).alias("rank"), "b", F.lit(True).alias("file"))
+
+    found = told.union(headed).union(whole).groupBy("text_key").agg(F.min(F.struct("rank", "b")).alias("f"), F.max("file").alias("is_license_file"))
+    return found.select("text_key", F.col("f.b.license").alias("own_license"), (-F.col("f.b.m")).alias("score"), "is_license_file")
 
 
 def license_scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -127,7 +200,8 @@ def values(rows) -> str:
 
 
 def twin_sql(path_sql: str) -> str:
-    """DuckDB statement with the rows of license_scan over documents, whose path is the given expression."""
+    """DuckDB statement with the rows of license_scan over documents, whose path is the given expression and which hold licence sentences
+    only: headers and whole licence texts have no twin."""
     return f"""
 WITH templates AS (SELECT * FROM (VALUES {values((k, *t) for k, t in enumerate(TEMPLATES))}) v(template, license, body)),
 ttf AS (SELECT template, license, term, count(*) tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(body), '{TOKEN}')) term FROM templates) GROUP BY ALL),

@@ -1,6 +1,7 @@
 """Packing, license scans, near-dedup, Jaccard join, URL filters and the pipeline against brute force, SQL twins and odd tables."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -184,6 +185,24 @@ def test_license_scan(spark):
     assert license_scan.license_scan(files.limit(0)).collect() == []
 
 
+def wrapped(mark, text, width=40):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def test_license_scan_of_headers_and_whole_texts(spark):
+    notices, whole = {}, dict(license_scan.WHOLE)
+    for name, text in license_scan.NOTICES:
+        notices.setdefault(name, text)
+    code = "\nint main(int argc, char **argv) { return run(argc, argv); }\n" * 40
+    rows = [(f"h/{i}/{name}", name, wrapped(mark, text) + code, False) for i, mark in enumerate((" * ", "# ", "// ", "dnl ")) for name, text in notices.items()]
+    rows += [(f"h/{name}", name, wrapped("# ", "Copyright 2020 Some Body. " + whole[name]) + code, False) for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "Zlib")]
+    rows += [(f"w/{name}/LICENSE", name, "Copyright (c) 2019-2021 Jane Roe and others\n\n" + wrapped("", text, 60), True) for name, text in whole.items()]
+    rows += [("w/GPL-3.0/src/x.c", "GPL-3.0", code, False), ("n/prose", None, PROSE * 20 + " a licence and a copyright are words " + PROSE, False)]
+    files = spark.createDataFrame([(i, path, text) for i, (path, _, text, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.is_license_file) for r in license_scan.license_scan(files).collect()}
+    assert got == {path: (name, is_file) for path, name, _, is_file in rows}
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.ORG/es/1?x", "https://example.org/en/12#t", "https://xexample.org/es/", "http://n.com/fr/9.html", "http://n.com/de/", "http://bad.net/p/1", "http://good.net/p/2", "nothing", None, "http://org", "http://org/", "://h.net?q"]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)] + [(0, urls[0], "h", "p"), (None, None, None, None)], "page_id long, url string, host string, verdict string")
