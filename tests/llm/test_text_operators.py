@@ -1,7 +1,9 @@
 """Quality rules, language ID, token counts, byte-level BPE and HTML extraction against brute force, the libraries and odd tables."""
 
+import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -96,6 +98,19 @@ def test_quality_rules(spark):
     assert quality_rules.in_band(5000, 2.2) and not quality_rules.in_band(5000, 9.0) and not quality_rules.in_band(5000, 1.1)
 
 
+def test_quality_rules_reject_planted_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("n_chars > 1000").select("doc_id", "text")
+    rows, rng = docs.where("length(text) > 10000").orderBy("doc_id").limit(12).collect(), random.Random(4)
+    clean = " ".join(r.text for r in rows if not quality_rules.judge(r.text, zlib.compress)[5])[:55_000]
+    code = base64.b64encode(rng.randbytes(34_000)).decode()
+    hexes = " ".join(f"{rng.getrandbits(32):08x}" for _ in range(2000))
+    again = "".join(f"{k} same part of the text once more and more\n" for k in range(1000))
+    bad = [hexes, clean + code[:45_000], clean[:30_000] + code[:20_000] + clean[30_000:], clean + again]
+    planted = spark.createDataFrame(list(enumerate([clean, *bad], 10_000_000)), "doc_id long, text string")
+    got = {r.doc_id - 10_000_000: r.kept for r in quality_rules.quality_rules(docs.union(planted)).where("doc_id >= 10000000").collect()}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: False}
+
+
 def words_in(rng, syllables, n):
     return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
