@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from coverlens.llm import byte_bpe, embedding_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, token_counts, url_filter
+from coverlens.llm import byte_bpe, centroids, collocations, embedding_dedup, html_extract, jaccard_join, language_id, license_scan, packing, quality_rules, token_counts, topk_search, url_filter
 from coverlens.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -73,3 +73,27 @@ def op9_html_extraction(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_topk_search(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+ORACLE["op11_topk_search"] = topk_search.twin_sql()
+
+
+@query
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+ORACLE["op12_centroid_clustering"] = centroids.twin_sql()
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+ORACLE["op13_collocations"] = collocations.twin_sql()
