@@ -8,19 +8,22 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.operators.grid import GridSpec, footprint
+from coverlens.operators.recurrence import settled_belief
 from coverlens.operators.scan import on_keys, with_totals
 
 CELL = ["run_id", "row", "col"]
 
 
-def observations(events: DataFrame, union_per_step: bool = True) -> DataFrame:
-    """(run, row, col, t, k): one factor per step, or one per agent and step (k of them)."""
+def observations(events: DataFrame, union_per_step: bool = True, detected: DataFrame | None = None) -> DataFrame:
+    """(run, row, col, t, k): one factor per step, or one per agent and step (k of them).
+
+    A look that finds its target is no evidence of absence: cells in ``detected`` (run, row, col, t) are skipped at their step."""
+    if detected is not None:
+        events = events.join(detected.select(*CELL, "t").distinct(), [*CELL, "t"], "left_anti")
     g = events.groupBy(*CELL, "t").agg(F.count("*").alias("k"))
     return g.withColumn("k", F.lit(1).cast("bigint")) if union_per_step else g
 
@@ -76,52 +79,13 @@ def posterior_at(obs: DataFrame, cells: DataFrame, p_d: float, tau: float, times
 
 
 def mass_conserving_belief(obs: DataFrame, cells: DataFrame, p_d: float, tau: float, end: int, time_zero: bool = True) -> DataFrame:
-    """Belief that renormalises to its own mass after every step.
+    """Belief after step ``end`` that is brought back to its own mass at every step.
 
-    Without recovery this is the evidence posterior times the total mass. With recovery every step couples all cells of a run through
-    one normaliser, so a run is a sequential recursion: runs go in parallel, each over its distinct (cell, step) rows, whose number is
-    bounded by cells x horizon.
-    """
-    if not _has_recovery(tau):
-        mass = cells.agg(F.sum("p")).scalar()
-        return posterior(evidence_weights(obs, p_d, tau), cells).withColumn("posterior", F.col("posterior") * mass)
-    total = cells.agg(F.sum("p")).scalar()
-    rows = obs.select(*CELL, "t").distinct().join(cells.select("row", "col", "p"), ["row", "col"]).withColumn("mass", total)
-    q = 1.0 - p_d
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable")
-        code, cell = pd.factorize(pdf["row"].astype(np.int64) * (1 << 31) + pdf["col"])
-        prior = np.zeros(len(cell))
-        prior[code] = pdf["p"].to_numpy()
-        mass, bg = float(pdf["mass"].iloc[0]), float(pdf["mass"].iloc[0]) - prior.sum()
-        post, base, last, seen = prior.copy(), prior.copy(), np.zeros(len(cell)), np.zeros(len(cell), bool)
-
-        def decay(t):
-            nonlocal bg
-            m = seen & (t - last > 0) & (True if time_zero else last > 0)
-            if m.any():
-                f = 1.0 - np.exp(-(t - last[m]) / tau)
-                post[m] = base[m] + (prior[m] - base[m]) * f
-                s = mass / (post.sum() + bg)
-                np.multiply(post, s, out=post)
-                bg *= s
-
-        t_all = pdf["t"].to_numpy()
-        cuts = np.flatnonzero(np.diff(t_all)) + 1
-        for idx in np.split(np.arange(len(t_all)), cuts):
-            t, c = float(t_all[idx[0]]), code[idx]
-            decay(t)
-            post[c] *= q
-            s = mass / (post.sum() + bg)
-            post *= s
-            bg *= s
-            last[c], seen[c], base[c] = t, True, post[c]
-        decay(float(end))
-        out = pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "row": cell // (1 << 31), "col": cell % (1 << 31), "posterior": post})
-        return pd.concat([out, pd.DataFrame([{"run_id": pdf["run_id"].iloc[0], "row": -1, "col": -1, "posterior": bg}])], ignore_index=True)
-
-    return rows.groupBy("run_id").applyInPandas(one, "run_id string, row int, col int, posterior double")
+    Without recovery this is the evidence posterior times the total mass, with it the recurrence of ``recurrence.settled_belief``."""
+    if _has_recovery(tau):
+        return settled_belief(obs, cells, p_d, tau, end, time_zero)
+    mass = cells.agg(F.sum("p")).scalar()
+    return posterior(evidence_weights(obs.where(F.col("t") <= end), p_d, tau), cells).withColumn("posterior", F.col("posterior") * mass)
 
 
 def belief_stats(obs: DataFrame, weights: DataFrame, cells: DataFrame) -> DataFrame:

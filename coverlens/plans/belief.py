@@ -19,6 +19,10 @@ def _obs(spark, d, union=True):
     return B.observations(X.exposure_events(A.pings(spark, d), A.grid_spec(spark, d), R), union)
 
 
+def _end(spark, d):
+    return A.pings(spark, d).agg(F.max("t") + 1).first()[0] or 0
+
+
 def fold(ell_at: str, limit: str = "", k: str = "1", extra: str = "") -> str:
     return f"""
 ob AS (SELECT run_id, "row", col, t, {k} AS k FROM foot GROUP BY run_id, "row", col, t),
@@ -66,12 +70,27 @@ def _(spark, d):
 @query("mass_conserving_belief", with_(PING, FOOT, CELL, """
 ew AS (SELECT run_id, "row", col, pow(0.2, count(DISTINCT t)) AS ell FROM foot GROUP BY ALL)""", POST.format(k="run_id"), select='SELECT run_id, "row", col, round(posterior, 9) AS posterior FROM post'))
 def _(spark, d):
-    return rounded(B.mass_conserving_belief(_obs(spark, d), A.cells(spark, d), PD, 0.0, 720))
+    return rounded(B.mass_conserving_belief(_obs(spark, d), A.cells(spark, d), PD, 0.0, _end(spark, d)))
+
+
+# step by step over all touched cells; bg is the mass of the others
+STEPS = """
+ob AS (SELECT DISTINCT run_id, "row", col, t FROM foot),
+touched AS MATERIALIZED (SELECT run_id, "row", col, p, list(t) AS ts FROM ob JOIN cell USING ("row", col) GROUP BY ALL),
+rec(run_id, "row", col, p, ts, t, post, base, last, bg) USING KEY (run_id, "row", col) AS (
+    SELECT run_id, "row", col, p, ts, -1, p, p, -1, 1 - sum(p) OVER (PARTITION BY run_id) FROM touched
+    UNION SELECT run_id, "row", col, p, ts, t, post / s2, base, last, bg / s2 FROM (SELECT *, sum(post) OVER (PARTITION BY run_id) + bg AS s2 FROM (
+        SELECT * REPLACE (CASE WHEN last >= 0 AND last < t THEN base + (p - base) * (1 - exp(-(t - last) / 100.0)) ELSE post END AS post) FROM (
+            SELECT * REPLACE (post / s1 AS post, bg / s1 AS bg, CASE WHEN o THEN post / s1 ELSE base END AS base, CASE WHEN o THEN t ELSE last END AS last) FROM (
+                SELECT *, sum(post) OVER (PARTITION BY run_id) + bg AS s1 FROM (
+                    SELECT run_id, "row", col, p, ts, t + 1 AS t, list_contains(ts, t + 1) AS o, CASE WHEN list_contains(ts, t + 1) THEN post * 0.2 ELSE post END AS post, base, last, bg
+                    FROM rec WHERE t <= (SELECT max(t) FROM ping)))))))"""
 
 
-@query("mass_conserving_belief_recovering")
+@query("mass_conserving_belief_recovering", with_(PING, FOOT, CELL, STEPS, select="""SELECT run_id, "row", col, round(post, 9) AS posterior FROM rec
+    UNION ALL SELECT DISTINCT run_id, -1, -1, round(bg, 9) FROM rec""").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
-    return rounded(B.mass_conserving_belief(_obs(spark, d), A.cells(spark, d), PD, TAU, 720))
+    return rounded(B.mass_conserving_belief(_obs(spark, d), A.cells(spark, d), PD, TAU, _end(spark, d)))
 
 
 @query("belief_stats", with_(PING, FOOT, PLAIN, CELL, """
