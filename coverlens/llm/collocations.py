@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import byte_slices, checkpointed
+from coverlens.llm.common import byte_slices, checkpointed, written
 
 PERIOD = 32
 OVERLAP = 3
@@ -209,7 +209,7 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: i
     lowest floor(2000000 a / (l + r)) of its cuts, of equal ones the first. A phrase inside a longer one that has at least `cover` percent
     of its occurrences is dropped. Repeated rows count as often as they stand, other columns are not read, an empty table gives an empty
     result. Ties in score go to the more frequent phrase, then to the smaller one in UTF-8 order."""
-    chunks = checkpointed(parse(docs, text_col, lang_col, period))
+    chunks = written(parse(docs, text_col, lang_col, period), "chunks")
     singles = checkpointed(counts(chunks, (1,), None))
     totals = singles.groupBy("lang").agg(F.sum("f").alias("n"))
     levels = [singles.where(F.col("f") >= least)]
