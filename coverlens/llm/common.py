@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -41,10 +43,21 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
 _state: dict = {}
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_state(key=None, build=None):
     """The one heavy object that a Python worker keeps over its tasks; asking for another key, or for none, frees it."""
     if key not in _state:
-        _state.clear()
+        if _state:
+            _state.clear()
+            give_back()
         if build is not None:
             _state[key] = build()
     return _state.get(key)

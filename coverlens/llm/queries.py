@@ -19,7 +19,7 @@ def query(fn):
 @query
 def op1_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query

@@ -50,7 +50,7 @@ def test_packing(spark):
 
     model = Tokenizer.from_file(JSON)
     docs = odd_documents(spark)
-    rows = packing.packed(docs, JSON, P.PATTERN).collect()
+    rows = packing.packed(docs, JSON).collect()
     want = []
     for i, t in docs.select("doc_id", "text").collect():
         ids = model.encode(t or "", add_special_tokens=False).ids + [0]
@@ -63,9 +63,19 @@ def test_packing(spark):
     for items in places.values():
         items.sort()
         assert items[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(items, items[1:])) and sum(items[-1]) <= 2048
-    with_ids = packing.pieces(docs, JSON, P.PATTERN, with_ids=True).where("doc_id = 7 AND piece = 1").first()
+    with_ids = packing.pieces(docs, JSON, with_ids=True).where("doc_id = 7 AND piece = 1").first()
     assert len(with_ids.ids) == with_ids.length == 2048
-    assert packing.packed(docs.limit(0), JSON, P.PATTERN).collect() == []
+    assert packing.packed(docs.limit(0), JSON).collect() == []
+
+
+def test_units_give_the_ids_of_whole_texts():
+    marks = ["a", "é", "字", "1", ".", "'s", "–", "😀", "\x7f", "\u0301", " ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b"]
+    texts = [None, "", " ", "\n", "<|endoftext|> in text", LONG, "x" * 300_000] + ["".join(random.Random(i).choice(marks) for _ in range(40)) for i in range(2000)]
+    encoder = packing.UnitEncoder(JSON, cache_bytes=20_000)
+    data = [(t or "").encode() for t in texts]
+    for part in (data, data[::-1], data[:1], [b"", b""], []):
+        ids, bounds = encoder.block(part)
+        assert [bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:])] == [encoder.text(t) for t in part]
 
 
 def copies(rng):
