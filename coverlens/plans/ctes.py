@@ -9,9 +9,12 @@ e0 AS (SELECT event_type AS run_id, CAST(user_id AS INT) AS agent_id,
 PING = E0 + """,
 ping AS (SELECT run_id, (row_number() OVER (PARTITION BY run_id, agent_id, t ORDER BY event_id) - 1) * 4294967296 + agent_id AS agent_id, t, x, y FROM e0)"""
 
-# streams: the first position of an agent and step
-FIRST_PING = E0 + """,
-ping AS (SELECT run_id, agent_id, t, arg_min(x, event_id) AS x, arg_min(y, event_id) AS y FROM e0 GROUP BY ALL)"""
+# streams: every event is a ping of its user; positions of a step follow each other by time and event
+STREAM_PING = E0 + """,
+ping AS (SELECT run_id, agent_id, t, x, y, event_id, ts FROM e0 JOIN events USING (event_id))"""
+STREAM_STEP = """
+st0 AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, t - lag(t) OVER w AS dt FROM ping WINDOW w AS (PARTITION BY run_id, agent_id ORDER BY ts, event_id)),
+st AS (SELECT *, coalesce(sqrt((x - px) * (x - px) + (y - py) * (y - py)), 0.0) AS step FROM st0)"""
 
 CELL = """
 w0 AS (SELECT 'g0' AS grid_id, CAST(vec_id AS INT) AS "row", CAST(i - 1 AS INT) AS col, CAST(embedding[i] AS DOUBLE) AS e

@@ -12,7 +12,7 @@ PING = T.StructType([
     T.StructField("y", T.DoubleType()),
 ])
 
-STREAM_PING = T.StructType(PING.fields + [T.StructField("ts", T.TimestampType())])
+STREAM_PING = T.StructType([T.StructField("event_id", T.LongType()), *PING.fields, T.StructField("ts", T.TimestampType())])
 
 TRACE_ITEM = T.StructType([
     T.StructField("seq", T.LongType()),

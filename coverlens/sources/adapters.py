@@ -153,5 +153,5 @@ def ping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     k = F.get_json_object("props", "$.k").cast("int")
-    return e.select(F.col("event_type").alias("run_id"), F.col("user_id").cast("int").alias("agent_id"), hour_index().alias("t"), (k % GRID_COLS).cast("double").alias("x"),
+    return e.select("event_id", F.col("event_type").alias("run_id"), F.col("user_id").cast("int").alias("agent_id"), hour_index().alias("t"), (k % GRID_COLS).cast("double").alias("x"),
                     F.col("value").alias("y"), F.col("ts").cast("timestamp").alias("ts"))

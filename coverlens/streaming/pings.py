@@ -1,6 +1,7 @@
 """Ping streams: ingest, windowed aggregates and stateful operators, each with a batch twin in ``operators``.
 
-Everything runs in append mode with a watermark, so results go to file sinks and a restart resumes from the checkpoint.
+Everything runs in append mode with a watermark, so results go to file sinks and a restart resumes from the checkpoint. Stateful
+processors take their input from ``stream_pings``: its deduplication also asks for the batch without data that fires the last timers.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from contextlib import contextmanager
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from coverlens.operators.grid import GridSpec, footprint
 from coverlens.sources.io import scratch_path
@@ -27,8 +28,9 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_pings(pings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Watermark on ``ts`` and one position per agent and step: the first arrival wins while it can still be compared."""
-    return pings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "agent_id", "t"])
+    """Watermark on ``ts``; an event delivered again (same ``event_id``) while it can still be compared goes. Every other ping stays,
+    also several of an agent within a step."""
+    return pings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def stream_exposure(pings: DataFrame, grid: GridSpec, radius: float, window: str | None = "1 day") -> DataFrame:
@@ -57,108 +59,169 @@ def stream_sessions(pings: DataFrame, gap: str) -> DataFrame:
 
 
 BLOCK = 16
+PARTS = 64
+#: Time constants after which a weight 1 - (1 - w) exp(-x) is 1 in double precision.
+RECOVERED = 38
+
+
+def _due(step: str) -> Column:
+    """End of the step that holds ``ts``, in milliseconds: with the watermark there, the step is complete."""
+    ms = F.lit(int(pd.Timedelta(step).total_seconds() * 1000))
+    return ((F.floor(F.unix_millis("ts") / ms) + 1) * ms).alias("due")
 
 
 class EvidenceProcessor(StatefulProcessor):
-    """Per (run, block of cells): evidence weight and last observation of each cell, as arrays so that one state access serves a block.
+    """Per (run, block of cells): evidence weight and last observed step of each cell, as arrays so that one state access serves a block.
 
-    Pings older than a cell's last observation are dropped and counted; a block silent for ``forget_ms`` of event time is forgotten.
+    Looks wait in the buffer until the watermark passes the end of their step, so that a late one still takes its place; then steps are
+    applied in order. With recovery, a block is forgotten when it has been silent until all its weights are 1 again; without, never.
     """
 
-    def __init__(self, p_d: float, tau: float, forget_ms: int, block: int):
-        self.p_d, self.tau, self.forget_ms, self.block = p_d, tau, forget_ms, block
+    def __init__(self, p_d: float, tau: float, block: int, step_ms: int):
+        self.p_d, self.tau, self.block, self.step_ms = p_d, tau, block, step_ms
+        self.recovering = 0 < tau < float("inf")
+        self.forget_ms = int(np.ceil(RECOVERED * tau) + 1) * step_ms if self.recovering else 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("evidence", "ell array<double>, t array<int>, dropped array<long>, seen_ms long")
+        self.state = handle.getValueState("evidence", "ell array<double>, t array<int>, seen_ms long")
+        self.held = handle.getMapState("held", "due long, t int", "cells array<int>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(rows))
-        seen = int(p["ts"].max().timestamp() * 1000)
-        size = self.block * self.block
+        dues = set()
+        for p in rows:
+            p = p.assign(cell=(p["row"] % self.block) * self.block + p["col"] % self.block)
+            for (due, t), g in p.groupby(["due", "t"]):
+                at = (int(due), int(t))
+                cells = set(g["cell"].tolist())
+                if self.held.containsKey(at):
+                    cells |= set(self.held.getValue(at)[0])
+                self.held.updateValue(at, (sorted(int(c) for c in cells),))
+                dues.add(int(due))
+        for due in dues:
+            self.handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        waiting = sorted((int(k[0]), int(k[1])) for k in self.held.keys())
+        ready = [k for k in waiting if k[0] <= now]
         old = self.state.get()
-        if old is None:
-            ell, last, dropped = np.ones(size), np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
-            self.handle.registerTimer(seen + self.forget_ms)
-        else:
-            ell, last, dropped = (np.array(v) for v in old[:3])
-            seen = max(seen, int(old[3]))
-        cell = ((p["row"] % self.block) * self.block + p["col"] % self.block).to_numpy()
-        t = p["t"].to_numpy()
-        np.add.at(dropped, cell[t < last[cell]], 1)
-        recovering = 0 < self.tau < float("inf")
-        for step in np.unique(t):
-            c = np.unique(cell[t == step])
-            c = c[last[c] < step]
-            if recovering:
+        if not ready:
+            if old is not None and not waiting and self.recovering and int(old[2]) + self.forget_ms <= now:
+                self.state.clear()
+            return
+        size = self.block * self.block
+        ell, last = (np.ones(size), np.full(size, -1, dtype=np.int64)) if old is None else (np.array(v) for v in old[:2])
+        touched = set()
+        for at in ready:
+            c, step = np.array(self.held.getValue(at)[0]), at[1]
+            self.held.removeKey(at)
+            touched.update(c.tolist())
+            if self.recovering:
                 known = c[last[c] >= 0]
                 ell[known] = 1.0 - (1.0 - ell[known]) * np.exp(-(step - last[known]) / self.tau)
             ell[c] *= 1.0 - self.p_d
             last[c] = step
-        self.state.update((ell.tolist(), last.tolist(), dropped.tolist(), seen))
-        c = np.unique(cell)
-        yield pd.DataFrame({"run_id": [key[0]] * len(c), "row": key[1] * self.block + c // self.block, "col": key[2] * self.block + c % self.block,
-                            "ell": ell[c], "last_t": last[c], "dropped": dropped[c]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        old = self.state.get()
-        if old is not None:
-            due = int(old[3]) + self.forget_ms
-            if due <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.clear()
-            else:
-                self.handle.registerTimer(due)
-        return iter(())
+        self.state.update((ell.tolist(), last.tolist(), ready[-1][0]))
+        if self.recovering:
+            self.handle.registerTimer(ready[-1][0] + self.forget_ms)
+        c = np.array(sorted(touched))
+        yield pd.DataFrame({"run_id": [key[0]] * len(c), "row": key[1] * self.block + c // self.block, "col": key[2] * self.block + c % self.block, "ell": ell[c], "last_t": last[c]})
 
     def close(self) -> None:
         pass
 
 
-def stream_evidence(pings: DataFrame, grid: GridSpec, radius: float, p_d: float, tau: float, forget: float, block: int = BLOCK) -> DataFrame:
-    """Evidence weights per touched cell; a block of cells silent for ``forget`` seconds is forgotten (back to 1)."""
-    f = footprint(pings, grid, radius).select("run_id", "row", "col", "t", "ts", F.floor(F.col("row") / block).cast("int").alias("br"), F.floor(F.col("col") / block).cast("int").alias("bc"))
+def stream_evidence(pings: DataFrame, grid: GridSpec, radius: float, p_d: float, tau: float, step: str = "1 hour", block: int = BLOCK) -> DataFrame:
+    """Evidence weights of the cells of each completed step; ``step`` is the length of a step ``t`` in event time."""
+    f = footprint(pings, grid, radius).select("run_id", "row", "col", "t", "ts", _due(step), F.floor(F.col("row") / block).cast("int").alias("br"), F.floor(F.col("col") / block).cast("int").alias("bc"))
+    step_ms = int(pd.Timedelta(step).total_seconds() * 1000)
     return f.groupBy("run_id", "br", "bc").transformWithStateInPandas(
-        EvidenceProcessor(p_d, tau, int(forget * 1000), block), "run_id string, row int, col int, ell double, last_t int, dropped long", "Append", "EventTime")
+        EvidenceProcessor(p_d, tau, block, step_ms), "run_id string, row int, col int, ell double, last_t int", "Append", "EventTime")
+
+
+MOVES = "run_id string, agent_id long, t int, event_id long, step double, dt int"
+STEP_SUMS = "run_id string, due long, t int, step double"
 
 
-class StepProcessor(StatefulProcessor):
-    """Per (run, agent): distance from the previous position; pings not newer than it are skipped."""
+class MoveProcessor(StatefulProcessor):
+    """Per (run, part of the agents): distance of each ping from the agent's previous one, in the order of event time and event id.
+
+    Pings wait until the watermark passes the end of their step. With ``keep_ms`` an agent silent for that long is forgotten.
+    """
+
+    def __init__(self, sums: bool, keep_ms: int | None):
+        self.sums, self.keep_ms = sums, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "x double, y double, t int")
+        self.handle = handle
+        self.last = handle.getMapState("last", "agent_id long", "x double, y double, t int, due long")
+        self.held = handle.getListState("held", "due long, us long, event_id long, agent_id long, t int, x double, y double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(rows)).sort_values("t", kind="stable").drop_duplicates("t")
-        old = self.state.get()
-        x, y, t = old if old is not None else (np.nan, np.nan, -1)
-        p = p[p["t"] > t]
-        if p.empty:
+        for p in rows:
+            columns = [p[c].tolist() for c in ("due", "us", "event_id", "agent_id", "t", "x", "y")]
+            self.held.appendList(list(zip(*columns)))
+            for due in set(columns[0]):
+                self.handle.registerTimer(int(due))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        ready = [r for r in held if r[0] <= now]
+        if self.keep_ms is not None:
+            for agent, old in list(self.last.iterator()):
+                if old[3] + self.keep_ms <= now:
+                    self.last.removeKey(agent)
+        if not ready:
             return
-        px, py, pt = (np.concatenate([[v], p[c].to_numpy()[:-1]]) for v, c in ((x, "x"), (y, "y"), (t, "t")))
-        dx, dy = p["x"].to_numpy() - px, p["y"].to_numpy() - py
-        self.state.update((float(p["x"].iloc[-1]), float(p["y"].iloc[-1]), int(p["t"].iloc[-1])))
-        yield pd.DataFrame({"run_id": key[0], "agent_id": key[1], "t": p["t"].to_numpy(), "ts": p["ts"].to_numpy(), "step": np.nan_to_num(np.sqrt(dx * dx + dy * dy)),
-                            "dt": np.where(np.isnan(px), 0, p["t"].to_numpy() - pt).astype("int32")})
+        if len(ready) < len(held):
+            self.held.put([r for r in held if r[0] > now])
+        else:
+            self.held.clear()
+        p = pd.DataFrame(ready, columns=["due", "us", "event_id", "agent_id", "t", "x", "y"]).sort_values(["agent_id", "us", "event_id"], kind="stable")
+        before = p.groupby("agent_id")[["x", "y", "t"]].shift()
+        first = ~p["agent_id"].duplicated()
+        for i, agent in zip(p.index[first], p["agent_id"][first]):
+            if self.last.containsKey((int(agent),)):
+                before.loc[i] = self.last.getValue((int(agent),))[:3]
+        ends = p[~p["agent_id"].duplicated(keep="last")]
+        for r in ends.itertuples():
+            self.last.updateValue((int(r.agent_id),), (float(r.x), float(r.y), int(r.t), int(r.due)))
+        if self.keep_ms is not None:
+            self.handle.registerTimer(int(ends["due"].max()) + self.keep_ms)
+        step = np.sqrt((p["x"] - before["x"]) ** 2 + (p["y"] - before["y"]) ** 2).fillna(0.0)
+        if self.sums:
+            yield p[["due", "t"]].assign(step=step).groupby(["due", "t"], as_index=False)["step"].sum().assign(run_id=key[0])[["run_id", "due", "t", "step"]]
+        else:
+            yield pd.DataFrame({"run_id": key[0], "agent_id": p["agent_id"], "t": p["t"], "event_id": p["event_id"], "step": step, "dt": (p["t"] - before["t"]).astype("Int32")})
 
     def close(self) -> None:
         pass
 
 
-STEP_SCHEMA = "run_id string, agent_id int, t int, ts timestamp, step double, dt int"
+def _moves(pings: DataFrame, step: str, schema: str, keep_ms: int | None = None) -> DataFrame:
+    cols = [F.col("agent_id").cast("long").alias("agent_id"), "event_id", "t", "x", "y", "ts", F.unix_micros("ts").alias("us"), _due(step)]
+    p = pings.select("run_id", F.pmod(F.hash("agent_id"), F.lit(PARTS)).alias("part"), *cols)
+    return p.groupBy("run_id", "part").transformWithStateInPandas(MoveProcessor(schema == STEP_SUMS, keep_ms), schema, "Append", "EventTime")
 
 
-def stream_steps(pings: DataFrame) -> DataFrame:
-    """(run, agent, t, ts, step, dt): movement of each agent since its previous ping."""
-    return pings.groupBy("run_id", "agent_id").transformWithStateInPandas(StepProcessor(), STEP_SCHEMA, "Append", "EventTime", eventTimeColumnName="ts")
+def stream_steps(pings: DataFrame, step: str = "1 hour") -> DataFrame:
+    """(run, agent, t, event_id, step, dt): movement of each agent since its previous ping, null dt for its first."""
+    return _moves(pings, step, MOVES)
 
 
-def stream_step_bound(pings: DataFrame, bound: float) -> DataFrame:
-    """Moves longer than the bound times the elapsed steps."""
-    return stream_steps(pings).where((F.col("dt") > 0) & (F.col("step") > F.lit(bound) * F.col("dt")))
+def stream_step_bound(pings: DataFrame, bound: float, step: str = "1 hour", reach: float | None = None) -> DataFrame:
+    """Moves longer than the bound times the elapsed steps, at least one. ``reach`` is the longest distance that positions allow: an agent
+    silent for so many steps that no move can break the bound is forgotten."""
+    keep = None if reach is None else int(np.ceil(reach / bound) + 1) * int(pd.Timedelta(step).total_seconds() * 1000)
+    return _moves(pings, step, MOVES, keep).where(F.col("step") > F.lit(bound) * F.greatest("dt", F.lit(1)) * F.when(F.col("dt").isNotNull(), 1))
 
 
 class CrossingProcessor(StatefulProcessor):
-    """Per run: fleet distance so far; one alert on the first step at or over the threshold."""
+    """Per run: fleet distance so far; one alert on the first step at or over the threshold. Sums of a step arrive in one batch."""
 
     def __init__(self, threshold: float):
         self.threshold = threshold
@@ -167,28 +230,34 @@ class CrossingProcessor(StatefulProcessor):
         self.state = handle.getValueState("fleet", "distance double, fired boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(rows)).sort_values("t", kind="stable")
+        steps: dict[tuple, float] = {}
+        for p in rows:
+            for due, t, step in zip(p["due"], p["t"], p["step"]):
+                steps[due, t] = steps.get((due, t), 0.0) + step
         old = self.state.get()
         distance, fired = old if old is not None else (0.0, False)
-        total = distance + p["step"].cumsum().to_numpy()
-        hit = np.flatnonzero(total >= self.threshold)
-        if hit.size and not fired:
-            yield pd.DataFrame({"run_id": [key[0]], "trigger_step": [int(p["t"].iloc[hit[0]])], "failure_distance": [float(total[hit[0]])]})
-            fired = True
-        self.state.update((float(total[-1]), bool(fired)))
+        for due, t in sorted(steps):
+            distance += steps[due, t]
+            if distance >= self.threshold and not fired:
+                yield pd.DataFrame({"run_id": [key[0]], "trigger_step": [int(t)], "failure_distance": [float(distance)]})
+                fired = True
+        self.state.update((float(distance), bool(fired)))
 
     def close(self) -> None:
         pass
 
 
-def stream_crossing(pings: DataFrame, threshold: float, step: str) -> DataFrame:
-    """Budget-crossing alerts. Agents are summed per run and step first, so a run's state sees one row per step however many agents move."""
-    s = stream_steps(pings)
-    per = s.groupBy(F.window("ts", step), "run_id").agg(F.sum("step").alias("step"), F.max("t").alias("t"))
-    per = per.select("run_id", "t", "step")
+def stream_crossing(pings: DataFrame, threshold: float, step: str = "1 hour") -> DataFrame:
+    """Budget-crossing alerts. Moves are summed per run, step and part of the agents first: a run sees at most PARTS rows per step."""
+    per = _moves(pings, step, STEP_SUMS)
     return per.groupBy("run_id").transformWithStateInPandas(CrossingProcessor(threshold), "run_id string, trigger_step int, failure_distance double", "Append", "None")
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, over the progress that the query still holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 @contextmanager
 def _rocksdb(spark: SparkSession):
     """Stateful processors keep their state in RocksDB; the session setting is put back afterwards."""
@@ -203,12 +272,16 @@ def _rocksdb(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Drain the available input into Parquet below the shared checkpoint folder and return it as a table."""
+def drain(stream: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write the available input to Parquet below the shared checkpoint folder; the table, and how many rows came too late for it."""
     spark = stream.sparkSession
     path = scratch_path(spark, name)
     with _rocksdb(spark):
         q = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state")
              .trigger(availableNow=True).start())
         q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    return spark.read.schema(stream.schema).parquet(f"{path}/data"), late_rows(q)
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    return drain(stream, name)[0]
