@@ -1,7 +1,7 @@
 """HTML extraction by maximum-scoring subsequence.
 
-A page becomes a sequence of text runs and tags. Each word scores by its context (its nearest block element or the boilerplate element
-around it), each tag by its name; both weights are log odds of lying inside the main text, counted over a bounded sample of labelled
+A page becomes a sequence of text runs and tags. Each word scores by its context (its nearest block element, on pages with an article or
+main element with the side of it, or the boilerplate element around it), each tag by its name; both weights are log odds of lying inside the main text, counted over a bounded sample of labelled
 pages, with tags held negative. One linear scan finds the contiguous region of highest total score; its blocks are the text.
 Boilerplate elements neither score nor give text, so one inside the main text does not cut it. Pages are independent, so nothing but the sample's counts is shuffled."""
 
@@ -28,9 +28,21 @@ TAG_MOST = -0.05
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^"'>]|"[^"]*"|'[^']*')*>|</?[A-Za-z][^>]*(?:>|\Z)""", re.S | re.I)
 NAME = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-BOILER_HINT = re.compile(r"(?:^|[\s_\"'-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|footer|header|masthead|nav\w*|menu|breadcrumbs?|comments?|comment-\w+|disqus|repl(?:y|ies)|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|social|share|sharing|related|widget|pagination|pager|login|search|toolbar|skip)(?:$|[\s_\"'0-9-])", re.I)
+HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HINT_WORDS = (
+    "ads? adverts? advertisements? advertising sponsor(?:ed|s)? promo(?:s|tion)? banner sidebar header footer masthead nav navbar navigation menu breadcrumbs? comments? disqus replies cookies? consent"
+    " notice alert popup modal newsletter subscribe social share sharing related widgets? pagination pager login search toolbar skip contentinfo complementary"
+).replace(" ", "|")
+#: A whole token of a class, id or role: the words above, with words of place before and of form behind them.
+BOILER_HINT = re.compile(
+    rf"(?:(?:site|page|global|top|bottom|left|right|primary|secondary|user|reader|main)[-_])?(?:{HINT_WORDS})"
+    rf"(?:[-_]?(?:{HINT_WORDS}|box|bar|area|list|links?|container|wrap|wrapper|section|block|unit|slot|form|thread|inner|outer|top|bottom|left|right|\d+))*",
+    re.I,
+)
 BOILER = frozenset("head nav header footer aside form button select menu dialog title".split())
+#: Elements that a hint does not make boilerplate: they hold the page, or are text themselves.
+UNHINTED = frozenset("html body main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dd dt td".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,9 +51,39 @@ SCOPE = frozenset("html body article section main div nav header footer aside fo
 MAIN = frozenset(("article", "main"))
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
+class Cover:
+    """A boilerplate element that is not inside another one: where its tag stands, its kind, its words, whether it holds the main text."""
+
+    def __init__(self, at: int, kind: str):
+        self.at, self.kind, self.words, self.holds_main = at, kind, 0, False
+
+
+def tokens(html: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, value, boiler, main) of text runs and tags in page order. A text run has its context as kind, its raw text as value; a tag
-    has kind "<" and its name, with / before it if it ends an element. Scripts, styles, comments and declarations give no token."""
+    has kind "<" and its name, with / before it if it ends an element. Scripts, styles, comments and declarations give no token.
+
+    An element is no boilerplate if an article or main element stands in it, or if only its class, id or role says so and it holds most
+    words of a page that marks no main text elsewhere."""
+    spared: set[int] = set()
+    while True:
+        covers: list[Cover] = []
+        out = list(scan(html, spared, covers))
+        total = sum(len(v.split()) for k, v, _, _ in out if k not in ("<", "!head", "!title"))
+        marked = any(main and not boiler for _, _, boiler, main in out)
+        wrong = {c.at for c in covers if c.holds_main or (c.kind == "hint" and 2 * c.words > total and not marked)}
+        if not wrong:
+            return out
+        spared |= wrong
+
+
+def hinted(name: str, raw: str, main: bool) -> bool:
+    """Whether class, id or role of an element call it boilerplate; an article only inside another one."""
+    if name in UNHINTED or (name == "article" and not main):
+        return False
+    return any(BOILER_HINT.fullmatch(t) for m in HINT.finditer(raw) for t in (m[1] or m[2] or m[3] or "").split())
+
+
+def scan(html: str, spared: set[int], covers: list[Cover]) -> Iterator[tuple[str, str, bool, bool]]:
     stack: list[tuple[str, str | None, bool]] = []  # name, boilerplate kind, inside marked main text
 
     def state() -> tuple[str, bool, bool]:
@@ -59,11 +101,18 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             if stack[k][0] in scope:
                 return
 
+    def run(text: str) -> tuple[str, str, bool, bool]:
+        if stack and stack[-1][0] == "head" and not text.isspace():
+            stack.pop()
+        kind, boiler, main = state()
+        if boiler:
+            covers[-1].words += len(text.split())
+        return kind, text, boiler, main
+
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
-            kind, boiler, main = state()
-            yield kind, html[at : m.start()], boiler, main
+            yield run(html[at : m.start()])
         at, raw = m.end(), m[0]
         found = None if m[1] else NAME.match(raw)
         if not found:
@@ -74,35 +123,49 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             yield "<", "/" + name, boiler, main
             close({name}, frozenset())
             continue
+        if name not in IN_HEAD:  # the end tag of head may be left out
+            close({"head"}, SCOPE)
         if name in ENDS_P:
             close({"p"}, SCOPE)
         if name in CLOSES:
             close(CLOSES[name], SCOPE - CLOSES[name])
         if name not in VOID and not raw.endswith("/>"):
             kind, main = stack[-1][1:] if stack else (None, False)
-            if not kind:
-                hints = " ".join(HINT.findall(raw))
-                kind = name if name in BOILER else "hint" if hints and name not in ("html", "body", "article", "main") and BOILER_HINT.search(hints) else None
+            if kind and name in MAIN and not main:
+                covers[-1].holds_main = True
+            if not kind and m.start() not in spared:
+                kind = name if name in BOILER and not (name == "header" and main) else "hint" if hinted(name, raw, main) else None
+                if kind:
+                    covers.append(Cover(m.start(), kind))
             stack.append((name, kind, main or name in MAIN))
         _, boiler, main = state()
         yield "<", name, boiler, main
     if at < len(html):
-        kind, boiler, main = state()
-        yield kind, html[at:], boiler, main
+        yield run(html[at:])
+
+
+def placed(items: list[tuple[str, str, bool, bool]]) -> list[tuple[str, str, bool, bool]]:
+    """On pages that mark their main text, contexts of text with + inside and - outside of it."""
+    if not any(main and not boiler for _, _, boiler, main in items):
+        return items
+    return [(kind if kind == "<" or boiler else kind + "-+"[main], value, boiler, main) for kind, value, boiler, main in items]
 
 
 def label_counts(html: str) -> Counter:
     """Counter of (token kind, inside 0/1) of a page that marks its main text by an article or main element; else empty."""
     seen: Counter = Counter()
-    marked = False
-    for kind, value, boiler, main in tokens(html):
+    items = tokens(html)
+    if not any(main and not boiler for _, _, boiler, main in items):
+        return seen
+    for (kind, value, boiler, main), (place, *_) in zip(items, placed(items)):
         inside = int(main and not boiler)
-        marked |= bool(inside)
         if kind == "<":
             seen["<" + value.lstrip("/"), inside] += 1
         elif n := len(value.split()):
             seen[kind, inside] += n
-    return seen if marked else Counter()
+            if place != kind:
+                seen[place, inside] += n
+    return seen
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
@@ -125,14 +188,14 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id",
 
 
 def weight(kind: str, inside: float = 0, outside: float = 0) -> float:
-    a, b = TAG_PRIOR if kind[0] == "<" else BOILER_PRIOR if kind[0] == "!" else WORD_PRIOR
+    a, b = TAG_PRIOR if kind[0] == "<" else BOILER_PRIOR if kind[0] == "!" or kind[-1] == "-" else WORD_PRIOR
     w = math.log((inside + a) / (outside + b))
     return min(w, TAG_MOST) if kind[0] == "<" else w
 
 
 def main_text(html: str, weights: dict[str, float]) -> str:
     """Text of the best region: its blocks joined by line ends."""
-    items = list(tokens(html))
+    items = placed(tokens(html))
     best = score = 0.0
     start, region = 0, (0, 0)
     for k, (kind, value, boiler, _) in enumerate(items):

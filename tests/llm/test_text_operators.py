@@ -1,10 +1,13 @@
 """Quality rules, language ID, token counts, byte-level BPE and HTML extraction against brute force, the libraries and odd tables."""
 
 import base64
+import functools
 import hashlib
 import random
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -166,6 +169,42 @@ PAGES = {
 }
 
 
+ARTICLE = "<h1>Head line</h1><p>alpha beta gamma delta</p><p>epsilon zeta</p>"
+TEXT = "Head line\nalpha beta gamma delta\nepsilon zeta"
+WRAPPED = {
+    f'<body><div class="page with-sidebar"><article>{ARTICLE}</article></div>': TEXT,
+    f'<body><div class="no-sidebar"><main>{ARTICLE}</main></div>': TEXT,
+    f'<body><div class="has-header wrapper"><article>{ARTICLE}</article></div>': TEXT,
+    f"<html><head><title>T t</title><body><article>{ARTICLE}</article>": TEXT,
+    f"<html><head><title>T t</title><article>{ARTICLE}</article>": TEXT,
+    "<article><p class='promo'>Lead words here</p><p id=notice-period>period of notice</p></article>": "Lead words here\nperiod of notice",
+    "<article><header><h1>Head line</h1></header><p>alpha beta</p><footer>by me</footer></article>": "Head line\nalpha beta",
+    f"<article>{ARTICLE}</article><div class=user-posts><p>I like it so much</p><p>me too very much indeed yes</p></div>": TEXT,
+    f"<form><div class=sidebar><article>{ARTICLE}</article></div><p>send this</p></form>": TEXT,
+    f"<body><div class=header>{ARTICLE}</div>": TEXT,
+    f"<article>{ARTICLE}<article class=comment><p>well said</p></article></article>": TEXT,
+    f"<div class='related-work'>{ARTICLE}</div><div class='site-footer'>foot words</div>": TEXT,
+}
+
+
+@pytest.mark.parametrize("html", WRAPPED)
+def test_hints_never_cover_the_article(html):
+    for weights in ({}, html_extract_weights()):
+        assert html_extract.main_text(html, weights) == WRAPPED[html]
+
+
+@functools.cache
+def html_extract_weights():
+    """Weights of the pages at hand, counted without Spark."""
+    seen = sum((html_extract.label_counts(h) for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall()), Counter())
+    return {k: html_extract.weight(k, seen[k, 1], seen[k, 0]) for k, _ in seen}
+
+
+def test_very_long_page():
+    html = "<body><nav>" + "<a href=x>m</a>" * 20_000 + "</nav><article>" + "<p>word and word</p>" * 60_000 + "</article>"
+    assert html_extract.main_text(html, {}) == "\n".join(["word and word"] * 60_000)
+
+
 def test_html_extraction(spark):
     rows = [(k, f"u{k}", h) for k, h in enumerate(PAGES)] + [(90, None, None), (1, "u1", list(PAGES)[1]), (None, "x", "<p>a</p>")]
     pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars long")
