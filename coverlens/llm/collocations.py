@@ -12,11 +12,11 @@ frequent. A false hit of the bitmap costs a count that the threshold drops, neve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +42,26 @@ class Words:
     """The words of some texts: number of the distinct word, number of the text, and whether a break follows."""
 
     def __init__(self, texts: list[bytes]):
-        buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        kind = KIND[buffer]
-        inside = np.concatenate([[False], kind == WORD, [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.buffer = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        kind = KIND[self.buffer]
+        self.inside = kind == WORD
+        edges = np.flatnonzero(np.diff(self.inside.view(np.int8), prepend=0, append=0))
         self.starts, self.ends = edges[::2], edges[1::2]
-        sizes = self.ends - self.starts
-        compact = buffer[kind == WORD].tobytes()
-        # a binary array is enough here: words are parts of texts of valid UTF-8, cut at ASCII bytes
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(compact)])
+        offsets = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        # words are parts of texts of valid UTF-8, cut at ASCII bytes
+        words = pa.Array.from_buffers(pa.large_string(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(self.buffer[self.inside])])
         coded = words.dictionary_encode()
         self.id, self.distinct = np.asarray(coded.indices, np.int64), coded.dictionary
         text_ends = np.cumsum([len(t) + 1 for t in texts])
-        self.text = np.searchsorted(text_ends, self.starts, side="right")
-        breaks = np.flatnonzero(kind == BREAK)
-        following = np.append(self.starts[1:], len(buffer))
-        self.broken = np.searchsorted(breaks, following) > np.searchsorted(breaks, self.ends)
-        self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.distinct.to_pylist()], np.uint64)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(self.starts, text_ends), prepend=0))
+        self.broken = np.zeros(len(self.id), bool)
+        before = np.searchsorted(self.starts, np.flatnonzero(kind == BREAK)) - 1
+        self.broken[before[before >= 0]] = True
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """A hash of each word in its place."""
+        return hashes(self.distinct)[self.id]
 
     def joined(self, n: int) -> np.ndarray:
         """Whether the n words from each word on stand in one piece."""
@@ -70,6 +72,24 @@ class Words:
         return ok
 
 
+def hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """A hash of each string: the sum of its bytes times an odd number of their place, mixed."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.uint64)
+        factor = (place + np.uint64(1)) * ODD[2]
+        factor ^= factor >> np.uint64(31)
+        factor = factor * ODD[3] | np.uint64(1)
+        total = np.zeros(len(words), np.uint64)
+        some = sizes > 0
+        total[some] = np.add.reduceat((data + np.uint64(1)) * factor, starts[some])
+        return mixed([total])
+
+
 def mixed(hashes: list[np.ndarray]) -> np.ndarray:
     """One hash of the hashes of consecutive words."""
     with np.errstate(over="ignore"):
@@ -92,7 +112,7 @@ def parse(docs: DataFrame, text_col: str, lang_col: str, period: int = PERIOD) -
                 w = Words(texts)
                 if not len(w.id):
                     continue
-                h = w.hash[w.id]
+                h = w.hash
                 trigger = w.joined(OVERLAP)
                 at = np.flatnonzero(trigger)
                 trigger[at] = mixed([h[at + k] for k in range(OVERLAP)]) % np.uint64(period) == 0
@@ -105,10 +125,9 @@ def parse(docs: DataFrame, text_col: str, lang_col: str, period: int = PERIOD) -
                 off = np.concatenate([[0], np.cumsum(sizes)])
                 canon = np.full(off[-1], 0x20, np.uint8)
                 canon[off[1:][w.broken] - 1] = 0x0A
-                buffer = np.frombuffer(b"\n".join(texts), np.uint8)
-                inside = np.ones(off[-1], bool)
-                inside[off[1:] - 1] = False
-                canon[inside] = buffer[KIND[buffer] == WORD]
+                letters = np.ones(off[-1], bool)
+                letters[off[1:] - 1] = False
+                canon[letters] = w.buffer[w.inside]
                 data = canon.tobytes()
                 chunks = [data[a:b] for a, b in zip(off[starts].tolist(), off[ends + ahead].tolist())]
                 lang = part.column("lang").take(pa.array(w.text[starts]))
@@ -131,11 +150,11 @@ def counts(chunks: DataFrame, lengths: tuple[int, ...], known: np.ndarray | None
             freq, ahead = np.asarray(batch.column("freq"), np.int64)[w.text], np.asarray(batch.column("ahead"), np.int64)[w.text]
             coded = batch.column("lang").dictionary_encode()
             lang = np.asarray(coded.indices, np.int64)[w.text]
-            salt = np.array([xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.to_pylist()], np.uint64)[lang]
+            langs = len(coded.dictionary)
             last = np.searchsorted(w.text, w.text, side="right") - 1
             own = np.arange(len(w.id)) <= last - ahead
-            h = w.hash[w.id]
             if bits is not None:
+                h, salt = w.hash, hashes(coded.dictionary.cast(pa.large_string()))[lang]
                 at = np.flatnonzero(w.joined(part))
                 good = np.zeros(len(w.id), bool)
                 good[at] = hit(bits.value, mixed([salt[at], *[h[at + k] for k in range(part)]]))
@@ -145,10 +164,13 @@ def counts(chunks: DataFrame, lengths: tuple[int, ...], known: np.ndarray | None
                     for k in range(n - part + 1):
                         ok[: len(ok) - k] &= good[k:]
                 at = np.flatnonzero(ok)
-                key, words = lang[at], [w.id[at + k] for k in range(n)]
-                for x in words:  # one number per distinct row so far
-                    key = np.unique(key * (len(w.distinct) + 1) + x, return_inverse=True)[1]
-                order = np.argsort(key, kind="stable")
+                key, size, words = lang[at], langs, [w.id[at + k] for k in range(n)]
+                for x in words:
+                    if size * len(w.distinct) >= 1 << 62:  # one number per distinct row so far
+                        key = np.unique(key, return_inverse=True)[1]
+                        size = len(at)
+                    key, size = key * len(w.distinct) + x, size * len(w.distinct)
+                order = np.argsort(key)
                 heads = np.flatnonzero(np.diff(key[order], prepend=-1))
                 if len(heads):
                     one = order[heads]
@@ -189,10 +211,9 @@ def bitmap(frequent: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = [xxhash.xxh3_64_intdigest(x) for x in batch.column(0).to_pylist()]
-            words = [[xxhash.xxh3_64_intdigest(x) for x in p.split(" ")] for p in batch.column(1).to_pylist()]
-            if words:
-                h = mixed([np.array(lang, np.uint64), *np.array(words, np.uint64).T])
+            if batch.num_rows:
+                words = hashes(pc.list_flatten(pc.split_pattern(batch.column(1).cast(pa.large_string()), " ")))
+                h = mixed([hashes(batch.column(0).cast(pa.large_string())), *words.reshape(batch.num_rows, -1).T])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(probes(h, size)))], ["bit"])
 
     bits = frequent.select("lang", "phrase").mapInArrow(run, "bit long")
