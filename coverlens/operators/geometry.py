@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from coverlens.functions.hashing import uniform
 from coverlens.operators.grid import GridSpec, footprint, lognormal_pdf, to_cell
 from coverlens.operators.scan import chunk, on_keys, running_sums, sums_below, with_previous, with_totals
+from coverlens.operators.shapes import fill_cells
 
 PATH = ["run_id", "agent_id"]
 
@@ -225,44 +226,17 @@ def flatten_geometries(features: DataFrame) -> DataFrame:
 
 
 def rasterize(features: DataFrame, grid: GridSpec, sample_distance: float) -> DataFrame:
-    """Cells touched per feature type: lines by sampled points, polygons by filling, points skipped, outside dropped.
+    """Cells touched per feature type: lines by sampled points, polygons by scanlines, points skipped, outside dropped.
 
-    Polygons are filled on whole-cell vertices with the outline included.
+    Polygons are filled on whole-cell vertices with the outline included; a column ``holes`` (array of point arrays) is left out of them.
     """
     lines = densify(features.where("geom_type = 'LineString'").select("feature_type", "pts"), sample_distance)
-    row, col = to_cell(F.col("x"), F.col("y"), grid)
-    line_cells = lines.select("feature_type", row.alias("row"), col.alias("col"))
-
-    def vertex(p):
-        r, c = to_cell(p["x"], p["y"], grid)
-        return F.struct(c.alias("x"), r.alias("y"))
-
-    poly = features.where("geom_type = 'Polygon'").select("feature_type", F.transform("pts", vertex).alias("v"))
-    lo = lambda f: F.array_min(F.transform("v", lambda p: p[f]))
-    hi = lambda f: F.array_max(F.transform("v", lambda p: p[f]))
-    poly = poly.withColumns({"_r0": F.greatest(lo("y"), F.lit(0)), "_r1": F.least(hi("y"), grid.rows - 1), "_c0": F.greatest(lo("x"), F.lit(0)),
-                             "_c1": F.least(hi("x"), grid.cols - 1)}).where("_r0 <= _r1 AND _c0 <= _c1")
-    poly = poly.select("feature_type", "v", "_c0", "_c1", F.explode(F.sequence("_r0", "_r1")).alias("row"))
-    poly = poly.select("feature_type", "v", "row", F.explode(F.sequence("_c0", "_c1")).alias("col"))
-    r, c = F.col("row"), F.col("col")
-
-    def turn(e):
-        return (e["b"]["x"] - e["a"]["x"]) * (r - e["a"]["y"]) - (c - e["a"]["x"]) * (e["b"]["y"] - e["a"]["y"])
-
-    def on_edge(e):
-        return ((turn(e) == 0) & c.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"]))
-                & r.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"])))
-
-    def crosses(e):
-        up = (e["a"]["y"] <= r) & (e["b"]["y"] > r) & (turn(e) < 0)
-        down = (e["b"]["y"] <= r) & (e["a"]["y"] > r) & (turn(e) > 0)
-        return up | down
-
-    ring = edges(F.col("v"))
-    inside = (F.size(F.filter(ring, crosses)) % 2 == 1) | F.exists(ring, on_edge)
-    poly_cells = poly.where(inside).select("feature_type", "row", "col")
-    out = line_cells.unionByName(poly_cells).where((r >= 0) & (r < grid.rows) & (c >= 0) & (c < grid.cols))
-    return out.distinct().withColumn("mark", F.lit(1.0))
+    r, c = to_cell(F.col("x"), F.col("y"), grid)
+    line_cells = lines.select("feature_type", r.alias("row"), c.alias("col")).where(F.col("row").between(F.lit(0), grid.rows - 1) & F.col("col").between(F.lit(0), grid.cols - 1))
+    rings = F.concat(F.array("pts"), F.coalesce("holes", F.array().cast(features.schema["holes"].dataType))) if "holes" in features.columns else F.array("pts")
+    poly = features.where("geom_type = 'Polygon'").select("feature_id", "feature_type", rings.alias("rings"))
+    poly_cells = fill_cells(poly, grid, ["feature_id", "feature_type"]).select("feature_type", "row", "col")
+    return line_cells.unionByName(poly_cells).distinct().withColumn("mark", F.lit(1.0))
 
 
 def clip_features(features: DataFrame, x: float, y: float, radius: float, sample_distance: float) -> DataFrame:

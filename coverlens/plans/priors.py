@@ -9,6 +9,7 @@ from coverlens.functions.hashing import stable_hash, trajectory_hash
 from coverlens.operators import exposure as X
 from coverlens.operators import geometry as G
 from coverlens.operators import grid as R
+from coverlens.operators import shapes as SH
 from coverlens.operators.quantiles import exact_quantiles
 from coverlens.plans.ctes import CELL, FOOT, PING, runs, with_
 from coverlens.plans.experiments import RUNS, RUNS_K
@@ -287,6 +288,51 @@ def _(spark, d):
     return rounded(G.clip_features(A.features(spark, d).select("feature_id", "pts"), 30.0, 20.0, 15.0, 0.7), 8)
 
 
+RINGS = """
+rf AS (SELECT c_custkey AS feature_id, CAST(c_custkey % 61 AS DOUBLE) AS x, CAST((c_custkey // 61) % 97 AS DOUBLE) AS y, CAST(5 + c_nationkey % 4 AS DOUBLE) AS a FROM customer),
+rp AS (SELECT feature_id, part, ring, i, x + u AS px, y + v AS py FROM rf, LATERAL (VALUES (0, 0, 0, 0.0, 0.0), (0, 0, 1, a, 0.0), (0, 0, 2, a + 2, a), (0, 0, 3, 0.0, a), (0, 1, 0, 2.0, 2.0), (0, 1, 1, 2.0, a - 2), (0, 1, 2, a - 2, a - 2),
+    (1, 0, 0, -3.0, -3.0), (1, 0, 1, -1.0, -3.0), (1, 0, 2, -1.0, -1.0)) v(part, ring, i, u, v)),
+re AS (SELECT feature_id, part, ring, px AS ax, py AS ay, coalesce(lead(px) OVER w, first_value(px) OVER w) AS bx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS by_ FROM rp WINDOW w AS (PARTITION BY feature_id, part, ring ORDER BY i))"""
+SPEC = FOOT.split(",\nfoot AS")[0]
+
+
+# every cell of the bounding box by a ray through all edges
+@query("fill_holes", with_(RINGS, SPEC, """
+iw AS (SELECT feature_id, part, trunc(ax) AS ax, trunc(ay) AS ay, trunc(bx) AS bx, trunc(by_) AS by_ FROM re),
+ib AS (SELECT feature_id, part, CAST(min(ax) AS INT) AS c0, CAST(max(ax) AS INT) AS c1, CAST(min(ay) AS INT) AS r0, CAST(max(ay) AS INT) AS r1 FROM iw GROUP BY ALL),
+ic AS (SELECT feature_id, part, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM ib)),
+it AS (SELECT feature_id, part, r, c, sum(CASE WHEN (ay <= r) <> (by_ <= r) AND c < ax + (r - ay) * (bx - ax) / (by_ - ay) THEN 1 ELSE 0 END) % 2 = 1 AS ins,
+    bool_or((bx - ax) * (r - ay) = (c - ax) * (by_ - ay) AND c BETWEEN least(ax, bx) AND greatest(ax, bx) AND r BETWEEN least(ay, by_) AND greatest(ay, by_)) AS edge FROM ic JOIN iw USING (feature_id, part) GROUP BY ALL)""", select="""
+    SELECT feature_id, CAST(part AS INT) AS part, count(*) AS cells, CAST(sum(r * 1000 + c) AS BIGINT) AS places FROM it, spec WHERE (ins OR edge) AND r >= 0 AND r < n_rows AND c >= 0 AND c < 64 GROUP BY ALL"""))
+def _(spark, d):
+    parts = SH.multi_parts(A.ring_features(spark, d), ["feature_id"])
+    cells = SH.fill_cells(parts, A.grid_spec(spark, d), ["feature_id", "part"])
+    return cells.groupBy("feature_id", "part").agg(F.count("*").alias("cells"), F.sum(F.col("row").cast("long") * 1000 + F.col("col")).alias("places"))
+
+
+# the area inside the circle of radius 12 around (30, 8): triangle of the part inside, sectors of the parts outside
+@query("clip_areas", with_(RINGS, """
+ce AS (SELECT feature_id, part, ring, ax - 30 AS ax, ay - 8 AS ay, bx - 30 AS bx, by_ - 8 AS by_, bx - ax AS dx, by_ - ay AS dy FROM re),
+cq AS (SELECT *, dx * dx + dy * dy AS qa, ax * dx + ay * dy AS qb, pow(ax * dx + ay * dy, 2) - (dx * dx + dy * dy) * (ax * ax + ay * ay - 144) AS disc FROM ce),
+ct AS (SELECT *, CASE WHEN disc > 0 THEN greatest(0.0, (-qb - sqrt(greatest(disc, 0))) / qa) ELSE 2.0 END AS t0, CASE WHEN disc > 0 THEN least(1.0, (-qb + sqrt(greatest(disc, 0))) / qa) ELSE -1.0 END AS t1 FROM cq),
+cs AS (SELECT *, ax + t0 * dx AS ux, ay + t0 * dy AS uy, ax + t1 * dx AS vx, ay + t1 * dy AS vy FROM ct),
+ca AS (SELECT feature_id, part, ring, abs(sum(CASE WHEN t0 >= t1 THEN 72 * atan2(ax * by_ - bx * ay, ax * bx + ay * by_)
+    ELSE 72 * atan2(ax * uy - ux * ay, ax * ux + ay * uy) + (ux * vy - vx * uy) / 2 + 72 * atan2(vx * by_ - bx * vy, vx * bx + vy * by_) END)) AS area FROM cs GROUP BY ALL)""",
+                           select="SELECT feature_id, CAST(part AS INT) AS part, round(abs(sum(CASE WHEN ring = 0 THEN area ELSE -area END)), 6) AS area FROM ca GROUP BY ALL"))
+def _(spark, d):
+    parts = SH.multi_parts(A.ring_features(spark, d), ["feature_id"])
+    return SH.clip_areas(parts, 30.0, 8.0, 12.0, ["feature_id", "part"]).select("feature_id", "part", F.abs(F.round("area", 6)).alias("area"))
+
+
+@query("clip_lines", with_(FT, """
+cl AS (SELECT no, a.x - 30 AS ax, a.y - 8 AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM ed WHERE line),
+cm AS (SELECT no, sqrt(dx * dx + dy * dy) AS len, -(ax * dx + ay * dy) / (dx * dx + dy * dy) AS mid, pow(ax * dx + ay * dy, 2) / pow(dx * dx + dy * dy, 2) - (ax * ax + ay * ay - 144) / (dx * dx + dy * dy) AS h FROM cl WHERE dx * dx + dy * dy > 0)""",
+                           select="SELECT CAST(no AS VARCHAR) AS feature_id, round(sum(len * (least(1.0, mid + sqrt(h)) - greatest(0.0, mid - sqrt(h)))), 6) AS length, count(*) AS pieces FROM cm WHERE h > 0 AND least(1.0, mid + sqrt(h)) > greatest(0.0, mid - sqrt(h)) GROUP BY no"))
+def _(spark, d):
+    lines = A.features(spark, d).where("geom_type = 'LineString'")
+    return rounded(SH.clip_lines(lines, 30.0, 8.0, 12.0, ["feature_id"]).groupBy("feature_id").agg(F.sum("length").alias("length"), F.count("*").alias("pieces")), 6)
+
+
 RAS = """
 lc AS (SELECT feature_type, CAST(trunc(y) AS INT) AS "row", CAST(trunc(x) AS INT) AS col FROM dn WHERE line),
 pe AS (SELECT no, feature_type, CAST(trunc(a.x) AS INT) AS ax, CAST(trunc(a.y) AS INT) AS ay, CAST(trunc(b.x) AS INT) AS bx, CAST(trunc(b.y) AS INT) AS by_ FROM ed WHERE NOT line),
@@ -295,7 +341,6 @@ px AS (SELECT no, feature_type, r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT *
 pp AS (SELECT px.no, px.feature_type, r, c, sum(CASE WHEN (ay <= r) <> (by_ <= r) AND c < ax + (r - ay) * (bx - ax) / CAST(by_ - ay AS DOUBLE) THEN 1 ELSE 0 END) % 2 = 1 AS ins,
     bool_or((bx - ax) * (r - ay) = (c - ax) * (by_ - ay) AND c BETWEEN least(ax, bx) AND greatest(ax, bx) AND r BETWEEN least(ay, by_) AND greatest(ay, by_)) AS edge FROM px JOIN pe ON pe.no = px.no GROUP BY ALL),
 ras AS (SELECT DISTINCT feature_type, "row", col FROM (SELECT feature_type, "row", col FROM lc UNION ALL SELECT feature_type, r, c FROM pp WHERE ins OR edge), spec WHERE "row" >= 0 AND "row" < n_rows AND col >= 0 AND col < 64)"""
-SPEC = FOOT.split(",\nfoot AS")[0]
 
 
 @query("rasterize", with_(FT, DEN, SPEC, RAS, select='SELECT feature_type, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, 1.0::DOUBLE AS mark FROM ras'))

@@ -148,6 +148,17 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ring_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer -> shapes of two parts: an outline with a three-cornered hole, and a small triangle beside it."""
+    c = table(spark, sf_dir, "customer")
+    x, y = (F.col("c_custkey") % 61).cast("double"), (F.floor(F.col("c_custkey") / 61) % 97).cast("double")
+    a = (5 + F.col("c_nationkey") % 4).cast("double")
+    pt = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    ring = lambda *p: F.array(*[pt(F.lit(u) if isinstance(u, float) else u, F.lit(v) if isinstance(v, float) else v) for u, v in p])
+    outline, hole = ring((0.0, 0.0), (a, 0.0), (a + 2, a), (0.0, a)), ring((2.0, 2.0), (2.0, a - 2), (a - 2, a - 2))
+    return c.select(F.col("c_custkey").alias("feature_id"), F.array(F.array(outline, hole), F.array(ring((-3.0, -3.0), (-1.0, -3.0), (-1.0, -1.0)))).alias("polygons"))
+
+
 def ping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a file stream of pings with their wall-clock ``ts``."""
     schema = table(spark, sf_dir, "events").schema
