@@ -24,7 +24,6 @@ SAMPLE_DOCS, WINDOW_CHARS = 300, 400
 SEQUENCE, EPOCHS, RATE, DECAY = 24, 40, 0.15, 1e-5
 MIN_COUNT = 2
 UNKNOWN = "und"
-MIN_SCORE = 0.4
 CACHE_WORDS = 400_000
 SLICE_BYTES = 1 << 21
 LANE = 256
@@ -281,15 +280,17 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a known language of at least min_score, with all their columns; filtered inside the Arrow batches."""
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents with a known language, with all their columns; filtered inside the Arrow batches.
+
+    The score is the share of one language, which is low in clean texts that switch between several, so it rejects nothing."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = predictor_of(model)
         for whole in batches:
             for batch in byte_slices(whole, text_col, SLICE_BYTES):
-                lang, score = predictor.predict(texts_of(batch.column(at)))
-                yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
+                lang, _ = predictor.predict(texts_of(batch.column(at)))
+                yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -65,6 +65,9 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.url_filter(pages, url_filter.labelled_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
+ORACLE["op8_url_filter"] = url_filter.twin_sql()
+
+
 @query
 def op9_html_extraction(spark, sf_dir):
     return html_extract.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))

@@ -136,6 +136,9 @@ def test_language_id(spark):
     odd = {r.doc_id: r for r in language_id.identify(odd_documents(spark), model).collect()}
     assert odd[0].lang_pred == odd[1].lang_pred == "und" and odd[0].score == 0 and all(0 <= r.score <= 1 for r in odd.values())
     assert odd[4].lang_pred == odd[5].lang_pred
+    even = " ".join(words_in(rng, LANGS[k], 20) for k in ("aa", "bb", "cc"))
+    kept = language_id.keep_known(spark.createDataFrame([(1, even), (2, "12 34"), (3, None)], "doc_id long, text string"), model)
+    assert [r.doc_id for r in kept.collect()] == [1]
     nothing = language_id.train(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
     assert sorted(r.doc_id for r in language_id.keep_known(docs, model).collect()) == list(range(240))
