@@ -9,7 +9,7 @@ from coverlens.operators import pairing as P
 from coverlens.operators import summaries as M
 from coverlens.operators import validate as V
 from coverlens.operators.stats import moments
-from coverlens.plans.ctes import contrasts, runs, summary, with_
+from coverlens.plans.ctes import contrasts, runs, summary, t_quantile, t_sf, with_
 from coverlens.plans.registry import query, rounded
 from coverlens.sources import adapters as A
 
@@ -339,7 +339,10 @@ def _(spark, d):
     return rounded(moments(_padded(spark, d), ["planning_mode", "idx"], "L_cumulative").select("planning_mode", "idx", "n", "mean", "se"))
 
 
-@query("padded_mean_ci")
+PAD_CI = "pc AS (SELECT planning_mode, idx, count(*) AS n, avg(v) AS mean, stddev_samp(v) / sqrt(count(*)) AS se FROM pp GROUP BY ALL)"
+
+
+@query("padded_mean_ci", with_(CURVE, PAD, PAD_CI, t_quantile("pq", "pc", 0.975), select="""SELECT planning_mode, idx, n, round(mean, 9) AS mean, round(mean - q * se, 9) AS ci_lo, round(mean + q * se, 9) AS ci_hi FROM pc LEFT JOIN pq ON nu = n - 1"""))
 def _(spark, d):
     from coverlens.operators.stats import mean_ci
 
@@ -403,7 +406,6 @@ def _(spark, d):
     return sm_frame(_con_k(spark, d), ["k"])
 
 
-from coverlens.plans.ctes import t_quantile, t_sf  # noqa: E402
 
 
 def op_sql(by: str) -> str:

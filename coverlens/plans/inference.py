@@ -201,7 +201,18 @@ def _(spark, d):
     return rounded(S.cluster_bootstrap(_con_k(spark, d), ["k"], "dataset", "dPdet", 500, 9))
 
 
-@query("global_summary")
+GS = "".join(f"""{sep}
+g{e} AS (SELECT dataset, avg("{v}") AS m, row_number() OVER (ORDER BY dataset) - 1 AS i, count(*) OVER () AS n FROM con GROUP BY dataset),
+p{e} AS (SELECT b, CAST(floor(({u52("'20260826'", "b", "i")}) * n) AS BIGINT) AS i FROM g{e}, range(0, 1000) r(b)),
+r{e} AS (SELECT b, avg(m) AS r FROM p{e} JOIN g{e} USING (i) GROUP BY b),
+f{e} AS (SELECT '{v}' AS endpoint, {margin} AS margin, count(*) AS n_clusters, avg(m) AS mean, stddev_samp(m) AS sd, stddev_samp(m) / sqrt(count(*)) AS se, CAST(count(*) - 1 AS BIGINT) AS nu FROM g{e}),
+h{e} AS (SELECT f.*, {t_sf(f'((mean + {margin}) / se)', 'nu')} < 0.05 AND {t_sf(f'(-(mean - {margin}) / se)', 'nu')} < 0.05 AS equivalent,
+    (SELECT quantile_cont(r, 0.025) FROM r{e}) AS ci_lo, (SELECT quantile_cont(r, 0.975) FROM r{e}) AS ci_hi FROM f{e} f)""" for sep, e, v, margin in (("", 1, "dPdet", 0.01), (",", 2, "dRMST_rel", 0.02)))
+GS_ROW = """SELECT n_clusters, round(mean, 9) AS mean, round(ci_lo, 9) AS ci_lo, round(ci_hi, 9) AS ci_hi, round(sd, 9) AS sd, equivalent, endpoint, CAST(round(margin, 9) AS DOUBLE) AS margin,
+    CASE WHEN mean >= margin AND ci_lo > 0 THEN 'IMPROVED' WHEN mean <= -margin AND ci_hi < 0 THEN 'WORSENED' WHEN equivalent THEN 'EQUIVALENT' ELSE 'INCONCLUSIVE' END AS classification FROM """
+
+
+@query("global_summary", with_(RUNS, contrasts(), GS, select=f"{GS_ROW} h1 UNION ALL {GS_ROW} h2"))
 def _(spark, d):
     c = _con(spark, d)
     return rounded(M.global_summary(c, "dPdet", "dataset", "dPdet", 0.01, 1000, 20260826).unionByName(M.global_summary(c, "dRMST_rel", "dataset", "dRMST_rel", 0.02, 1000, 20260826)))
@@ -268,7 +279,17 @@ def _(spark, d):
     return rounded(M.study_report(_runs(spark, d), KEYS, "planning_mode", ARMS, "A", "P_detect"), 9, statistic=4, effect=8, p=8, p_holm=8, omnibus=7)
 
 
-@query("study_report_unpaired")
+UNPAIRED = "".join(mwu_sql("one", "(SELECT 1 AS one, * FROM orders)", "o_orderstatus", a, "F", "o_totalprice").replace("mw", f"m{a}") + "," for a in "OP") + f"""
+ut AS (SELECT *, row_number() OVER (ORDER BY p) AS nth FROM (SELECT 'O' AS arm, u, cd, greatest(1e-16, p) AS p FROM mO UNION ALL SELECT 'P', u, cd, greatest(1e-16, p) FROM mP)),
+uh AS (SELECT *, least(1.0, max((3 - nth) * p) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING)) AS h FROM ut),
+uk0 AS (SELECT o_orderstatus AS arm, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY o_totalprice) AS c FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')),
+uk1 AS (SELECT arm, sum(r) AS sr, count(*) AS m, sum(c * c - 1) AS t FROM uk0 GROUP BY arm),
+uk AS (SELECT (12.0 / (sum(m) * (sum(m) + 1.0)) * sum(sr * sr / m) - 3 * (sum(m) + 1)) / (1 - sum(t) / (sum(m) * sum(m) * sum(m) * 1.0 - sum(m))) AS h FROM uk1)"""
+
+
+@query("study_report_unpaired", with_(UNPAIRED, select="""SELECT o_orderstatus, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std, count(*) AS n, round(stddev_samp(o_totalprice) / sqrt(count(*)), 6) AS se, round(quantile_cont(o_totalprice, 0.25), 6) AS q25,
+    round(median(o_totalprice), 6) AS median, round(quantile_cont(o_totalprice, 0.75), 6) AS q75, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 6) AS iqr, round(any_value(u)::DOUBLE, 6) AS statistic, round(any_value(cd), 6) AS effect, round(any_value(p), 6) AS p, round(any_value(uh.h), 6) AS p_holm,
+    any_value(uh.h < 0.05) AS reject, round((SELECT h FROM uk), 6) AS omnibus, round((SELECT greatest(1e-16, exp(-h / 2)) FROM uk), 6) AS omnibus_p FROM orders LEFT JOIN uh ON arm = o_orderstatus WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus"""))
 def _(spark, d):
     return rounded(M.study_report(A.table(spark, d, "orders"), ["o_orderkey"], "o_orderstatus", ["F", "O", "P"], "F", "o_totalprice", paired=False), 6)
 
@@ -312,12 +333,38 @@ def _lmm(spark, d):
     return S.mixed_model(r, "dataset", "P_detect", {"armN": (F.col("planning_mode") == "N").cast("int"), "armR": (F.col("planning_mode") == "R").cast("int")})
 
 
-@query("mixed_model")
+# likelihood of a ratio from sums per cluster; five grids of 33 ratios, each around the best of the one before
+LMM_ROUNDS = 5
+LMM_SUMS = """
+cs AS (SELECT dataset, count(*)::DOUBLE AS n, sum("P_detect") AS sy, sum("P_detect" * "P_detect") AS yy, sum((planning_mode = 'N')::INT)::DOUBLE AS s1, sum((planning_mode = 'R')::INT)::DOUBLE AS s2,
+    coalesce(sum("P_detect") FILTER (planning_mode = 'N'), 0) AS y1, coalesce(sum("P_detect") FILTER (planning_mode = 'R'), 0) AS y2 FROM runs GROUP BY dataset)"""
+
+
+def lmm_at(name: str, ratios: str) -> str:
+    return f"""
+{name}w AS (SELECT ratio, lo, hi, cs.*, ratio / (1 + n * ratio) AS w FROM cs, ({ratios})),
+{name}s AS (SELECT ratio, lo, hi, sum(n - w * n * n) AS a00, sum(s1 - w * n * s1) AS a01, sum(s2 - w * n * s2) AS a02, sum(s1 - w * s1 * s1) AS a11, sum(-w * s1 * s2) AS a12, sum(s2 - w * s2 * s2) AS a22,
+    sum(sy - w * n * sy) AS b0, sum(y1 - w * s1 * sy) AS b1, sum(y2 - w * s2 * sy) AS b2, sum(yy - w * sy * sy) AS c, sum(ln(1 + n * ratio)) AS ld, sum(n) AS n, count(*) AS k FROM {name}w GROUP BY ratio, lo, hi),
+{name}d AS (SELECT *, a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02) AS det FROM {name}s),
+{name}b AS (SELECT *, (b0 * (a11 * a22 - a12 * a12) + b1 * (a02 * a12 - a01 * a22) + b2 * (a01 * a12 - a02 * a11)) / det AS e0, (b0 * (a12 * a02 - a01 * a22) + b1 * (a00 * a22 - a02 * a02) + b2 * (a01 * a02 - a00 * a12)) / det AS e1,
+    (b0 * (a01 * a12 - a11 * a02) + b1 * (a01 * a02 - a00 * a12) + b2 * (a00 * a11 - a01 * a01)) / det AS e2 FROM {name}d),
+{name}v AS (SELECT *, (c - b0 * e0 - b1 * e1 - b2 * e2) / (n - 3) AS s2 FROM {name}b),
+{name} AS (SELECT *, -0.5 * ((n - 3) * (ln(2 * pi() * s2) + 1) + ld + ln(det)) AS ll FROM {name}v ORDER BY ll DESC LIMIT 1)"""
+
+
+LMM = LMM_SUMS + "," + lmm_at("l0", "SELECT exp(lo + (hi - lo) * i / 32) AS ratio, lo, hi FROM (SELECT ln(1e-6) AS lo, ln(1e4) AS hi), range(0, 33) r(i)") + "".join(
+    "," + lmm_at(f"l{j}", f"SELECT exp(lo + (hi - lo) * i / 32) AS ratio, lo, hi FROM (SELECT ln(ratio) - (hi - lo) / 32 AS lo, ln(ratio) + (hi - lo) / 32 AS hi FROM l{j - 1}), range(0, 33) r(i)") for j in range(1, LMM_ROUNDS)
+) + "," + lmm_at("lz", "SELECT 0.0::DOUBLE AS ratio, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS hi") + f"""
+, lf AS (SELECT x.*, 2 * greatest(0.0, x.ll - z.ll) AS lrt FROM l{LMM_ROUNDS - 1} x, lz z)"""
+
+
+@query("mixed_model", with_(RUNS, LMM, select=f"""SELECT round(e0, 6) AS "Intercept", round(e1, 6) AS "armN", round(e2, 6) AS "armR", round(s2, 6) AS sigma2, round(ratio * s2, 6) AS tau2, round(ratio / (1 + ratio), 6) AS icc, round(ll, 6) AS llf,
+    round(lrt, 6) AS lrt, round(ratio, 6) AS ratio, CAST(n AS BIGINT) AS n, k AS n_clusters, round(greatest(1e-16, {phi2('sqrt(lrt)')} / 2), 6) AS lrt_p FROM lf"""))
 def _(spark, d):
     return rounded(_lmm(spark, d), 6)
 
 
-@query("cluster_effects")
+@query("cluster_effects", with_(RUNS, LMM, select="SELECT dataset, CAST(cs.n AS BIGINT) AS n, round(ratio / (1 + cs.n * ratio) * (sy - cs.n * e0 - s1 * e1 - cs.s2 * e2), 6) AS blup FROM cs, (SELECT ratio, e0, e1, e2 FROM lf)"))
 def _(spark, d):
     x = {"armN": (F.col("planning_mode") == "N").cast("int"), "armR": (F.col("planning_mode") == "R").cast("int")}
     return rounded(S.cluster_effects(_runs(spark, d), "dataset", "P_detect", x, _lmm(spark, d)), 6)
