@@ -316,13 +316,38 @@ def _(spark, d):
     return rounded(r, 4, cohens_d=8, p=8, U=2)
 
 
-@query("achieved_power")
+# the shifted t distribution as a normal one averaged over the spread of its root mean square s: 401 equal steps around 1
+POWER = f"""
+ef AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_a, count(*) FILTER (o_orderstatus = 'O') AS n_b, (avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus = 'O'))
+    / sqrt(((count(*) FILTER (o_orderstatus = 'F') - 1) * var_samp(o_totalprice) FILTER (o_orderstatus = 'F') + (count(*) FILTER (o_orderstatus = 'O') - 1) * var_samp(o_totalprice) FILTER (o_orderstatus = 'O'))
+    / (count(*) FILTER (o_orderstatus IN ('F', 'O')) - 2)) AS cd, count(*) FILTER (o_orderstatus IN ('F', 'O')) - 1 AS n FROM orders GROUP BY 1),{t_quantile('eq', 'ef', 0.975)},
+eg AS (SELECT *, sqrt(n_a * n_b / CAST(n_a + n_b AS DOUBLE)) AS scale FROM ef JOIN eq ON nu = n - 1),
+es0 AS (SELECT o_orderpriority, q, scale, nu, greatest(1e-9, 1 + (i - 200) / 200.0 * 9 / sqrt(2.0 * nu)) AS s FROM eg, range(0, 401) r(i)),
+es AS (SELECT o_orderpriority, q * s AS qs, scale, exp((nu - 1) * ln(s) - nu * (s * s - 1) / 2) AS w FROM es0)"""
+
+
+def normal_cdf(x: str) -> str:
+    return f"(CASE WHEN {x} >= 0 THEN 1 - {phi2(x)} / 2 ELSE {phi2(x)} / 2 END)"
+
+
+def power_of(d: str) -> str:
+    up, down = normal_cdf(f"(qs - {d} * scale)"), normal_cdf(f"(-qs - {d} * scale)")
+    return f"sum(w * (1 - {up} + {down})) / sum(w)"
+
+
+@query("achieved_power", with_(POWER, f"""
+ep AS (SELECT o_orderpriority, {power_of('abs(cd)')} AS power FROM (SELECT es.*, cd FROM es JOIN ef USING (o_orderpriority)) GROUP BY o_orderpriority)""",
+                                select="SELECT o_orderpriority, n_a, n_b, round(cd, 8) AS cohens_d, round(power, 8) AS power FROM ef JOIN ep USING (o_orderpriority)"))
 def _(spark, d):
     e = S.cohens_d(A.table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "F", "O", "o_totalprice")
     return rounded(S.achieved_power(e).select("o_orderpriority", "n_a", "n_b", "cohens_d", "power"), 8)
 
 
-@query("min_detectable")
+@query("min_detectable", with_(POWER, f"""
+bi(o_orderpriority, step, lo, hi) AS (SELECT o_orderpriority, 0, 0.0::DOUBLE, 10.0::DOUBLE FROM ef
+    UNION ALL SELECT o_orderpriority, step + 1, CASE WHEN p < 0.8 THEN mid ELSE lo END, CASE WHEN p < 0.8 THEN hi ELSE mid END FROM (
+        SELECT o_orderpriority, step, lo, hi, mid, {power_of('mid')} AS p FROM (SELECT bi.*, (lo + hi) / 2 AS mid FROM bi WHERE step < 60) JOIN es USING (o_orderpriority) GROUP BY ALL))""",
+                               select="SELECT o_orderpriority, n_a, n_b, round((lo + hi) / 2, 8) AS min_detectable_d FROM ef JOIN bi USING (o_orderpriority) WHERE step = 60").replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     e = S.cohens_d(A.table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "F", "O", "o_totalprice").select("o_orderpriority", "n_a", "n_b")
     return rounded(S.min_detectable(e), 8)
