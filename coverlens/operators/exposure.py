@@ -169,9 +169,11 @@ def targets_found(pings: DataFrame, targets: DataFrame, radius: float) -> DataFr
     return j.where(near).groupBy("run_id", "target_id").agg(F.count("*").alias("_n")).select("run_id", "target_id")
 
 
-def found_percentage(found: DataFrame, targets: DataFrame) -> DataFrame:
+def found_percentage(found: DataFrame, targets: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Targets found by each run and their share; with ``runs``, 0 for runs that find none, and for all of them where there is no target."""
     n = targets.agg(F.count("*")).scalar()
-    return found.groupBy("run_id").agg(F.count("*").alias("found")).withColumn("percentage_found", F.col("found") * 100.0 / n)
+    g = found.groupBy("run_id").agg(F.count("*").alias("found")).withColumn("percentage_found", F.coalesce(F.try_divide(F.col("found") * 100.0, n), F.lit(0.0)))
+    return every_run(g, runs, "found", "percentage_found")
 
 
 def view_score(positions: DataFrame, cells: DataFrame, visited: DataFrame, grid: GridSpec, radius: float, keys: list[str]) -> DataFrame:
@@ -273,9 +275,12 @@ def pre_post_endpoints(pings: DataFrame, cells: DataFrame, grid: GridSpec, radiu
                     F.when(1.0 - F.col("Pdet_at_fault") > 1e-12, gain / (1.0 - F.col("Pdet_at_fault"))).alias("ConditionalPostFaultPdet"), "post_exposures")
 
 
-def moving_target_detection(pings: DataFrame, tracks: DataFrame, radius: float, p_d: float, horizon: Column, seed: int = 0) -> DataFrame:
+def moving_target_detection(pings: DataFrame, tracks: DataFrame, radius: float, p_d: float, horizon: Column, seed: int = 0, pairs: DataFrame | None = None) -> DataFrame:
     """Hazard integration along a target track: P, RMST and the realised first hit per (run, target).
 
+    ``pairs`` (run, target) tells which targets belong to which run: those without a contact get their row too, with P 0 and the whole
+    horizon. Without it only pairs in contact have one.
+
     Agents and tracks meet in the same step and bucket of the plane (a target is sent to its bucket and the eight around it), so only
     close pairs are formed.
     """
@@ -294,7 +299,12 @@ def moving_target_detection(pings: DataFrame, tracks: DataFrame, radius: float,
     g = r.groupBy("run_id", "target_id").agg(F.sum("k").alias("exposures"), F.min("_s").alias("_S"), (F.min("t") + F.sum(F.col("_s") * F.col("_len"))).alias("RMST"),
                                             F.coalesce(F.min(F.when(F.col("lucky"), F.col("t"))), F.max("_T") + 1).alias("T_detect_realized"),
                                             F.bool_or("lucky").alias("detected"))
-    return g.select("run_id", "target_id", "exposures", (1.0 - F.col("_S")).alias("P_detect"), "RMST", "T_detect_realized", "detected")
+    g = g.select("run_id", "target_id", "exposures", (1.0 - F.col("_S")).alias("P_detect"), "RMST", "T_detect_realized", "detected")
+    if pairs is None:
+        return g
+    none = {"exposures": F.lit(0), "P_detect": F.lit(0.0), "RMST": horizon + 1, "T_detect_realized": horizon + 1, "detected": F.lit(False)}
+    out = pairs.select("run_id", "target_id").distinct().join(g, ["run_id", "target_id"], "left")
+    return out.withColumns({c: F.coalesce(c, v.cast(g.schema[c].dataType)) for c, v in none.items()})
 
 
 def realized_ttd(events: DataFrame, samples: DataFrame, p_d: float, horizon: Column, seed: int) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coverlens.operators.pairing import _of
 from coverlens.operators.scan import on_keys
 
 
@@ -123,8 +124,8 @@ def invariance_check(df: DataFrame, keys: list[str], by: str, metric: str, toler
 
 
 def pre_event_identity(df: DataFrame, keys: list[str], arm: str, a: str, b: str, value: str, exact: list[str], tolerance: float = 1e-12) -> DataFrame:
-    """Whether two arms agree before the event: value within the tolerance, hash and step columns equal."""
-    pick = lambda c, x: F.max(F.when(F.col(arm) == x, F.col(c)))
+    """Whether two arms agree before the event: value within the tolerance, hash and step columns equal. A trial that repeats an arm raises."""
+    pick = lambda c, x: _of(arm, x, c)
     w = df.groupBy(*keys).agg(F.abs(pick(value, a) - pick(value, b)).alias("_d"), *[(pick(c, a) == pick(c, b)).alias(c) for c in exact])
     return w.agg(F.max("_d").alias("max_abs_diff"), F.bool_and(F.coalesce(F.col("_d") < tolerance, F.lit(False))).alias("value_all_equal"),
                  *[F.bool_and(F.coalesce(c, F.lit(False))).alias(f"{c}_all_equal") for c in exact], F.count("*").alias("trials"))

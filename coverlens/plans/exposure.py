@@ -255,10 +255,10 @@ def _(spark, d):
     return X.targets_found(A.pings(spark, d), _targets(spark, d), R)
 
 
-@query("targets_found_pct", with_(PING, STEP, TARGETS, FOUND, select="SELECT run_id, count(*) AS found, round(count(*) * 100.0 / (SELECT count(*) FROM tg), 6) AS percentage_found FROM found GROUP BY run_id"))
+@query("targets_found_pct", with_(PING, STEP, TARGETS, FOUND, select="SELECT run_id, count(target_id) AS found, round(count(target_id) * 100.0 / (SELECT count(*) FROM tg), 6) AS percentage_found FROM (SELECT DISTINCT run_id FROM ping) LEFT JOIN found USING (run_id) GROUP BY run_id"))
 def _(spark, d):
-    t = _targets(spark, d)
-    return rounded(X.found_percentage(X.targets_found(A.pings(spark, d), t, R), t), 6)
+    p, t = A.pings(spark, d), _targets(spark, d)
+    return rounded(X.found_percentage(X.targets_found(p, t, R), t, p), 6)
 
 
 @query("view_score", with_(PING, FOOT, CELL, """
@@ -337,10 +337,12 @@ a AS (SELECT run_id, target_id, 1 - min(sv) AS "P_detect", sum(sv) AS "RMST" FRO
 b AS (SELECT run_id, target_id, CAST(sum(k) AS BIGINT) AS exposures, coalesce(min(t) FILTER (lucky), (SELECT max(t) FROM ping) + 1) AS "T_detect_realized", bool_or(lucky) AS detected FROM h GROUP BY ALL)"""
 
 
-@query("moving_target_detection", with_(PING, MOVING, select="""SELECT run_id, target_id, exposures, round("P_detect", 9) AS "P_detect", round("RMST", 6) AS "RMST", "T_detect_realized", detected FROM a JOIN b USING (run_id, target_id)"""))
+@query("moving_target_detection", with_(PING, MOVING, select="""SELECT run_id, target_id, coalesce(exposures, 0) AS exposures, round(coalesce("P_detect", 0), 9) AS "P_detect", round(coalesce("RMST", tt), 6) AS "RMST", coalesce("T_detect_realized", tt) AS "T_detect_realized", coalesce(detected, false) AS detected
+    FROM (SELECT DISTINCT run_id, CAST(event_id % 7 AS INT) AS target_id, (SELECT max(t) FROM ping) + 1 AS tt FROM e0) LEFT JOIN a USING (run_id, target_id) LEFT JOIN b USING (run_id, target_id)"""))
 def _(spark, d):
     p = A.pings(spark, d)
-    return rounded(X.moving_target_detection(p, A.tracks(spark, d), 20.0, PD, p.agg(F.max("t")).scalar(), seed=7), 9, RMST=6)
+    pairs = A.table(spark, d, "events").select(F.col("event_type").alias("run_id"), (F.col("event_id") % 7).cast("int").alias("target_id"))
+    return rounded(X.moving_target_detection(p, A.tracks(spark, d), 20.0, PD, p.agg(F.max("t")).scalar(), seed=7, pairs=pairs), 9, RMST=6)
 
 
 TTD = """

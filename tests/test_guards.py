@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from coverlens.functions import dist as D
+from coverlens.operators import exposure as X
 from coverlens.operators import pairing as P
 from coverlens.operators import stats as S
+from coverlens.operators import validate as V
 from coverlens.session import checkpoint_dir
 
 RUN = "trial int, planning_mode string, P_detect double, RMST double, L double, H_common int"
@@ -73,3 +75,24 @@ def test_scratch_folder_needs_a_shared_one_off_local_masters():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_pre_event_identity_raises_on_a_repeated_arm(spark):
+    once = [(1, "A", 0.1), (1, "R", 0.1)]
+    check = lambda rows: V.pre_event_identity(runs(spark, *rows), ["trial"], "planning_mode", "A", "R", "P_detect", ["H_common"]).first()
+    assert check(once).value_all_equal and check(once).H_common_all_equal
+    with pytest.raises(Exception, match="not unique"):
+        check([*once, (1, "A", 0.05)])
+
+
+def test_runs_that_find_nothing_have_their_rows(spark):
+    pings = spark.createDataFrame([("r", 0, t, float(t), 0.0) for t in range(4)] + [("far", 0, t, 90.0 + t, 90.0) for t in range(4)], "run_id string, agent_id int, t int, x double, y double")
+    targets = spark.createDataFrame([(1, 1.0, 0.5), (2, 50.0, 50.0)], "target_id int, x double, y double")
+    found = X.targets_found(pings, targets, 1.0)
+    assert {(r.run_id, r.found, r.percentage_found) for r in X.found_percentage(found, targets, pings).collect()} == {("r", 1, 50.0), ("far", 0, 0.0)}
+    assert {(r.run_id, r.found, r.percentage_found) for r in X.found_percentage(found.limit(0), targets.limit(0), pings).collect()} == {("r", 0, 0.0), ("far", 0, 0.0)}
+    tracks = spark.createDataFrame([(1, t, 1.0, 0.0) for t in range(4)], "target_id int, t int, x double, y double")
+    pairs = spark.createDataFrame([("r", 1), ("far", 1)], "run_id string, target_id int")
+    rows = {r.run_id: r for r in X.moving_target_detection(pings, tracks, 0.5, 0.8, F.lit(3), pairs=pairs).collect()}
+    assert (rows["far"].exposures, rows["far"].P_detect, rows["far"].RMST, rows["far"].T_detect_realized, rows["far"].detected) == (0, 0.0, 4.0, 4, False)
+    assert rows["r"].exposures == 1 and abs(rows["r"].P_detect - 0.8) < 1e-12 and abs(rows["r"].RMST - (1 + 3 * 0.2)) < 1e-12
