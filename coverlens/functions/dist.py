@@ -142,17 +142,6 @@ def _power_at(ncp, df, crit):
     return np.where(ncp > 37, 1.0, 1.0 - nct_cdf(crit, df, small) + nct_cdf(-crit, df, small))
 
 
-def wilcoxon_exact_p(w, ranks, counts=None) -> float:
-    """Two-sided p of the smaller rank sum over all signs of the ranks; sum and ranks doubled, so that mid-ranks are whole."""
-    total = np.repeat(np.asarray(ranks, int), 1 if counts is None else np.asarray(counts, int))
-    chance = np.zeros(int(total.sum()) + 1)
-    chance[0] = 1.0
-    for r in total:  # each rank is below the sum with probability one half
-        chance[r:] += chance[:-r].copy()
-        chance /= 2
-    return float(min(1.0, 2.0 * chance[: int(w) + 1].sum()))
-
-
 def _nullable(fn):
     """Vectorised function over columns; rows with any null give null."""
 
@@ -209,8 +198,3 @@ def min_detectable_udf(n1: pd.Series, n2: pd.Series, alpha: pd.Series, target: p
         return (lo + hi) / 2
 
     return _nullable(solve)(n1, n2, alpha, target)
-
-
-@F.pandas_udf(DoubleType())
-def wilcoxon_exact_udf(w: pd.Series, ranks: pd.Series, counts: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else wilcoxon_exact_p(x, r, c) for x, r, c in zip(w, ranks, counts)], dtype="Float64")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from coverlens.functions import dist as D
 from coverlens.functions.hashing import uniform
+from coverlens.operators.exact_ranks import mann_whitney_exact as exact_mann_whitney
+from coverlens.operators.exact_ranks import signed_rank_p
 from coverlens.operators.quantiles import exact_quantiles
 from coverlens.operators.scan import on_keys, sums_below, with_totals
 
@@ -126,15 +128,13 @@ def rank_biserial(df: DataFrame, keys: list[str], diff: str) -> DataFrame:
 def wilcoxon_paired(df: DataFrame, keys: list[str], diff: str, method: str = "normal") -> DataFrame:
     """Two-sided signed-rank test of the non-zero differences by the method that the caller names, the same for every group.
 
-    ``normal``: tie-corrected normal approximation. ``exact``: the distribution over all signs of the mid-ranks, ties included; its cost
-    grows with the cube of a group, whose distinct ranks meet in one row, so it is for groups the caller knows to be small.
+    ``normal``: tie-corrected normal approximation. ``exact``: the distribution over all signs of the mid-ranks, ties included, as rows that
+    are multiplied pairwise; its terms grow with the square of a group, so it is for groups the caller knows to be of moderate size.
     """
     r = rank_biserial(df, keys, diff)
     n = F.col("n_nonzero").cast("double")
     if method == "exact":
-        ranks = _signed_ranks(df, keys, diff).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((2 * F.col("_rank")).cast("long").alias("r"), "_n"))).alias("_r"))
-        r = on_keys(r, ranks, keys, "left")
-        r = r.withColumn("_p", D.wilcoxon_exact_udf((2 * F.col("statistic")).cast("long"), F.transform("_r", lambda x: x["r"]), F.transform("_r", lambda x: x["_n"]))).drop("_r")
+        r = on_keys(r, signed_rank_p(_signed_ranks(df, keys, diff), r, keys), keys, "left")
     elif method == "normal":
         var = (n * (n + 1) * (2 * n + 1) - F.col("tie_term") / 2) / 24
         z = (F.col("statistic") - n * (n + 1) / 4) / F.sqrt(var)
@@ -187,6 +187,14 @@ def mann_whitney(df: DataFrame, keys: list[str], arm: str, a: str, b: str, value
         "cliffs_delta", F.try_divide(2 * F.col("U"), na * nb) - 1)
 
 
+def mann_whitney_exact(df: DataFrame, keys: list[str], arm: str, a: str, b: str, value: str) -> DataFrame:
+    """U of ``a`` over ``b`` and its two-sided p over all ways to choose the smaller arm, ties included."""
+    x = df.where(F.col(arm).isin(a, b) & F.col(value).isNotNull())
+    v = x.groupBy(*keys, F.col(value).alias("_v")).agg(F.count_if(F.col(arm) == a).alias("_wa"), F.count_if(F.col(arm) == b).alias("_wb"))
+    v = sums_below(v.withColumn("_all", F.col("_wa") + F.col("_wb")), keys, "_v", ["_all"]).withColumnRenamed("_all_below", "_below")
+    return exact_mann_whitney(v, keys)
+
+
 def cliffs_delta(df: DataFrame, keys: list[str], arm: str, a: str, b: str, value: str) -> DataFrame:
     """P(a > b) - P(a < b) from the U statistic, with its magnitude label."""
     g = _two_sample(df, keys, arm, a, b, value)

@@ -127,6 +127,21 @@ def _(spark, d):
     return rounded(r.select("o_orderpriority", "n_a", "n_b", F.col("U").cast("double").alias("U"), "p"), 2, p=8)
 
 
+# rank sums of the smaller arm over all choices, one element after the other
+@query("mann_whitney_exact", with_("""
+el0 AS (SELECT s_nationkey AS g, s_acctbal AS v, s_suppkey % 8 = 0 AS a FROM supplier WHERE s_acctbal IS NOT NULL),
+el AS (SELECT g, a, row_number() OVER (PARTITION BY g ORDER BY v) AS i, CAST(2 * rank() OVER (PARTITION BY g ORDER BY v) + count(*) OVER (PARTITION BY g, v) - 1 AS BIGINT) AS r FROM el0),
+en AS (SELECT g, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, coalesce(sum(r) FILTER (a), 0) AS ra, coalesce(sum(r) FILTER (NOT a), 0) AS rb FROM el GROUP BY g),
+dp(g, i, k, s, w) AS (SELECT g, 0, 0, 0, 1.0::DOUBLE FROM en
+    UNION ALL SELECT g, i, k, s, sum(w) FROM (SELECT dp.g, CAST(dp.i + 1 AS INT) AS i, dp.k + d AS k, CAST(dp.s + d * r AS INT) AS s, w FROM dp JOIN el ON el.g = dp.g AND el.i = dp.i + 1 JOIN en ON en.g = dp.g, (VALUES (0), (1)) q(d) WHERE dp.k + d <= least(n_a, n_b)) GROUP BY ALL),
+fin AS (SELECT dp.*, CASE WHEN n_a <= n_b THEN ra ELSE rb END AS obs FROM dp JOIN en USING (g) WHERE i = n_a + n_b AND k = least(n_a, n_b)),
+pv AS (SELECT g, least(1.0, 2 * least(sum(w) FILTER (s <= obs), sum(w) FILTER (s >= obs)) / sum(w)) AS p FROM fin GROUP BY g)""",
+                                    select='SELECT g AS s_nationkey, n_a, n_b, round(CAST(ra / 2.0 - n_a * (n_a + 1) / 2.0 AS DOUBLE), 2) AS "U", round(p, 9) AS p FROM en JOIN pv USING (g)').replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    s = A.table(spark, d, "supplier").withColumn("arm", F.when(F.col("s_suppkey") % 8 == 0, "a").otherwise("b"))
+    return rounded(S.mann_whitney_exact(s, ["s_nationkey"], "arm", "a", "b", "s_acctbal"), 9, U=2)
+
+
 @query("cliffs_delta", with_(MW, select=f"SELECT o_orderpriority, n_a, n_b, round(cd, 9) AS cliffs_delta, {LABEL.format('cd')} AS magnitude FROM mw"))
 def _(spark, d):
     return rounded(S.cliffs_delta(A.table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "F", "O", "o_totalprice"))
