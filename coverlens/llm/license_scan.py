@@ -81,6 +81,8 @@ WHOLE_THRESHOLD = 0.8
 FILE_SHARE = 0.5
 TOKEN = r"[a-z0-9]+(\.[0-9]+)*"
 TRIGGER = r"licen[cs]e|rights reserved|spdx|public domain|creative commons|permission|redistribut|copyright"
+#: Words of which a match of TRIGGER holds at least one: of two words the second.
+MARK = r"licen[cs]e|^reserved|spdx|^domain|^commons|permission|redistribut|copyright"
 ENDS = r"([.;:])\s+"
 
 
@@ -130,17 +132,31 @@ def matches(units: DataFrame, templates: Sequence[tuple[str, str]], vocabulary:
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(text_key, key, tokens): the windows of every length that hold a licence word. Words that start a comment line are taken out."""
+    """(text_key, key, tokens): the windows of every length that hold a licence word. Words that start a comment line are taken out.
+
+    Windows are cut around the places of licence words alone, so a long text costs its words once and its windows only where they may count."""
     bare = F.regexp_replace("text", r"(?im)^[ \t]*(dnl|rem)\b", " ")
+    phrases = sorted({x[:3] for x in ANCHORS})
+    places = lambda test: F.filter(F.transform("all", lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
     words = texts.select("text_key", tokens(bare).alias("all"))
+    words = words.withColumns({"marks": places(lambda w: w.rlike(MARK)), "heads": places(lambda w: w.isin(sorted({x[0] for x in phrases})))})
     n = F.size("all")
-    starts = lambda size: F.sequence(F.lit(0), F.greatest(n - size + size // 8 - 1, F.lit(0)), F.lit(size // 8))
-    cut = lambda size: F.transform(starts(size), lambda at: F.slice("all", at + 1, F.lit(size)))
-    word = lambda at: F.get("all", at)
-    places = lambda a, b, c: F.filter(F.sequence(F.lit(0), n), lambda at: (word(at) == a) & (word(at + 1) == b) & (word(at + 2) == c))
-    phrases = sorted({x[:3] for x in ANCHORS})
-    words = words.select("*", *(places(*x).alias(f"at{k}") for k, x in enumerate(phrases)))
-    notice = lambda a, b, c, size: F.transform(f"at{phrases.index((a, b, c))}", lambda at: F.slice("all", at + 1, F.lit(size)))
+
+    def cut(size: int) -> Column:
+        step = size // 8
+        last = F.greatest(n - size + step - 1, F.lit(0))
+
+        def around(at: Column) -> Column:
+            low = F.ceil(F.greatest(at - size + 1, F.lit(0)) / step).cast("int") * step
+            high = F.least(at, last)
+            return F.when(low <= high, F.sequence(low, high, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+        return F.transform(F.array_distinct(F.flatten(F.transform("marks", around))), lambda at: F.slice("all", at + 1, F.lit(size)))
+
+    word = lambda at: F.get("all", at)
+    begins = lambda a, b, c: F.filter("heads", lambda at: (word(at) == a) & (word(at + 1) == b) & (word(at + 2) == c))
+    words = words.select("*", *(begins(*x).alias(f"at{k}") for k, x in enumerate(phrases)))
+    notice = lambda a, b, c, size: F.transform(f"at{phrases.index((a, b, c))}", lambda at: F.slice("all", at + 1, F.lit(size)))
     found = words.select("text_key", F.explode(F.concat(*map(cut, WINDOWS), *(notice(*x) for x in ANCHORS))).alias("tokens"))
     found = found.withColumn("s", F.array_join("tokens", " ")).where(F.col("s").rlike(TRIGGER))
     return found.select("text_key", "tokens", F.md5("s").alias("key"))

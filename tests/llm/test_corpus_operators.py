@@ -241,3 +241,18 @@ def test_stages_on_odd_tables(spark):
             got = stage(spark, empty, SF)
             assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] if k < 3 else "sequence_id" in got.columns
             got.collect()
+
+
+def test_license_scan_of_a_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(1_000_000)) + ". Released under the MIT License. " + "x y z " * 1000
+    assert len(text) > 5_000_000
+    rows = license_scan.license_scan(spark.createDataFrame([(1, "a/b", text), (2, "a/c", None)], "doc_id long, path string, text string")).orderBy("doc_id").collect()
+    assert [(r.own_license, r.license) for r in rows] == [("MIT", "MIT"), (None, None)]
+
+
+def test_license_windows_lie_around_licence_words(spark):
+    words = [f"w{i}" for i in range(400)]
+    words[200] = "licence"
+    cuts = {tuple(r.tokens) for r in license_scan.windows(spark.createDataFrame([("k", " ".join(words))], "text_key string, text string")).collect()}
+    want = {tuple(words[at : at + size]) for size in license_scan.WINDOWS for at in range(0, max(400 - size + size // 8 - 1, 0) + 1, size // 8)}
+    assert cuts == {w for w in want if "licence" in w}
