@@ -67,12 +67,18 @@ def two_thirds(n: Column) -> Column:
 
 
 def attrition_gate(states: DataFrame, level: str, comparator: str, geometric: str, online: str, online_geometric: str, fair: Column | None = None) -> DataFrame:
-    """Per level, how many clusters reach a state for each comparator; the verdict needs two thirds of them at every level."""
+    """Per level, how many clusters reach a state for each comparator; the verdict needs two thirds of them at every level of the table. A
+    comparator without a row at some level does not pass there."""
     per = states.groupBy(comparator, level).agg(F.count("*").alias("n"), F.count_if(F.col("state") == "EQUIVALENT").alias("e"), F.count_if(F.col("state") == "IMPROVEMENT").alias("i"),
                                                 F.count_if(F.col("state") == "WORSENING").alias("w"))
     need = two_thirds(F.col("n"))
-    at = lambda c, cond: F.bool_and(F.when(F.col(comparator) == c, cond))
-    g = per.agg(F.bool_and(F.when(F.col(comparator).isin(geometric, online), F.col("w") == 0)).alias("no_worsening"), at(geometric, F.col("e") >= need).alias("geometric_equivalent"),
+    levels = states.agg(F.count_distinct(level)).scalar()
+
+    def at(c: str, cond: Column) -> Column:
+        return F.coalesce(F.bool_and(F.when(F.col(comparator) == c, cond)) & (F.count_if(F.col(comparator) == c) == F.max("_levels")), F.lit(False))
+
+    per = per.withColumn("_levels", levels)
+    g = per.agg((at(geometric, F.col("w") == 0) & at(online, F.col("w") == 0)).alias("no_worsening"), at(geometric, F.col("e") >= need).alias("geometric_equivalent"),
                 at(online, F.col("e") >= need).alias("online_equivalent"), at(online_geometric, F.col("i") >= need).alias("online_improved"),
                 at(online, F.col("e") + F.col("i") >= need).alias("online_ok"), at(geometric, F.col("e") + F.col("i") >= need).alias("geometric_ok"))
     ok = F.lit(True) if fair is None else fair

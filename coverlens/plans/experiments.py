@@ -554,16 +554,16 @@ def _(spark, d):
 
 
 ATT = ",".join([contrasts("c1", "runs", "dataset, planning_seed, k", "A", "R"), contrasts("c2", "runs", "dataset, planning_seed, k", "N", "R"), contrasts("c3", "runs", "dataset, planning_seed, k", "N", "A"), """
-con AS (SELECT 'online' AS comparator, * FROM c1 WHERE k BETWEEN 1 AND 3 UNION ALL SELECT 'geometric', * FROM c2 WHERE k BETWEEN 1 AND 3 UNION ALL SELECT 'online_geometric', * FROM c3 WHERE k BETWEEN 1 AND 3)"""])
+con AS (SELECT 'online' AS comparator, * FROM c1 WHERE k >= 1 UNION ALL SELECT 'geometric', * FROM c2 WHERE k >= 1 UNION ALL SELECT 'online_geometric', * FROM c3 WHERE k >= 1)"""])
 
 
 @query("attrition_gate", with_(RUNS_K, ATT, summary("con", "comparator, dataset, k"), """
 pk AS (SELECT comparator, k, ceil(2 * count(*) / 3.0) AS need, count(*) FILTER (state = 'EQUIVALENT') AS e, count(*) FILTER (state = 'IMPROVEMENT') AS i, count(*) FILTER (state = 'WORSENING') AS w FROM sm GROUP BY ALL),
-ag AS (SELECT bool_and(w = 0) FILTER (comparator <> 'online_geometric') AS no_worsening, bool_and(e >= need) FILTER (comparator = 'geometric') AS geometric_equivalent, bool_and(e >= need) FILTER (comparator = 'online') AS online_equivalent,
-    bool_and(i >= need) FILTER (comparator = 'online_geometric') AS online_improved, bool_and(e + i >= need) FILTER (comparator = 'online') AS online_ok, bool_and(e + i >= need) FILTER (comparator = 'geometric') AS geometric_ok FROM pk)""",
+ag AS (SELECT coalesce(bool_and(w = 0) FILTER (comparator = 'geometric') AND count(*) FILTER (comparator = 'geometric') = (SELECT count(DISTINCT k) FROM sm), false) AND coalesce(bool_and(w = 0) FILTER (comparator = 'online') AND count(*) FILTER (comparator = 'online') = (SELECT count(DISTINCT k) FROM sm), false) AS no_worsening, coalesce(bool_and(e >= need) FILTER (comparator = 'geometric') AND count(*) FILTER (comparator = 'geometric') = (SELECT count(DISTINCT k) FROM sm), false) AS geometric_equivalent, coalesce(bool_and(e >= need) FILTER (comparator = 'online') AND count(*) FILTER (comparator = 'online') = (SELECT count(DISTINCT k) FROM sm), false) AS online_equivalent,
+    coalesce(bool_and(i >= need) FILTER (comparator = 'online_geometric') AND count(*) FILTER (comparator = 'online_geometric') = (SELECT count(DISTINCT k) FROM sm), false) AS online_improved, coalesce(bool_and(e + i >= need) FILTER (comparator = 'online') AND count(*) FILTER (comparator = 'online') = (SELECT count(DISTINCT k) FROM sm), false) AS online_ok, coalesce(bool_and(e + i >= need) FILTER (comparator = 'geometric') AND count(*) FILTER (comparator = 'geometric') = (SELECT count(DISTINCT k) FROM sm), false) AS geometric_ok FROM pk)""",
                                select="""SELECT *, CASE WHEN geometric_equivalent THEN 'PIZZA_GAP_CLOSED' WHEN online_equivalent AND online_improved THEN 'ONLINE_REPLANNING_MAIN' WHEN no_worsening AND online_ok AND geometric_ok THEN 'GRACEFUL_REPLANNING' ELSE 'NO_DIFFERENTIAL_ADVANTAGE' END AS gate FROM ag"""))
 def _(spark, d):
-    r = A.runs(spark, d, True).where(F.col("k").between(1, 3))
+    r = A.runs(spark, d, True).where(F.col("k") >= 1)
     p = P.arm_pairs(r, KEYS + ["k"], "planning_mode", [("A", "R"), ("N", "R"), ("N", "A")], ["P_detect", "RMST", "H_common"])
     name = F.when((F.col("first") == "A"), "online").when(F.col("second") == "R", "geometric").otherwise("online_geometric")
     c = p.select(name.alias("comparator"), *KEYS, "k", (F.col("b_P_detect") - F.col("a_P_detect")).alias("dPdet"), ((F.col("a_RMST") - F.col("b_RMST")) / F.greatest("a_H_common", "b_H_common")).alias("dRMST_rel"))

@@ -94,3 +94,14 @@ def test_runs_that_find_nothing_have_their_rows(spark):
     rows = {r.run_id: r for r in X.moving_target_detection(pings, tracks, 0.5, 0.8, F.lit(3), pairs=pairs).collect()}
     assert (rows["far"].exposures, rows["far"].P_detect, rows["far"].RMST, rows["far"].T_detect_realized, rows["far"].detected) == (0, 0.0, 4.0, 4, False)
     assert rows["r"].exposures == 1 and abs(rows["r"].P_detect - 0.8) < 1e-12 and abs(rows["r"].RMST - (1 + 3 * 0.2)) < 1e-12
+
+
+def test_attrition_gate_fails_a_missing_level(spark):
+    from coverlens.operators import classify as K
+
+    rows = [(c, k, "EQUIVALENT" if c != "og" else "IMPROVEMENT") for c in ("geo", "on", "og") for k in (1, 2, 3, 4)]
+    gate = lambda r: K.attrition_gate(spark.createDataFrame(r, "comparator string, k int, state string"), "k", "comparator", "geo", "on", "og").first()
+    assert gate(rows).gate == "PIZZA_GAP_CLOSED"
+    some = [r for r in rows if r[:2] != ("geo", 4)]
+    assert gate(some).gate == "ONLINE_REPLANNING_MAIN" and not gate(some).geometric_equivalent
+    assert gate([r for r in some if r[:2] != ("og", 2)]).gate == "NO_DIFFERENTIAL_ADVANTAGE"
