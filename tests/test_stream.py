@@ -1,7 +1,9 @@
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,41 @@ def test_running_exposure_in_update_mode(spark, tmp_path):
     q = S.stream_exposure(src, GridSpec(1, 1), 0.4, None).writeStream.format("memory").queryName("running").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("running").agg(F.max("n")).first()[0] == 4
+
+
+class FakeHandle:
+    """States and timers of one key, with the watermark past every step."""
+
+    def __init__(self):
+        self.timers, self.lists, self.maps, self.value = [], [], {}, None
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def getListState(self, *_):
+        return SimpleNamespace(exists=lambda: bool(self.lists), get=lambda: iter(list(self.lists)), appendList=self.lists.extend, clear=self.lists.clear, put=lambda v: self.lists.__setitem__(slice(None), v))
+
+    def getMapState(self, *_):
+        m = self.maps
+        return SimpleNamespace(containsKey=m.__contains__, getValue=m.get, updateValue=m.__setitem__, removeKey=m.pop, iterator=lambda: iter(m.items()), keys=lambda: iter(list(m)))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+@pytest.mark.parametrize("kind", ["evidence", "moves"])
+def test_one_timer_releases_all_complete_steps(kind):
+    steps, handle = 50, FakeHandle()
+    if kind == "evidence":
+        p = S.EvidenceProcessor(0.8, 0.0, 4, 1000)
+        rows, key = pd.DataFrame({"row": 1, "col": 1, "t": range(steps), "due": [(t + 1) * 1000 for t in range(steps)]}), ("r", 0, 0)
+    else:
+        p = S.MoveProcessor(False, None)
+        rows, key = pd.DataFrame({"due": [(t + 1) * 1000 for t in range(steps)], "us": range(steps), "event_id": range(steps), "agent_id": 1, "t": range(steps), "x": 1.0, "y": [float(t) for t in range(steps)]}), ("r", 0)
+    p.init(handle)
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 1000 * steps - 1000)
+    list(p.handleInputRows(key, iter([rows]), now))
+    assert handle.timers == [1000]
+    out = pd.concat(p.handleExpiredTimer(key, now, SimpleNamespace(getExpiryTimeInMs=lambda: 1000)))
+    assert handle.timers == [1000, 1000 * steps]  # the last step waits
+    assert out["last_t" if kind == "evidence" else "t"].tolist() == list(range(steps - 1))
