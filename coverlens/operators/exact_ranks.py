@@ -1,66 +1,147 @@
-"""Exact rank distributions as rows.
+"""Exact rank distributions by their characteristic functions.
 
-The ways to reach a rank sum are the coefficients of a product of one small polynomial per element. They are kept as rows (powers, weight)
-and multiplied pairwise as a tree, so n elements take log2(n) joins. Each product is an equi-join of neighbours, salted by the powers of one
-side and aggregated before anything is sent on, so that no task holds the distribution of a group. Ranks are doubled: mid-ranks are whole.
+A rank sum over all signs, or over all choices of the smaller arm, is a whole number between 0 and some N - 1, once ranks are doubled (mid-ranks
+are whole then), moved to start at 0 and divided by their common divisor. Its distribution is known from its characteristic function at
+the N-th roots of unity, and a tail is one weighted sum over them. The roots are independent of each other: they are dealt to tasks in blocks, so no task holds a
+distribution. A task holds its block and the distinct ranks of its group. Tails are right to about 1e-14, whatever the sizes; the work is
+N times the group's distinct ranks, for two samples N times the group times its smaller arm.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlens.operators.scan import on_keys
-from coverlens.session import cut_lineage
 
-SALTS = 16
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROOTS = 1 << 15
+CELLS = 1 << 20
+#: A product of factors of at most 1 that has come below this adds nothing to a sum in double precision.
+NOTHING = 1e-30
+
+
+def _tail(first: int, last: int, n: int, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(roots, weight, half angle): the sum of weight * Re(phi * exp(-i * half angle)) over roots first .. last - 1, all of them from 0 to
+    n // 2, is the chance of a value of at most ``at``. The other roots are conjugates of these."""
+    k = np.arange(first, last, dtype=np.int64)
+    sin = np.sin(np.pi * k / n)
+    w = np.where(k == 0, at + 1.0, np.sin(np.pi * ((k * (at + 1)) % (2 * n)) / n) / np.where(k == 0, 1.0, sin))
+    return k, w * np.where((k == 0) | (2 * k == n), 1.0, 2.0) / n, np.pi * ((k * at) % (2 * n)) / n
+
+
+def signed_tail(r: np.ndarray, c: np.ndarray, at: int, n: int, first: int, last: int) -> float:
+    """Share of the roots in the chance that the sum over random signs (0 or r, each rank c times) is at most ``at``."""
+    if at < 0:
+        return 0.0
+    k, w, half = _tail(first, last, n, at)
+    phi = np.ones(len(k))
+    for x, m in sorted(zip(r.tolist(), c.tolist()), reverse=True):
+        phi *= np.cos(np.pi * ((k * x) % (2 * n)) / n) ** m
+        if abs(phi).max() < NOTHING:
+            return 0.0
+    return float((w * phi * np.cos(np.pi * ((k * (n - 1)) % (2 * n)) / n - half)).sum())
+
+
+def choice_tail(r: np.ndarray, c: np.ndarray, most: int, at: list[int], n: int, first: int, last: int) -> list[float]:
+    """The same for the sum of ``most`` elements chosen at random, at each of the places ``at``.
+
+    ``e[j]`` is the mean of exp(i * angle * sum) over the choices of j among the elements so far: a weighted mean of two terms at each step."""
+    k = np.arange(first, last, dtype=np.int64)
+    size, i = int(c.sum()), 0
+    e = np.zeros((most + 1, len(k)), complex)
+    e[0] = 1.0
+    for x, m in zip(r.tolist(), c.tolist()):
+        turn = np.exp(2j * np.pi * ((k * x) % n) / n)
+        for _ in range(m):
+            i += 1
+            lo, hi = max(1, most - (size - i)), min(i, most)  # no other count can still become ``most``
+            if lo <= hi:
+                j = np.arange(lo, hi + 1)[:, None] / i
+                e[lo : hi + 1] = (1.0 - j) * e[lo : hi + 1] + j * (turn * e[lo - 1 : hi])
+    out = []
+    for a in at:
+        _, w, half = _tail(first, last, n, a)
+        out.append(float((w * (e[most] * np.exp(-1j * half)).real).sum()) if a >= 0 else 0.0)
+    return out
+
 
+def _by_blocks(ranks: DataFrame, keys: list[str], plan, tails, names: list[str]) -> DataFrame:
+    """(keys, names): sums over blocks of roots. ``plan`` gives (values, N, cells of a root) of a group's rows, ``tails`` the shares of a block."""
+    ddl = ", ".join(f"`{k}` {ranks.schema[k].dataType.simpleString()}" for k in keys)
 
-def product_tree(factors: DataFrame, keys: list[str], powers: list[str], allowed: str | None = None) -> DataFrame:
-    """(keys, powers, w) of the product of all factors (keys, node from 0, powers, w); terms for which ``allowed`` fails are left out."""
-    last = factors.agg(F.max("node")).first()[0] or 0
-    out = factors.select(*keys, F.col("node").cast("long").alias("node"), *powers, "w")
-    while last > 0:
-        x = out.withColumn("_up", F.expr("node DIV 2"))
-        left = x.where("node % 2 = 0").select(*keys, "_up", *[F.col(p).alias(f"_{p}") for p in powers], F.col("w").alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        right = x.where("node % 2 = 1").withColumn("_salt", F.pmod(F.hash(*powers), F.lit(SALTS)))
-        both = on_keys(right, left, [*keys, "_up", "_salt"]).select(*keys, "_up", *[(F.col(p) + F.col(f"_{p}")).alias(p) for p in powers], (F.col("w") * F.col("_w")).alias("w"))
-        if allowed is not None:
-            both = both.where(allowed)
-        alone = on_keys(x.where("node % 2 = 0"), right.select(*keys, "_up").distinct(), [*keys, "_up"], "left_anti").select(*keys, "_up", *powers, "w")
-        out = cut_lineage(both.unionByName(alone).groupBy(*keys, "_up", *powers).agg(F.sum("w").alias("w")).withColumnRenamed("_up", "node"))
-        last //= 2
-    return out.drop("node")
+    def blocks(key, p):
+        _, n, wide = plan(p)
+        step = max(1, min(ROOTS, CELLS // wide))
+        first = np.arange(0, n // 2 + 1, step)
+        return pd.DataFrame({**{k: [v] * len(first) for k, v in zip(keys, key)}, "_first": first, "_last": np.minimum(first + step, n // 2 + 1)})
+
+    def share(key, p):
+        r, n, _ = plan(p)
+        return pd.DataFrame([[*key[: len(keys)], *tails(r, n, p, int(p["_first"].iloc[0]), int(p["_last"].iloc[0]))]], columns=[*keys, *names])
+
+    b = ranks.groupBy(*keys).applyInPandas(blocks, f"{ddl}, _first long, _last long")
+    # a given number of partitions: the rows are few and small, the work behind them is not
+    parts = int(ranks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = on_keys(ranks, b, keys).repartition(parts, *keys, "_first").groupBy(*keys, "_first").applyInPandas(share, ", ".join([ddl, *[f"`{x}` double" for x in names]]))
+    return out.groupBy(*keys).agg(*[F.greatest(F.lit(0.0), F.sum(x)).alias(x) for x in names])
 
 
 def signed_rank_p(ranks: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, p): two-sided p of the smaller signed-rank sum. ``ranks`` holds (keys, _rank, _n, _n_below) per distinct size of difference,
+    """(keys, _p): two-sided p of the smaller signed-rank sum. ``ranks`` holds (keys, _rank, _n) per distinct size of difference,
     ``stats`` the statistic of each key."""
-    r = (2 * F.col("_rank")).cast("long")
-    each = ranks.select(*keys, r.alias("r"), F.explode(F.sequence(F.col("_n_below").cast("long"), F.col("_n_below").cast("long") + F.col("_n") - 1)).alias("node"))
-    signs = each.select(*keys, "node", F.explode(F.array(F.lit(0).cast("long"), F.col("r"))).alias("total"), F.lit(0.5).alias("w"))
-    ways = on_keys(product_tree(signs, keys, ["total"]), stats.select(*keys, (2 * F.col("statistic")).cast("long").alias("_s")), keys)
-    return ways.groupBy(*keys).agg(F.least(F.lit(1.0), 2 * F.sum(F.when(F.col("total") <= F.col("_s"), F.col("w")).otherwise(0.0))).alias("_p"))
+    own = keys or ["_one"]
+    one = [] if keys else [F.lit(1).alias("_one")]
+    x = on_keys(ranks, stats.select(*keys, F.col("statistic").alias("_s")), keys)
+    x = x.select(*keys, *one, (2 * F.col("_rank")).cast("long").alias("r"), F.col("_n").cast("long").alias("c"), (2 * F.col("_s")).cast("long").alias("s"))
+
+    def plan(p):
+        r = p["r"].to_numpy() // int(np.gcd.reduce(p["r"].to_numpy()))
+        return r, int((r * p["c"].to_numpy()).sum()) + 1, 1
+
+    def tails(r, n, p, first, last):
+        return [signed_tail(r, p["c"].to_numpy(), int(p["s"].iloc[0]) // int(np.gcd.reduce(p["r"].to_numpy())), n, first, last)]
+
+    return _by_blocks(x, own, plan, tails, ["_le"]).select(*keys, F.least(F.lit(1.0), 2 * F.col("_le")).alias("_p"))
 
 
 def mann_whitney_exact(ranks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_a, n_b, U, p) from (keys, _v, _wa, _wb, _below): distinct values with the counts of both arms and of all smaller values.
 
     The rank sum of the smaller arm runs over all choices of that many elements, ties by mid-ranks; p is twice the smaller tail. For groups
-    whose smaller arm is small: a product's terms grow with the choices' rank sums times their sizes."""
+    whose smaller arm is small: the work grows with the group times the arm times the arm's rank sums."""
     n = ranks.groupBy(*keys).agg(F.sum("_wa").cast("long").alias("n_a"), F.sum("_wb").cast("long").alias("n_b"),
                                  F.sum((2 * F.col("_below") + F.col("_wa") + F.col("_wb") + 1) * F.col("_wa")).cast("long").alias("_ra"),
                                  F.sum((2 * F.col("_below") + F.col("_wa") + F.col("_wb") + 1) * F.col("_wb")).cast("long").alias("_rb"))
     n = n.withColumns({"most": F.least("n_a", "n_b"), "_obs": F.when(F.col("n_a") <= F.col("n_b"), F.col("_ra")).otherwise(F.col("_rb"))})
-    r = (2 * F.col("_below") + F.col("_wa") + F.col("_wb") + 1).cast("long")
-    first = F.col("_below").cast("long")
-    each = ranks.select(*keys, r.alias("r"), F.explode(F.sequence(first, first + (F.col("_wa") + F.col("_wb")).cast("long") - 1)).alias("node"))
-    each = on_keys(each, n.select(*keys, "most"), keys)
-    taken = F.array(F.struct(F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("total")), F.struct(F.lit(1).cast("long").alias("taken"), F.col("r").alias("total")))
-    terms = each.select(*keys, "most", "node", F.explode(taken).alias("t"), F.lit(1.0).alias("w")).select(*keys, "most", "node", "t.*", "w").where("taken <= most")
-    ways = product_tree(terms, [*keys, "most"], ["taken", "total"], "taken <= most").where("taken = most").drop("most")
-    g = on_keys(ways, n.select(*keys, "_obs"), keys).groupBy(*keys).agg(
-        F.sum("w").alias("_all"), F.sum(F.when(F.col("total") <= F.col("_obs"), F.col("w")).otherwise(0.0)).alias("_le"), F.sum(F.when(F.col("total") >= F.col("_obs"), F.col("w")).otherwise(0.0)).alias("_ge"))
-    p = F.least(F.lit(1.0), 2 * F.least("_le", "_ge") / F.col("_all"))
+    own = keys or ["_one"]
+    one = [] if keys else [F.lit(1).alias("_one")]
+    x = on_keys(ranks, n.select(*keys, "most", "_obs"), keys)
+    x = x.select(*keys, *one, (2 * F.col("_below") + F.col("_wa") + F.col("_wb") + 1).cast("long").alias("r"), (F.col("_wa") + F.col("_wb")).cast("long").alias("c"), "most", "_obs")
+
+    def scale(p):
+        r = p["r"].to_numpy()
+        return int(r.min()), max(1, int(np.gcd.reduce(r - r.min())))
+
+    def plan(p):
+        low, by = scale(p)
+        r, most = (p["r"].to_numpy() - low) // by, int(p["most"].iloc[0])
+        return r, most * int(r.max()) + 1, most + 1
+
+    def tails(r, n, p, first, last):
+        low, by = scale(p)
+        most = int(p["most"].iloc[0])
+        at = (int(p["_obs"].iloc[0]) - most * low) // by
+        return choice_tail(r, p["c"].to_numpy(), most, [at, at - 1], n, first, last)
+
+    g = on_keys(n, _by_blocks(x, own, plan, tails, ["_le", "_lt"]).select(*keys, "_le", "_lt"), keys)
+    p = F.least(F.lit(1.0), 2 * F.least(F.col("_le"), F.greatest(F.lit(0.0), 1 - F.col("_lt"))))
     na = F.col("n_a").cast("double")
-    return on_keys(n, g, keys).select(*keys, "n_a", "n_b", (F.col("_ra") / 2 - na * (na + 1) / 2).alias("U"), p.alias("p"))
+    return g.select(*keys, "n_a", "n_b", (F.col("_ra") / 2 - na * (na + 1) / 2).alias("U"), p.alias("p"))

@@ -57,3 +57,24 @@ def test_empty(table):
     _, df = table
     assert S.mann_whitney_exact(df.limit(0), ["g"], "arm", "a", "b", "v").collect() == []
     assert S.wilcoxon_paired(df.limit(0), ["g"], "v", "exact").collect() == []
+
+
+def test_large_groups(spark):
+    """No ties in 400 differences and 240 values: counted against a walk over the elements."""
+    rng = random.Random(9)
+    d = [(0, v if rng.random() < 0.55 else -v) for v in range(1, 401)]
+    got = S.wilcoxon_paired(spark.createDataFrame(d, "g int, v int"), ["g"], "v", "exact").first()
+    ways = np.array([1.0])
+    for r in range(1, 401):
+        ways = (np.pad(ways, (0, r)) + np.pad(ways, (r, 0))) / 2
+    assert got.p == pytest.approx(min(1.0, 2 * ways[: int(got.statistic) + 1].sum()), rel=1e-9)
+    v = [(0, "a" if i % 8 == 0 else "b", i * 7919 % 240 + 3.0 * (i % 8 == 0) / 4) for i in range(240)]
+    got = S.mann_whitney_exact(spark.createDataFrame(v, "g int, arm string, v double"), ["g"], "arm", "a", "b", "v").first()
+    r = mid_ranks([x for _, _, x in v])
+    obs = int(r[[a == "a" for _, a, _ in v]].sum())
+    ways = np.zeros((31, 240 * 30 + 1))
+    ways[0, 0] = 1
+    for x in r.astype(int):
+        ways[1:, x:] = ways[1:, x:] + ways[:-1, : ways.shape[1] - x]
+    p = min(1.0, 2 * min(ways[30, : obs + 1].sum(), ways[30, obs:].sum()) / ways[30].sum())
+    assert got.p == pytest.approx(p, rel=1e-9) and got.n_a == 30
