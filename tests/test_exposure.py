@@ -162,3 +162,22 @@ def test_mass_conserving_belief_against_dense_recursion(spark, tau):
             last[rc], seen[rc], base[rc] = t, True, post[rc]
         decay(t)
     assert got == pytest.approx(post) and got.sum() == pytest.approx(prior.sum())
+
+
+def test_targets_found_in_rounds(spark, monkeypatch):
+    """Places that many segments cross are settled early, those that one alone reaches late; equal places are found together."""
+    seen = []
+    reach = X._reach
+    monkeypatch.setattr(X, "_reach", lambda s, *a: seen.append(s) or reach(s, *a))
+    rng = np.random.default_rng(3)
+    rows = [("r", a, t, float(rng.uniform(0, 30)), float(rng.uniform(0, 30))) for a in range(40) for t in range(20)] + [("q", 0, 0, 2.0, 2.0), ("q", 0, 1, 28.0, 3.0)]
+    tg = [(i, float(i % 34 - 2), float(i // 34 % 34 - 2)) for i in range(2 * 34 * 34)]
+    got = {(r.run_id, r.target_id) for r in X.targets_found(pings(spark, rows), spark.createDataFrame(tg, "target_id int, x double, y double"), 0.4).collect()}
+    want = set()
+    at = np.array([p[1:] for p in tg])
+    for a, b in zip(rows, rows[1:]):
+        if a[:2] == b[:2]:
+            p, d = np.array(a[3:]), np.array(b[3:]) - np.array(a[3:])
+            u = np.clip((at - p) @ d / (d @ d), 0, 1)
+            want |= {(a[0], int(i)) for i in np.flatnonzero(np.hypot(*(at - p - u[:, None] * d).T) <= 0.4)}
+    assert got == want and len(seen) == X.FIND_ROUNDS
