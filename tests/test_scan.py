@@ -74,3 +74,18 @@ def test_nearest_feature_with_a_hot_place(spark):
 
     assert len(got) == len(pts)
     assert [got[i] for i in range(len(pts))] == pytest.approx([min(d(pt, e) for _, e in feats) for pt in pts])
+
+
+def test_far_points_of_a_tile_are_sent_once(spark, monkeypatch):
+    """What walks down the pyramid grows with the tiles of points, not with the points; results as by brute force."""
+    sent = []
+    nearer = G._nearer
+    monkeypatch.setattr(G, "_nearer", lambda *a: sent.append(nearer(*a)) or sent[-1])
+    rng = np.random.default_rng(8)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.uniform(200, 207, (300, 2)), rng.uniform(0, 20, (60, 2))]))]
+    seg = rng.uniform(0, 20, (200, 2))
+    f = spark.createDataFrame([(str(i), [(float(x), float(y)), (float(x) + 1, float(y))]) for i, (x, y) in enumerate(seg)], "feature_id string, pts array<struct<x:double,y:double>>")
+    got = {r.id: r.distance for r in G.nearest_feature(spark.createDataFrame(pts, "id int, x double, y double"), f, ["id"], 1.0, 32.0).collect()}
+    for i, x, y in pts:
+        assert got[i] == pytest.approx(np.hypot(np.maximum(np.maximum(seg[:, 0] - x, x - seg[:, 0] - 1), 0), seg[:, 1] - y).min())
+    assert sent[0].select("tx", "ty").distinct().count() <= 4 + 36 and all(s.where("tx >= 50").count() <= 4 * 200 for s in sent)
