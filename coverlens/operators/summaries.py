@@ -130,10 +130,20 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
 
 
 def association(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson, Spearman (on average ranks), least-squares slope and intercept."""
+    """Pearson, Spearman (on average ranks), least-squares slope and intercept.
+
+    Ranks meet distinct pairs with their counts, never rows; the ranks of ``y`` are added up per value of ``x`` before they meet the
+    ranks of ``x``, so a value of ``x`` that holds most rows is one row there."""
     d = df.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = on_keys(on_keys(d, average_ranks(d, by, x, "_rx"), by + [x]), average_ranks(d, by, y, "_ry"), by + [y])
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    mid = on_keys(average_ranks(d, by, y, "_ry"), g.select(*by, ((F.col("n") + 1) / 2).alias("_mid")), by)
+    pairs = on_keys(d.groupBy(*by, x, y).agg(F.count("*").alias("_n")), mid.select(*by, y, (F.col("_ry") - F.col("_mid")).alias("_ry")), by + [y])
+    per = pairs.groupBy(*by, x).agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_ry")).alias("_s"), F.sum(F.col("_n") * F.col("_ry") * F.col("_ry")).alias("_yy"))
+    rx = F.col("_n_below") + (F.col("_n") + 1) / 2 - F.col("_mid")
+    per = on_keys(sums_below(per, by, x, ["_n"]), g.select(*by, ((F.col("n") + 1) / 2).alias("_mid")), by).withColumn("_rx", rx)
+    r = per.groupBy(*by).agg(F.sum(F.col("_rx") * F.col("_s")).alias("_xy"), F.sum(F.col("_n") * F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum("_yy").alias("_yy"))
+    spearman = F.col("_xy") / F.nullif(F.sqrt(F.col("_xx")) * F.sqrt(F.col("_yy")), F.lit(0.0))
+    return on_keys(g, r, by).select(*by, "n", "pearson", spearman.alias("spearman"), "slope", "intercept")
 
 
 def rollup_means(df: DataFrame, cluster: str, by: list[str], value: str) -> DataFrame:

@@ -89,3 +89,24 @@ def test_far_points_of_a_tile_are_sent_once(spark, monkeypatch):
     for i, x, y in pts:
         assert got[i] == pytest.approx(np.hypot(np.maximum(np.maximum(seg[:, 0] - x, x - seg[:, 0] - 1), 0), seg[:, 1] - y).min())
     assert sent[0].select("tx", "ty").distinct().count() <= 4 + 36 and all(s.where("tx >= 50").count() <= 4 * 200 for s in sent)
+
+
+def test_grid_totals_and_ranks_of_a_hot_key(spark):
+    """A single grid's rows share out their totals; one value of x that holds most rows changes no correlation."""
+    from coverlens.operators import grid as R
+    from coverlens.operators import summaries as M
+
+    cells = spark.createDataFrame([("g", i, 0, float(i), i % 3 > 0) for i in range(500)], "grid_id string, row int, col int, p double, valid boolean").repartition(4)
+    mixed = R.mix_uniform(cells, 0.25)
+    valid = sum(i % 3 > 0 for i in range(500))
+    for r in mixed.collect():
+        assert r.p == pytest.approx(0.75 * r.row / (499 * 250) + 0.25 * r.valid / valid)
+    joined = str(mixed._jdf.queryExecution().optimizedPlan())
+    assert "_split" in joined
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(900) < 0.8, 5, rng.integers(0, 9, 900))
+    y = (x + rng.integers(0, 12, 900)) // 2
+    got = M.association(spark.createDataFrame([("a", int(u), int(v)) for u, v in zip(x, y)], "k string, x int, y int"), ["k"], "x", "y")
+    assert "_rx" not in str(got._jdf.queryExecution().analyzed()).split("corr(")[1].split(")")[0]
+    row, p = got.first(), pd.DataFrame({"x": x, "y": y})
+    assert row.spearman == pytest.approx(p["x"].rank().corr(p["y"].rank())) and row.pearson == pytest.approx(p["x"].corr(p["y"])) and row.n == 900
