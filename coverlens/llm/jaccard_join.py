@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import byte_slices, checkpointed, linked_rows, texts_of, worker_state
+from coverlens.llm.common import byte_slices, checkpointed, linked_rows, texts_of, tidy, worker_state
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, FULL_DEPTH, RECALL = 20, 8, 0.9999
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, depth: int, id_col: str, text_col: str, with_set
                     columns.append(pa.array([s.tobytes() if len(s) else None for s in sets], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "set_key", "n", "prefixes", *["shingles"] * with_sets])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def verify(threshold: float):
@@ -182,7 +182,7 @@ def with_set_key(docs: DataFrame, name: str, text_col: str = "text") -> DataFram
                 keys = pa.array(set_keys(shingle_sets(texts_of(batch.column(at)))), pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, keys], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import byte_slices, texts_of, worker_state
+from coverlens.llm.common import byte_slices, texts_of, tidy, worker_state
 
 #: Expected labelled documents for each language, and the characters of the window taken from each at a place given by a hash.
 SAMPLE_DOCS, WINDOW_CHARS = 300, 400
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 lang, score = predictor.predict(texts_of(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +277,7 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 w, la, pr = zip(*rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w, pa.list_(pa.string())), pa.array(la, pa.list_(pa.string())), pa.array(pr, pa.list_(pa.float64()))], [id_col, "words", "langs", "probs"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -293,4 +293,4 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 lang, _ = predictor.predict(texts_of(batch.column(at)))
                 yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import byte_slices, checkpointed, texts_of, worker_state
+from coverlens.llm.common import byte_slices, checkpointed, texts_of, tidy, worker_state
 
 MAX_LEN = 2048
 END_ID = 0
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, path: str, max_len: int = MAX_LEN, with_ids: bool =
                 more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(of, pa.int64())), *columns, *more], [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.llm.common import texts_of, worker_state
+from coverlens.llm.common import texts_of, tidy, worker_state
 
 #: (least bytes, lowest ratio, highest ratio), chosen so that prose of any language lies well inside; a short text carries the frame's fixed bytes.
 BANDS = ((0, 0.0, 1e9), (64, 0.6, 2.6), (300, 1.1, 3.0), (1000, 1.25, 3.6), (3000, 1.36, 4.2), (10_000, 1.4, 4.8), (30_000, 1.4, 5.5))
@@ -96,7 +96,7 @@ def learned_bands(docs: DataFrame, text_col: str = "text") -> tuple:
                     ratios.append(ratio)
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(ratios, pa.float64())], ["least", "ratio"])
 
-    found = docs.select(text_col).mapInArrow(run, "least long, ratio double").groupBy("least").agg(F.count("*").alias("n"), F.percentile_approx("ratio", list(QUANTILES), 10_000).alias("q"))
+    found = docs.select(text_col).mapInArrow(tidy(run), "least long, ratio double").groupBy("least").agg(F.count("*").alias("n"), F.percentile_approx("ratio", list(QUANTILES), 10_000).alias("q"))
     seen = {r["least"]: r["q"] for r in found.collect() if r["n"] >= LEAST_DOCS}
     out, below = [], 0.0
     for least, low, high in BANDS:
@@ -125,7 +125,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, t) for r, t in zip(rows, types))], [id_col, *NAMES])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -139,4 +139,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([judge(x, compress, bands=bands)[-1] for x in texts_of(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

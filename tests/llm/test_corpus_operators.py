@@ -256,3 +256,13 @@ def test_license_windows_lie_around_licence_words(spark):
     cuts = {tuple(r.tokens) for r in license_scan.windows(spark.createDataFrame([("k", " ".join(words))], "text_key string, text string")).collect()}
     want = {tuple(words[at : at + size]) for size in license_scan.WINDOWS for at in range(0, max(400 - size + size // 8 - 1, 0) + 1, size // 8)}
     assert cuts == {w for w in want if "licence" in w}
+
+
+def test_memory_is_given_back_at_the_end_of_a_task(monkeypatch):
+    from coverlens.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    out = common.tidy(lambda batches: (b * 2 for b in batches))(iter([1, 2]))
+    assert next(out) == 2 and not calls
+    assert list(out) == [4] and calls == [1]
