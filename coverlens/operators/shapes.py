@@ -30,40 +30,65 @@ def multi_parts(features: DataFrame, keys: list[str]) -> DataFrame:
     return parts.withColumn("rings", F.filter("rings", lambda r: F.size(r) > 0)).where(F.size("rings") > 0)
 
 
+def _merged(runs: Column) -> Column:
+    """Disjoint runs of a list of runs (c0, c1) in order of their starts. The list grows by gaps alone, not by runs."""
+    end = lambda s: F.filter(F.array(s["cur"]), lambda r: r["c0"] <= r["c1"])
+    run = lambda c0, c1: F.struct(c0.alias("c0"), c1.alias("c1"))
+    none = run(F.lit(0), F.lit(-1))
+
+    def step(s, r):
+        touches = (s["cur"]["c0"] <= s["cur"]["c1"]) & (r["c0"] <= s["cur"]["c1"] + 1)
+        return F.struct(F.when(touches, s["done"]).otherwise(F.concat(s["done"], end(s))).alias("done"),
+                        F.when(touches, run(s["cur"]["c0"], F.greatest(s["cur"]["c1"], r["c1"]))).otherwise(run(r["c0"], r["c1"])).alias("cur"))
+
+    start = F.struct(F.filter(F.array(none), lambda r: F.lit(False)).alias("done"), none.alias("cur"))
+    return F.aggregate(runs, start, step, lambda s: F.concat(s["done"], end(s)))
+
+
 def fill_runs(features: DataFrame, grid: GridSpec, keys: list[str]) -> DataFrame:
-    """(keys, row, c0, c1): runs of cells of each shape, borders of all rings included.
+    """(keys, row, c0, c1): disjoint runs of cells of each shape, borders of all rings included.
 
-    Corners become whole cells. Each edge gives its crossing with every row between its ends; the sorted crossings of a shape's row pair up
-    to runs. The work grows with the border and the runs, not with the area's cells times its edges. Level edges and corners are runs of
-    their own. ``keys`` name a shape; runs may overlap at borders.
+    Corners become whole cells. Each edge gives its crossing with every row between its ends; every row has an even number of them, so a
+    shape's crossings sorted by row and place pair up to runs. The work grows with the border and the runs, not with the area's cells times
+    its edges. Level edges and corners are runs of their own. ``keys`` name a shape. All of it happens inside the shape's row, so nothing but
+    the shapes is sent or gathered: they are dealt out by key, for a file of few rows fills very many cells.
     """
     def corner(p):
         r, c = to_cell(p["x"], p["y"], grid)
         return F.struct(c.cast("long").alias("x"), r.cast("long").alias("y"))
 
-    whole = F.transform("rings", lambda ring: F.transform(ring, corner))
-    e = features.select(*keys, F.explode(ring_edges(whole)).alias("e")).select(*keys, "e.*")
-    e = e.withColumns({"lo": F.least("ay", "by"), "hi": F.greatest("ay", "by")})
-    # every corner is the start of an edge
-    flat = e.select(*keys, F.col("ay").alias("row"), F.when(F.col("ay") == F.col("by"), F.least("ax", "bx")).otherwise(F.col("ax")).alias("c0"),
-                    F.when(F.col("ay") == F.col("by"), F.greatest("ax", "bx")).otherwise(F.col("ax")).alias("c1"))
-    rows = e.withColumns({"_r0": F.greatest("lo", F.lit(0)), "_r1": F.least(F.col("hi") - 1, grid.rows - 1)}).where("_r0 <= _r1")
-    rows = rows.select("*", F.explode(F.sequence("_r0", "_r1")).alias("row"))
-    down = F.signum(F.col("by") - F.col("ay")).cast("long")
-    rows = rows.withColumns({"_n": (F.col("row") - F.col("ay")) * (F.col("bx") - F.col("ax")) * down, "_d": F.abs(F.col("by") - F.col("ay"))})
-    rest = F.pmod("_n", "_d")
-    floor = F.col("ax") + F.expr("(_n - pmod(_n, _d)) DIV _d")
-    x = F.struct((floor + rest / F.col("_d")).alias("x"), (floor + F.when(rest > 0, 1).otherwise(0)).alias("up"), floor.alias("down"))
-    lines = rows.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(x)).alias("xs"))  # at most the edges of one shape
-    pairs = F.transform(F.sequence(F.lit(0), F.expr("size(xs) DIV 2 - 1")), lambda k: F.struct(F.get("xs", k * 2)["up"].alias("c0"), F.get("xs", k * 2 + 1)["down"].alias("c1")))
-    runs = lines.select(*keys, "row", F.explode(pairs).alias("p")).select(*keys, "row", "p.*")
-    out = runs.unionByName(flat).select(*keys, "row", F.greatest("c0", F.lit(0)).alias("c0"), F.least(F.col("c1"), grid.cols - 1).alias("c1"))
-    return out.where((F.col("c0") <= F.col("c1")) & F.col("row").between(F.lit(0), grid.rows - 1)).select(*keys, *[F.col(c).cast("int").alias(c) for c in ("row", "c0", "c1")])
+    def crossing(e, row):
+        d, down = F.abs(e["by"] - e["ay"]), F.signum(e["by"] - e["ay"]).cast("long")
+        n = (row - e["ay"]) * (e["bx"] - e["ax"]) * down
+        rest = F.pmod(n, d)
+        floor = e["ax"] + F.call_function("div", n - rest, d)
+        return F.struct(row.alias("row"), (floor + rest / d).alias("x"), (floor + F.when(rest > 0, 1).otherwise(0)).alias("up"), floor.alias("down"))
+
+    def flat(e):
+        level = e["ay"] == e["by"]  # every corner is the start of an edge
+        return F.struct(e["ay"].alias("row"), F.when(level, F.least(e["ax"], e["bx"])).otherwise(e["ax"]).alias("c0"), F.when(level, F.greatest(e["ax"], e["bx"])).otherwise(e["ax"]).alias("c1"))
+
+    first = lambda e: F.greatest(F.least(e["ay"], e["by"]), F.lit(0))
+    last = lambda e: F.least(F.greatest(e["ay"], e["by"]), F.col("_rows")) - 1
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    s = features.select(*keys, "rings").repartition(*keys).withColumns({"_rows": grid.rows.cast("long"), "_cols": grid.cols.cast("long")})
+    s = s.select(*keys, "_rows", "_cols", ring_edges(F.transform("rings", lambda ring: F.transform(ring, corner))).alias("_e"))
+    xs = F.flatten(F.transform(F.filter("_e", lambda e: first(e) <= last(e)), lambda e: F.transform(F.sequence(first(e), last(e)), lambda row: crossing(e, row))))
+    s = s.withColumn("_x", F.array_sort(xs))
+    pairs = F.transform(upto(F.expr("size(_x) DIV 2")), lambda k: F.struct(F.get("_x", k * 2)["row"].alias("row"), F.get("_x", k * 2)["up"].alias("c0"), F.get("_x", k * 2 + 1)["down"].alias("c1")))
+    runs = F.transform(F.concat(pairs, F.transform("_e", flat)), lambda r: F.struct(r["row"].alias("row"), F.greatest(r["c0"], F.lit(0)).alias("c0"), F.least(r["c1"], F.col("_cols") - 1).alias("c1")))
+    s = s.select(*keys, F.array_sort(F.filter(runs, lambda r: (r["c0"] <= r["c1"]) & (r["row"] >= 0) & (r["row"] < F.col("_rows")))).alias("_r"))
+    opens = F.filter(upto(F.size("_r")), lambda i: (i == 0) | (F.get("_r", i)["row"] != F.get("_r", i - 1)["row"]))
+    s = s.withColumn("_o", F.concat(opens, F.array(F.size("_r"))))  # where each row begins in the list, and its end
+    lines = F.transform(upto(F.size("_o") - 1), lambda k: F.slice("_r", F.get("_o", k) + 1, F.get("_o", k + 1) - F.get("_o", k)))
+    s = s.select(*keys, F.explode(lines).alias("_l"))
+    s = s.select(*keys, F.get("_l", F.lit(0))["row"].alias("row"), F.explode(_merged(F.transform("_l", lambda r: F.struct(r["c0"].cast("int").alias("c0"), r["c1"].cast("int").alias("c1"))))).alias("_m"))
+    return s.select(*keys, F.col("row").cast("int").alias("row"), "_m.c0", "_m.c1")
 
 
 def fill_cells(features: DataFrame, grid: GridSpec, keys: list[str]) -> DataFrame:
-    """Distinct (keys, row, col) of the runs."""
-    return fill_runs(features, grid, keys).select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col")).distinct()
+    """Distinct (keys, row, col): the cells of the runs, which are disjoint."""
+    return fill_runs(features, grid, keys).select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
 def _span(ax: Column, ay: Column, bx: Column, by: Column, radius: float) -> tuple[Column, Column, Column]:

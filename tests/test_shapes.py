@@ -57,6 +57,18 @@ def test_random_shapes(spark):
         assert got.get(i, set()) == brute(rings, 20, 20), rings
 
 
+def test_runs_are_disjoint_and_nothing_is_gathered(spark):
+    rng = random.Random(6)
+    shapes = [[[(rng.randint(-4, 24), rng.randint(-4, 24)) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 3))] for _ in range(40)]
+    runs = S.fill_runs(shape(spark, *shapes), GridSpec(20, 20), ["feature_id"])
+    cells = [(r.feature_id, r.row, c) for r in runs.collect() for c in range(r.c0, r.c1 + 1)]
+    assert len(cells) == len(set(cells))
+    assert {(i, *c) for i, rings in enumerate(shapes) for c in brute(rings, 20, 20)} == set(cells)
+    # cells of all shapes of a task in one hash table grow with the file that the task reads
+    plan = S.fill_cells(shape(spark, *shapes), GridSpec(20, 20), ["feature_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan
+
+
 def test_parts_and_nothing(spark):
     f = spark.createDataFrame([(1, [[[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0)], []], [], [[]], [[(5.0, 5.0)]]])], "feature_id long, polygons array<array<array<struct<x: double, y: double>>>>")
     parts = S.multi_parts(f, ["feature_id"])
