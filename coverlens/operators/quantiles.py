@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coverlens.operators.scan import on_keys, sums_below
+from coverlens.operators.scan import sums_below
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key (null values ignored), one column per entry of ``probs``."""
     v = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    total = v.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    r = on_keys(sums_below(v, keys, value, ["_n"]), total, keys)
+    r = sums_below(v, keys, value, ["_n"], totals=True).withColumnRenamed("_n_all", "_total")
     first, last = F.col("_n_below"), F.col("_n_below") + F.col("_n")
     picks = []
     for name, p in probs.items():

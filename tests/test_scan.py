@@ -43,6 +43,20 @@ def test_exact_quantiles(spark):
     assert [r.a, r.b, r.c, r.d, r.e] == pytest.approx(np.quantile(x, [0, 0.25, 0.5, 0.993, 1]).tolist())
 
 
+def test_rows_of_one_key_spread_over_tasks(spark):
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for c, v in zip(old, ("false", "-1")):
+            spark.conf.set(c, v)
+        df = spark.range(200_000).select(F.lit("k").alias("k"), F.col("id").alias("v"), F.lit(2).alias("n"))
+        r = sums_below(df, ["k"], "v", ["n"], totals=True).withColumn("part", F.spark_partition_id())
+        bad, largest = r.groupBy("part").agg(F.count_if((F.col("n_below") != 2 * F.col("v")) | (F.col("n_all") != 400_000)).alias("bad"), F.count("*").alias("n")).agg(F.sum("bad"), F.max("n")).first()
+        assert bad == 0 and largest < 120_000
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def path(spark, pts):
     return spark.createDataFrame([("r", 0, i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "run_id string, agent_id int, t int, x double, y double")
 
