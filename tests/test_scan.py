@@ -57,6 +57,19 @@ def test_rows_of_one_key_spread_over_tasks(spark):
             spark.conf.set(c, v)
 
 
+def test_weighted_sample_keeps_every_draw_and_never_meets_a_type_whole(spark):
+    f = spark.range(30_000).select(F.col("id").alias("feature_no"), F.col("id").cast("string").alias("feature_id"), F.lit("road").alias("feature_type"),
+                                   F.when(F.col("id") % 5 == 0, 0.0).otherwise(1.0 / (1 + F.col("id"))).alias("area_probability"),
+                                   F.array(*[F.struct(F.lit(float(i)).alias("x"), F.lit(0.0).alias("y")) for i in range(3)]).alias("pts"))
+    r = G.weighted_sample(f, 4000, 3)
+    n, draws, zero, low = r.agg(F.count("*"), F.countDistinct("draw"), F.count_if(F.col("feature_id").cast("int") % 5 == 0), F.count_if(F.col("feature_id").cast("int") < 100)).first()
+    assert (n, draws, zero) == (4000, 4000, 0)
+    w = [0.0 if i % 5 == 0 else 1 / (1 + i) for i in range(30_000)]
+    assert low / 4000 == pytest.approx(sum(w[:100]) / sum(w), abs=0.03)
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_split") and "Window [" in plan and "__p" in plan
+
+
 def path(spark, pts):
     return spark.createDataFrame([("r", 0, i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "run_id string, agent_id int, t int, x double, y double")
 
