@@ -44,6 +44,6 @@ def test_every_vector_is_one_row_of_cells(spark, odd):
     assert len(c) == 500 and {(r.grid_id, r["max(col)"]) for r in c} == {("g0", 63)} and {r["count(1)"] for r in c} == {64, 128}
 
 
-@pytest.mark.parametrize("name", ["focal_score"])
+@pytest.mark.parametrize("name", ["focal_score", "value_map"])
 def test_scores_of_odd_vectors_match_sql(spark, odd, name):
     assert oracle.compare(spark, oracle.connect(odd), odd, name, queries()[name], oracle_sql()[name]) is None
