@@ -182,8 +182,10 @@ fs AS (SELECT a."row", a.col, CASE WHEN any_value(a.valid) THEN sum(b.v) ELSE '-
 
 
 def _focal(spark, d):
-    g = A.grid_spec(spark, d)
-    return R.focal_score(A.cells(spark, d), R.footprint(A.pings(spark, d), g, 1.5), g, 1.5, 0.5)
+    """Whole weights and their halves add up exactly in any order; the total, which no valid cell lacks, divides the sums."""
+    g, w = A.grid_spec(spark, d), A.cell_weights(spark, d)
+    s = R.focal_score(w.withColumn("p", F.col("w").cast("double")), R.footprint(A.pings(spark, d), g, 1.5), g, 1.5, 0.5)
+    return s.withColumn("score", F.coalesce(F.col("score") / w.agg(F.sum("w")).scalar(), "score"))
 
 
 @query("focal_score", with_(PING, FOOT, CELL, OBS, FOCAL, select='SELECT "row", col, round(score, 10) AS score FROM fs'))

@@ -1,7 +1,10 @@
 """Grids whose cells lack mass, a place or a verdict, or are listed twice."""
 
 import os
+import random
 
+import duckdb
+import numpy as np
 import oracle
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -9,6 +12,8 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from coverlens.operators.grid import GridSpec, focal_score
+from coverlens.plans import priors as P
+from coverlens.plans.registry import rounded
 from coverlens.sources import adapters as A
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +52,46 @@ def test_every_vector_is_one_row_of_cells(spark, odd):
 @pytest.mark.parametrize("name", ["focal_score", "value_map"])
 def test_scores_of_odd_vectors_match_sql(spark, odd, name):
     assert oracle.compare(spark, oracle.connect(odd), odd, name, queries()[name], oracle_sql()[name]) is None
+
+
+@pytest.fixture(scope="module")
+def halves(tmp_path_factory):
+    """sf0.001 with lone cells of mass whose total makes every second mass a half of the tenth digit; a sum has one term, so no order shows."""
+    d, total, rng = str(tmp_path_factory.mktemp("halves")), 2**11 * 5**9, random.Random(1)
+    w = np.zeros((500, 64), np.int64)
+    at = [(r, c) for r in range(0, 500, 3) for c in range(0, 64, 3)]
+    for k, cell in enumerate(at):
+        left = len(at) - k
+        w[cell] = rng.randrange(total * 4 // (left * 5), total * 6 // (left * 5)) if left > 1 else total
+        total -= int(w[cell])
+    sign = np.where(np.arange(500) % 17 == 0, -1, 1)[:, None]
+    e = np.where(w > 0, sign * (w + 0.5) / 1e6, 0.0).astype(np.float32)
+    assert int(np.floor(np.abs(e.astype(np.float64)) * 1e6).sum()) == 2**11 * 5**9
+    t = pq.read_table(f"{SF}/embeddings.parquet")
+    pq.write_table(pa.Table.from_pylist([{"vec_id": i, "embedding": v, "label": 0} for i, v in enumerate(e.tolist())], t.schema), f"{d}/embeddings.parquet")
+    for name in oracle.TABLES:
+        if name != "embeddings":
+            os.symlink(f"{SF}/{name}.parquet", f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["focal_score", "value_map"])
+def test_halves_of_the_last_digit_match_sql(spark, halves, name):
+    assert oracle.compare(spark, oracle.connect(halves), halves, name, queries()[name], oracle_sql()[name]) is None
+
+
+def test_rounding_matches_sql(spark):
+    h = [(random.Random(k).randrange(10**7) + 0.5) / 1e10 for k in range(2000)]
+    x = h + [-v for v in h] + [float(np.nextafter(v, 0)) for v in h] + [0.0, 1.5, 1e18 / 7, 1e300, -1e300, INF, -INF, None]
+    df = spark.createDataFrame(list(enumerate(x)), "i int, x double")
+    want = duckdb.connect().execute("SELECT round(unnest(?::DOUBLE[]), 10)", [x]).fetchall()
+    assert [r.x for r in rounded(df, 10).orderBy("i").collect()] == [r[0] for r in want]
+
+
+def test_scores_are_exact_in_any_order(spark):
+    w = {(r.row, r.col): r for r in A.cell_weights(spark, SF).collect()}
+    total, g = sum(r.w for r in w.values()), A.grid_spec(spark, SF)
+    seen = {(r.row, r.col) for r in P.R.footprint(A.pings(spark, SF), g, 1.5).select("row", "col").distinct().collect()}
+    twice = {k: r.w * (1 if k in seen else 2) for k, r in w.items()}
+    want = {k: sum(twice.get((k[0] + i, k[1] + j), 0) for i in (-1, 0, 1) for j in (-1, 0, 1)) / 2 / total if r.valid else -INF for k, r in w.items()}
+    assert {(r.row, r.col): r.score for r in P._focal(spark, SF).collect()} == want
