@@ -1,6 +1,7 @@
 """Exact rank tests against enumeration of all signs and choices, ties included."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -78,3 +79,25 @@ def test_large_groups(spark):
         ways[1:, x:] = ways[1:, x:] + ways[:-1, : ways.shape[1] - x]
     p = min(1.0, 2 * min(ways[30, : obs + 1].sum(), ways[30, obs:].sum()) / ways[30].sum())
     assert got.p == pytest.approx(p, rel=1e-9) and got.n_a == 30
+
+
+def test_few_roots_of_large_groups(spark):
+    """A group with ties against counting, and arms of 400 in 3,000 values, with and without ties, against the normal curve."""
+    rng = random.Random(5)
+    tied = [(0, "a" if rng.random() < 0.15 else "b", rng.randrange(30)) for _ in range(300)]
+    large = [(g, "a" if i % 15 in (3, 8) else "b", ((i * 7919 + 1500) % 3000 + 60 * (i % 15 == 3)) // width) for g, width in ((1, 1), (2, 50)) for i in range(3000)]
+    got = {r.g: r for r in S.mann_whitney_exact(spark.createDataFrame(tied + large, "g int, arm string, v long"), ["g"], "arm", "a", "b", "v").collect()}
+    arm, r = np.array([a == "a" for _, a, _ in tied]), (2 * mid_ranks([v for _, _, v in tied])).astype(int)
+    m, obs = int(arm.sum()), int(r[arm].sum())
+    ways = np.zeros((m + 1, int(np.sort(r)[-m:].sum()) + 1))
+    ways[0, 0] = 1
+    for x in r:
+        ways[1:, x:] = ways[1:, x:] + ways[:-1, : ways.shape[1] - x]
+    p = min(1.0, 2 * min(ways[m, : obs + 1].sum(), ways[m, obs:].sum()) / ways[m].sum())
+    assert got[0].n_a == m and got[0].p == pytest.approx(p, rel=1e-9)
+    for g in (1, 2):
+        arm, v = (np.array(x) for x in zip(*[(a == "a", v) for k, a, v in large if k == g]))
+        na, nb, c = int(arm.sum()), int((~arm).sum()), np.unique(v, return_counts=True)[1]
+        u, sd = mid_ranks(v)[arm].sum() - na * (na + 1) / 2, math.sqrt(na * nb / 12 * (3001 - (c**3 - c).sum() / (3000 * 2999)))
+        normal = math.erfc(max(0.0, abs(u - na * nb / 2) - 0.5) / sd / math.sqrt(2))
+        assert got[g].U == u and got[g].p == pytest.approx(normal, abs=2e-4) and 0.01 < got[g].p < 0.99
