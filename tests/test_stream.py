@@ -7,10 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from coverlens.operators import belief as B
 from coverlens.operators import exposure as X
-from coverlens.operators.grid import GridSpec
+from coverlens.operators.grid import GridSpec, footprint
 from coverlens.schemas import STREAM_PING
+from coverlens.sources import adapters as A
 from coverlens.streaming import pings as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -104,6 +106,20 @@ def test_running_exposure_in_update_mode(spark, tmp_path):
     assert spark.table("running").agg(F.max("n")).first()[0] == 4
 
 
+@pytest.mark.parametrize("last", [(4, 2, 1, 0.5, 0.5), END])
+def test_exposure_totals_hold_open_windows(spark, tmp_path, last):
+    """Days 0 and 1 in two batches, and a last event that leaves a day open; with an end far behind both days are closed."""
+    src = S.stream_pings(stream(spark, tmp_path / "in", [[(1, 0, 0, 0.5, 0.5), (1, 0, 0, 0.5, 0.5)], [(2, 0, 90_000, 0.5, 0.5), (3, 1, 90_000, 1.5, 0.5)]], last), "2 days")
+    got = {(r.row, r.col): r.n for r in S.exposure_totals(src, GridSpec(1, 2), 0.4, "totals-test").collect()}
+    assert got == {(0, 0): 2 + (last != END), (0, 1): 1}
+
+
+def test_exposure_query_counts_the_last_day(spark):
+    d = "/root/testdata/sf0.001"
+    n = queries()["stream_exposure"](spark, d).agg(F.sum("n")).first()[0]
+    assert n == footprint(A.pings(spark, d), A.grid_spec(spark, d), 1.5).count()
+
+
 class FakeHandle:
     """States and timers of one key, with the watermark past every step."""
 
